@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack
+from .quality import held_out, score, teaching, train
 from .simhash import hexadecimal, simhash_groups
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = score(docs, train(docs, teaching(table(spark, sf_dir, "labels"))))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -21,6 +29,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op6_packing": op6_packing,
 }
