@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .packing import pack
 from .quality import held_out, score, teaching, train
+from .rlz_dedup import remove_spans
 from .simhash import hexadecimal, simhash_groups
+from .suffix_dedup import remove_repeats
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,14 +26,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return got.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = remove_spans(table(spark, sf_dir, "documents"), digest=True)
+    return got.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op10_rlz_dedup": op10_rlz_dedup,
 }
 
 #: DuckDB SQL of those that SQL can express; the others are tested against brute force in tests/llm.
