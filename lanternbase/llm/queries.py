@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .hilbert_knn import neighbours
 from .packing import pack
 from .quality import held_out, score, teaching, train
 from .rlz_dedup import remove_spans
@@ -35,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_spans(table(spark, sf_dir, "documents"), digest=True)
     return got.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op8_hilbert_knn": op8_hilbert_knn,
     "op10_rlz_dedup": op10_rlz_dedup,
 }
 
