@@ -33,15 +33,19 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import PAD, U, Words, binary_column, loads, mix, pack_ints, pack_sorted, ragged, slices, unpack_ints, unpack_sorted, winnow, xxh64
+from .bytesops import PAD, U, Words, binary_column, loads, mix, pack_ints, pack_sorted, ragged, release, slices, unpack_ints, unpack_sorted, winnow, xxh64
 from .common import only, width
 
 #: Bytes of text that a partition holds, about.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 #: Occurrences beyond which an anchor's windows travel one by one.
-HOT = 20_000
+HOT = 10_000
 #: Bytes of differing fragments that a solver gets at once, about; the fragments of an anchor stay together.
-SOLVE_BYTES = 1 << 20
+SOLVE_BYTES = 1 << 18
+#: Bytes of text whose units are held as arrays at once (some hundred bytes each).
+LOAD_BYTES = 1 << 19
+#: Rows whose texts are packed together.
+PACK_ROWS = 2500
 SIGN = np.int64(-(2**63))
 
 
@@ -158,10 +162,9 @@ def windows_of(units, a: Anchors, pick: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _pack(partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
+        for rows in (batch.slice(i, PACK_ROWS) for batch in batches for i in range(0, len(batch), PACK_ROWS)):
             by: dict[int, dict[bytes, list]] = {}
-            for doc_id, text in zip(ids, binary_column(batch.column(1)), strict=True):
+            for doc_id, text in zip(rows.column(0).to_pylist(), binary_column(rows.column(1)), strict=True):
                 key = hashlib.md5(text, usedforsecurity=False).digest()
                 texts = by.setdefault(int.from_bytes(key[:4], "big") % partitions, {})
                 if key not in texts:
@@ -169,11 +172,13 @@ def _pack(partitions: int):
                 elif doc_id < texts[key][0]:
                     texts[key][0] = doc_id
             for part, texts in by.items():
-                docs = list(texts.values())
+                keys, docs = list(texts), list(texts.values())
                 for i, j in slices([len(t) for _, t in docs]):
                     some = docs[i:j]
-                    columns = [[part], [b"".join(list(texts)[i:j])], [np.array([d for d, _ in some], np.int64).tobytes()], [pack_ints(np.array([len(t) for _, t in some]))], [zip_.compress(b"".join(t for _, t in some))]]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["part", "keys", "ids", "sizes", "texts"])
+                    blobs = (b"".join(keys[i:j]), np.array([d for d, _ in some], np.int64).tobytes(), pack_ints(np.array([len(t) for _, t in some])), zip_.compress(b"".join(t for _, t in some)))
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["part", "keys", "ids", "sizes", "texts"])
+            del by
+            release()
 
     return run
 
@@ -217,7 +222,7 @@ def _offer(units, parts: int):
         part = key[0].as_py()
         _, _, texts = _unpack(table)
         seen, several = [], []
-        for i, j in slices([len(t) for t in texts], 1 << 20):
+        for i, j in slices([len(t) for t in texts], LOAD_BYTES):
             a = anchors(units, texts[i:j])
             order = np.lexsort((a.text, a.hash >> U(DROP)))
             h, t = (a.hash >> U(DROP))[order], a.text[order]
@@ -246,6 +251,7 @@ def _offer(units, parts: int):
 
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
+    release()
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) or [()] * len(fields)
@@ -293,7 +299,7 @@ def _send(units, parts: int):
         order = np.argsort(told)
         told, flags = told[order], flags[order]
         got: list[tuple] = []
-        for i, j in slices([len(t) for t in texts], 1 << 20):
+        for i, j in slices([len(t) for t in texts], LOAD_BYTES):
             a = anchors(units, texts[i:j])
             short = a.hash >> U(DROP)
             at = np.minimum(np.searchsorted(told, short), len(told) - 1)
@@ -322,7 +328,7 @@ def _send(units, parts: int):
             content = [data.buffer[x : x + y] for x, y in zip(start[rep].tolist(), size[rep].tolist(), strict=True)]
             second = xxh64(data.buffer, start[rep], size[rep], 2)
             content = [int(h).to_bytes(8, "little") if o else c for c, h, o in zip(content, second, lone[rep], strict=True)]
-            got.append((k[new], s[new], count[rep], content, np.diff(np.append(new, len(order))), i + text[order], (low - data.first[text])[order]))
+            got.append((k[new], s[new], count[rep], content, np.diff(np.append(new, len(order))), (i + text[order]).astype(np.int32), (low - data.first[text])[order].astype(np.int32)))
         if not got:
             return _table(rows, FRAGMENTS)
         k, s, count = (np.concatenate([g[x] for g in got]) for x in range(3))
@@ -335,6 +341,7 @@ def _send(units, parts: int):
         new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
         places = ragged(begin[order], n[order])
         docs, starts = docs[places], starts[places]
+        del places, got, begin
         own = np.array(ids, np.int64)[docs]
         total = np.add.reduceat(n[order], new)
         upto = np.concatenate([[0], np.cumsum(total)])
@@ -368,17 +375,20 @@ def _solve(solver: Solver):
         k = np.concatenate(keys)
         raw = [unzip.decompress(b) for b in col["texts"]]
         n_units, size, places = (np.concatenate([unpack_ints(b) for b in col[c]]).astype(np.int64) for c in ("units", "sizes", "places"))
-        docs, starts = (np.concatenate([unpack_ints(b) for b in col[c]]).astype(np.int64) for c in ("docs", "starts"))
+        docs, starts = (np.concatenate([unpack_ints(b) for b in col[c]]).astype(np.int32) for c in ("docs", "starts"))
         ids = np.concatenate([unpack_ints(b) for b in col["ids"]]).view(np.int64) ^ SIGN
-        part_of = np.repeat(np.repeat(np.arange(len(parts)), [len(x) for x in keys]), places)
+        part_of = np.repeat(np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in keys]), places)
         buffer = b"".join(raw) + PAD
         at = np.cumsum(size) - size
-        del raw
+        del raw, table, keys
+        for c in list(col):
+            if c != "part":
+                del col[c]
         same = xxh64(buffer, at, size, 3)
         order = np.lexsort((same, k))
         ks, ss = k[order], same[order]
         new = np.concatenate([[True], (ks[1:] != ks[:-1]) | (ss[1:] != ss[:-1])])
-        kind = np.zeros(len(k), np.int64)  # of each row, its distinct fragment
+        kind = np.zeros(len(k), np.int32)  # of each row, its distinct fragment
         kind[order] = np.cumsum(new) - 1
         rep = order[new]
         group = np.cumsum(np.concatenate([[True], ks[new][1:] != ks[new][:-1]])) - 1
@@ -425,7 +435,7 @@ def _solve(solver: Solver):
 RESULT = "key binary, least long, n long, n_removed long, starts array<long>, ends array<long>, kept binary"
 
 
-def _finish(units, digest: bool):
+def _finish(units, keep: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, ids, texts = _unpack(left)
         docs = starts = lengths = np.zeros(0, np.int64)
@@ -443,7 +453,7 @@ def _finish(units, digest: bool):
                 removed.append(0)
                 begins.append([])
                 stops.append([])
-                rest = units.whole(text)
+                rest = text if keep == "text" else units.whole(text)
             else:
                 cover = np.bincount(starts[a:b], minlength=count + 1) - np.bincount(starts[a:b] + lengths[a:b], minlength=count + 1)
                 gone = np.cumsum(cover[:count]) > 0
@@ -452,17 +462,18 @@ def _finish(units, digest: bool):
                 begins.append(edges[::2].tolist())
                 stops.append(edges[1::2].tolist())
                 rest = units.kept(text, gone)
-            kept.append(hashlib.sha256(rest).digest() if digest else rest)
+            kept.append(hashlib.sha256(rest).digest() if keep == "digest" else rest)
         return pa.table({"key": pa.array(keys, pa.binary()), "least": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "starts": pa.array(begins, pa.list_(pa.int64())), "ends": pa.array(stops, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
 
     return run
 
 
-def repeated(docs: DataFrame, units, solver: Solver, digest: bool = False, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, units, solver: Solver, keep: str = "units", hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """key (MD5 of the text), least (smallest doc_id with it), n units, n_removed, starts and ends of the maximal removed runs, kept.
 
     One row for each distinct text of ``docs`` (doc_id, text) with a doc_id, judged as the document ``least``: removed is every
-    unit covered by a window that also starts in a document with a smaller id. kept: what is left, or its SHA-256 if ``digest``.
+    unit covered by a window that also starts in a document with a smaller id. kept: the units left, if ``keep`` is "units"; their SHA-256,
+    if "digest"; if "text", the units left of a text that loses any, else the text as it is.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
@@ -473,7 +484,7 @@ def repeated(docs: DataFrame, units, solver: Solver, digest: bool = False, hot:
     shared = offers.repartition(parts, "block").groupBy("block").applyInArrow(_share(hot), "part int, hashes binary, flags binary")
     sent = held.groupBy("part").cogroup(shared.repartition(parts, "part").groupBy("part")).applyInArrow(_send(units, parts), FRAGMENTS)
     told = sent.repartition(parts, "block").groupBy("block").applyInArrow(_solve(solver), "part int, docs binary, starts binary, lengths binary")
-    return held.groupBy("part").cogroup(told.repartition(parts, "part").groupBy("part")).applyInArrow(_finish(units, digest), RESULT)
+    return held.groupBy("part").cogroup(told.repartition(parts, "part").groupBy("part")).applyInArrow(_finish(units, keep), RESULT)
 
 
 def text_key(text) -> F.Column:

@@ -9,16 +9,21 @@ but the one with the smallest id.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import ragged, slices
 from .common import only
 from .repeats import HOT, PARTITION_BYTES, ByteUnits, repeated, text_key
 
 LEAST = 50
+#: Occurrences that are listed together, about.
+MEMBERS = 1 << 18
 
 
 @dataclass
@@ -34,25 +39,27 @@ class Repeats:
 def _rank(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
     k = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]]))
+    rank = np.empty(len(key), np.int32)
+    rank[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]]), dtype=np.int32)
     return rank
 
 
-def maximal_repeats(texts: list[bytes], least: int = LEAST) -> Repeats:
-    """All maximal repeats of ``least`` or more bytes in and between the texts; none crosses a text's end."""
+def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMBERS) -> Iterator[Repeats]:
+    """All maximal repeats of ``least`` or more bytes in and between the texts; none crosses a text's end.
+
+    They come in parts of about ``together`` occurrences together, since repeats nest and an occurrence is in many; a
+    repeat is never cut.
+    """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(size.sum())
-    owner = np.repeat(np.arange(len(texts)), size)
-    end = np.repeat(np.cumsum(size), size)
-    here = np.arange(total)
-    left_over = end - here
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    begin = np.cumsum(size) - size
+    left_over = np.repeat((begin + size).astype(np.int32), size) - np.arange(total, dtype=np.int32)
     # symbols are bytes plus one; zero stands past the end of a text
-    symbol = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    none = Repeats(*(np.zeros(0, np.int64) for _ in range(4)))
+    symbol = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + np.int16(1)
     some = np.flatnonzero(left_over >= least)
     if len(some) < 2:
-        return none
+        return
 
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
         out = np.zeros_like(x)
@@ -64,14 +71,15 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST) -> Repeats:
     for j in range(7):
         key = key << 9 | shifted(symbol, j)
     ranks = {7: _rank(key)}
+    del key
     for level in (7, 14):
-        ranks[2 * level] = _rank(ranks[level] << 32 | shifted(ranks[level], level))
+        ranks[2 * level] = _rank(ranks[level].astype(np.int64) << 32 | shifted(ranks[level], level))
     # suffixes with enough bytes left, in order: by ranks of 28 bytes each as far as any text goes
     steps = range(0, int(size.max()), 28)
     columns = [np.where(left_over[some] > s, ranks[28][np.minimum(some + s, total - 1)], 0) for s in steps]
-    array = some[np.lexsort(columns[::-1])]
+    suffixes = some[np.lexsort(columns[::-1])]
     # common prefixes of neighbours
-    a, b = array[:-1], array[1:]
+    a, b = suffixes[:-1], suffixes[1:]
     most = np.minimum(left_over[a], left_over[b])
     lcp = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
@@ -90,16 +98,18 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST) -> Repeats:
             lcp[live] += level
     lcp = np.minimum(lcp, most)
     # bytes before: a change between neighbours, or a text's beginning, makes an interval diverse to the left
-    before = np.where(array > (end - size[owner])[array], symbol[np.maximum(array - 1, 0)], 0)
+    before = np.where(suffixes > begin[owner[suffixes]], symbol[np.maximum(suffixes - 1, 0)], 0)
     alone = before == 0
     change = np.concatenate([[False], (before[1:] != before[:-1]) | alone[1:] | alone[:-1]])
     changes = np.cumsum(change)
     low, high, length = _intervals(lcp, least)
     diverse = changes[high] > changes[low]
     low, high, length = low[diverse], high[diverse], length[diverse]
+    del ranks, columns, lcp, a, b, most
     n = high - low + 1
-    members = array[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(n) else np.zeros(0, np.int64)
-    return Repeats(length, np.repeat(np.arange(len(n)), n), owner[members], members - (end - size[owner])[members])
+    for i, j in slices(n.tolist(), together):
+        members = suffixes[ragged(low[i:j], n[i:j])]
+        yield Repeats(length[i:j], np.repeat(np.arange(j - i), n[i:j]), owner[members], members - begin[owner[members]])
 
 
 def _intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +124,7 @@ def _intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     bottom = np.minimum.reduceat(np.append(np.where(high_enough, lcp, np.iinfo(np.int64).max), np.iinfo(np.int64).max), begin)
     even = top == bottom  # one interval each
     low, high, length = [begin[even]], [stop[even]], [top[even]]
-    out_low, out_high, out_length = [], [], []
+    out_low, out_high, out_length = array("q"), array("q"), array("q")
     for s, e in zip(begin[~even].tolist(), stop[~even].tolist(), strict=True):
         stack = [(least - 1, s)]
         for i, depth in enumerate([*lcp[s:e].tolist(), least - 1], s):
@@ -126,18 +136,30 @@ def _intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
                 out_length.append(was)
             if stack[-1][0] < depth:
                 stack.append((depth, first))
-    return tuple(np.concatenate([*x, np.array(y, np.int64)]) for x, y in ((low, out_low), (high, out_high), (length, out_length)))
+    return tuple(np.concatenate([*x, np.frombuffer(y, np.int64)]) for x, y in ((low, out_low), (high, out_high), (length, out_length)))
 
 
 def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of fragments that a repeat with a smaller document covers. Equal windows only occur in one group."""
-    r = maximal_repeats(texts, least)
-    if not len(r.length):
-        return r.text, r.start, r.start
-    smallest = np.full(len(r.length), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, r.group, ids[r.text])
-    later = ids[r.text] > smallest[r.group]
-    return r.text[later], r.start[later], (r.start + r.length[r.group])[later]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    base = np.cumsum(size) - size
+    reach = np.zeros(int(size.sum()), np.int64)
+    for r in maximal_repeats(texts, least):
+        smallest = np.full(len(r.length), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, r.group, ids[r.text])
+        later = ids[r.text] > smallest[r.group]
+        at = (base[r.text] + r.start)[later]
+        np.maximum.at(reach, at, at + r.length[r.group][later])
+    # runs of covered bytes, cut between texts
+    covered = np.maximum.accumulate(reach) > np.arange(len(reach)) if len(reach) else reach > 0
+    fresh = np.zeros(len(reach) + 1, bool)
+    fresh[base] = True
+    before = np.concatenate([[False], covered[:-1]]) & ~fresh[:-1]
+    start = np.flatnonzero(covered & ~before)
+    after = np.concatenate([covered[1:], [False]]) & ~fresh[1:]
+    stop = np.flatnonzero(covered & ~after) + 1
+    text = np.searchsorted(base, start, side="right") - 1
+    return text, start - base[text], stop - base[text]
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, digest: bool = False, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -159,7 +181,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, digest: bool = False, ho
     own = F.unhex(F.sha2(own, 256)) if digest else own
     nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256)) if digest else F.lit("").cast("binary")
     rows = only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.when(F.col("doc_id").isNull(), own).alias("own"))
-    return settle(rows, repeated(docs, units, solver, digest, hot, partition_bytes), least, nothing, "n_bytes")
+    return settle(rows, repeated(docs, units, solver, "digest" if digest else "units", hot, partition_bytes), least, nothing, "n_bytes")
 
 
 def settle(rows: DataFrame, texts: DataFrame, least: int, nothing, count: str) -> DataFrame:
