@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .hilbert_knn import neighbours
+from .image_copies import image_copies, rendered
+from .ngram_lm import cross_entropy_difference
 from .packing import pack
 from .quality import held_out, score, teaching, train
 from .rlz_dedup import remove_spans
+from .segment_sampling import sample_segmentations
 from .simhash import hexadecimal, simhash_groups
 from .suffix_dedup import remove_repeats
+from .wordpiece_counts import piece_counts
+
+
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images; each embedding is drawn as one."""
+    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), rendered("embedding").alias("image"))
+    return image_copies(images)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +32,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_groups(table(spark, sf_dir, "documents"))
     return got.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
@@ -36,21 +51,33 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
 def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = remove_spans(table(spark, sf_dir, "documents"), digest=True)
     return got.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_image_copies": op1_image_copies,
     "op2_quality": op2_quality,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
     "op8_hilbert_knn": op8_hilbert_knn,
+    "op9_segment_sampling": op9_segment_sampling,
     "op10_rlz_dedup": op10_rlz_dedup,
 }
 

@@ -113,4 +113,28 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, digest: bool = False, ho
     nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256)) if digest else F.lit("").cast("binary")
     lost = F.col("doc_id").isNull()
     rows = only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.when(lost, F.size(words)).cast("long").alias("n_words"), F.when(lost, own).alias("own"))
-    return settle(rows, repeated(docs, WordUnits(window=window), solver, digest, hot, partition_bytes), window, nothing, "n_words")
+    return settle(rows, repeated(docs, WordUnits(window=window), solver, "digest" if digest else "units", hot, partition_bytes), window, nothing, "n_words")
+
+
+def cut_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """The rows of ``docs`` with all their columns, texts less the duplicate spans that ``remove_spans`` finds.
+
+    A text that loses words is replaced by its other words joined by one space, and n_chars, where there is such a column, by the
+    new length; all other texts, null ones too, and rows without a doc_id stay as they are.
+    """
+
+    def solver(texts, group, ids):
+        return solve(texts, group, ids, window)
+
+    found = repeated(docs, WordUnits(window=window), solver, "text", hot, partition_bytes)
+    found = found.select(*[F.col(c).alias(f"_span_{c}") for c in ("key", "least", "n", "n_removed", "kept")])
+    lost = F.col("doc_id").isNull()
+    rows = docs.withColumns({"_span_of": text_key(F.col("text")), "_span_null": F.col("text").isNull()}).withColumn("text", F.when(lost, F.col("text")))
+    copy = (F.col("doc_id") > F.col("_span_least")) & (F.col("_span_n") >= window)
+    joined = rows.join(found, F.col("_span_of") == F.col("_span_key"), "left")
+    text = F.when(lost, F.col("text")).when(F.col("_span_null"), F.lit(None)).when(copy, F.lit("")).otherwise(F.col("_span_kept").cast("string"))
+    new: dict[str, F.Column] = {"text": text}
+    if "n_chars" in docs.columns:
+        changed = ~lost & ~F.col("_span_null") & (copy | (F.col("_span_n_removed") > 0))
+        new["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.withColumns(new).select(*docs.columns)

@@ -257,8 +257,10 @@ def hexadecimal(fp) -> F.Column:
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` less all but one document of each class: that of the smallest doc_id stays, in all its rows.
 
-    Rows without a doc_id can't be told apart and stay. All columns are kept as they are.
+    Rows without a doc_id can't be told apart and stay; so do all rows of an id that is the smallest of any class, where
+    an id has several texts. All columns are kept as they are.
     """
     got = simhash_groups(docs, **options)
-    gone = stash(got.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    leads = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("leads")
+    gone = stash(got.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(leads).where("not leads").select("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
