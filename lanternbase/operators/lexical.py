@@ -38,16 +38,16 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = phrases.groupBy("query_id", "terms").agg(F.count("*").alias("times"))
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.size("terms")).alias("least"))
     terms = wanted.select("terms").distinct().where(F.size("terms") > 0).select("terms", F.posexplode("terms").alias("nth", "term"))
-    tokens = docs.select("id", F.posexplode(document_tokens(F.col("text"))).alias("pos", "term"))
-    starts = tokens.join(terms, "term").groupBy("terms", "id", (F.col("pos") - F.col("nth")).alias("at")).count()
-    tf = starts.where(F.col("count") == F.size("terms")).groupBy("terms", "id").agg(F.count("*").alias("tf"))
+    # a document's length travels with its tokens, so no second pass has to be joined for it
+    tokens = docs.select("id", document_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    starts = tokens.join(terms, "term").groupBy("terms", "id", "dl", (F.col("pos") - F.col("nth")).alias("at")).count()
+    tf = starts.where(F.col("count") == F.size("terms")).groupBy("terms", "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("terms").agg(F.count("*").alias("df"))
-    lengths = docs.select("id", F.size(document_tokens(F.col("text"))).alias("dl"))
     stats = corpus_stats(docs).select("n", "avgdl")
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(df, "terms").join(lengths, "id").crossJoin(F.broadcast(stats)).select("terms", "id", weight.alias("weight"))
+    hits = tf.join(df, "terms").crossJoin(F.broadcast(stats)).select("terms", "id", weight.alias("weight"))
     found = hits.join(wanted, "terms").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("times")).alias("total"), F.count("*").alias("had"))
     return found.join(need, "query_id").where("had = need and least > 0").select("query_id", "id", (-F.col("total")).alias("rank"))
 

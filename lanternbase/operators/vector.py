@@ -24,16 +24,17 @@ def _nearest(queries, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = queries.value
         for batch in batches:
-            rows = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None]
-            kept = [v for v in batch.column(1).to_pylist() if v is not None]
-            if any(len(v) != q.shape[1] for v in kept):
-                raise ValueError(f"vectors must have {q.shape[1]} components, as the queries have")
-            if not kept:
+            column = batch.column(1)
+            rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            if not len(rows):
                 continue
-            x = np.array(kept, np.float64)
+            sizes = np.diff(column.offsets.to_numpy())[rows]
+            if (sizes != q.shape[1]).any():
+                raise ValueError(f"vectors must have {q.shape[1]} components, as the queries have")
+            x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
             names = batch.column(0).take(pa.array(rows))
             for a in range(0, len(q), 128):
-                d = np.sqrt(((x[None, :, :] - q[a : a + 128, None, :]) ** 2).sum(axis=2)) if len(x) <= 512 else np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q[a : a + 128]])
+                d = np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q[a : a + 128]])
                 n = min(k, d.shape[1])
                 # everything up to the k-th distance stays, so ties can be settled by id
                 edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]

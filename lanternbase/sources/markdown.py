@@ -22,8 +22,9 @@ def scan(spark: SparkSession, workspace: str, folder: str = "memory") -> DataFra
     A file that is not UTF-8 is an error when it is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{workspace}/{folder}")
-    # what stands before the folder in the path is cut; the path is a URL
-    path = F.regexp_extract(F.try_url_decode(F.regexp_replace("path", "\\+", "%2B")), f"^.*?/({folder}/.*)$" if "/" not in workspace.strip("/") else f"\\Q{workspace.rstrip('/').split('/')[-1]}\\E/({folder}/.*)$", 1)
+    # paths come as URLs; what stands before the folder of this workspace is cut
+    name = workspace.rstrip("/").split("/")[-1]
+    path = F.regexp_extract(F.try_url_decode(F.regexp_replace("path", "\\+", "%2B")), f"\\Q{name}\\E/({folder}/.*)$", 1)
     text = F.decode("content", "UTF-8")
     whole = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string"))
     return files.select(path.alias("path"), whole.alias("content"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
