@@ -82,4 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of those that SQL can express; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_rlz_dedup": r"""WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') IF x <> ''] AS l FROM documents),
+p AS (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d),
+w AS (SELECT doc_id, i, l[i] AS word, CASE WHEN i + 49 <= len(l) THEN md5(array_to_string(l[i:i + 49], ' ')) END AS h FROM p),
+f AS (SELECT h, min(doc_id) AS least FROM w WHERE h IS NOT NULL GROUP BY h),
+g AS (SELECT doc_id, i, word, max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) IS NOT NULL AS gone FROM w LEFT JOIN f USING (h)),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+}
