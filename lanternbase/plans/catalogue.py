@@ -269,7 +269,9 @@ sim AS (SELECT vec_id, distance, greatest(0.0, least(1.0, 1 - distance * distanc
 mm AS (SELECT *, CASE WHEN max(similarity) OVER () - min(similarity) OVER () > 1e-6
  THEN (similarity - min(similarity) OVER ()) / (max(similarity) OVER () - min(similarity) OVER ()) ELSE similarity END AS score FROM sim)"""
 
-_FUSED = f"""WITH {_bm25(["eaux", "ment"])}, {_KNN.format(k=30)},
+# the chunks searched are the documents, so only their vectors are candidates
+_OWN = "FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e,"
+_FUSED = f"""WITH {_bm25(["eaux", "ment"])}, {_KNN.format(k=30).replace("FROM embeddings e,", _OWN)},
 paths AS (SELECT doc_id, text, 'memory/2024-' || lpad((doc_id % 14 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') || '.md' AS path FROM documents),
 ids AS (SELECT coalesce(m.vec_id, k.doc_id) doc_id, m.score vector_score, k.score text_score,
  coalesce(0.7 * m.score, 0) + coalesce(0.3 * k.score, 0) AS fused FROM mm m FULL JOIN (SELECT * FROM kw WHERE place <= 30) k ON m.vec_id = k.doc_id),
