@@ -201,6 +201,19 @@ def test_neighbours_recall(spark):
     assert len(hits) == 20 and np.mean(hits) / 10 >= 0.9
 
 
+@pytest.mark.parametrize("n,curves", [(12000, 2), (6000, 16)])  # wider reach; compared whole
+def test_neighbours_recall_does_not_fall_with_rows(spark, n, curves):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in neighbours(df, every=100, k=10, window=32 if curves == 16 else 512, curves=curves).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & set(np.argsort(-np.where(np.arange(n) == q, -np.inf, x @ x[q]))[:10].tolist())) for q in got]
+    assert len(hits) == n // 100 and np.mean(hits) / 10 >= 0.9
+
+
 @pytest.fixture(scope="module")
 def pieces():
     with open(piece_path(), "rb") as f:
