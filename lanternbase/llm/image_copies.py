@@ -5,13 +5,13 @@ brightness tests turned by it. Descriptors meet by three Hamming tables (21, 21
 most two bits are equal in one. Matches of an image pair vote for turn, scale and shift; ``CONSENSUS`` distinct features that agree
 make a link, and linked images form a class.
 
-Byte-identical images are one before all that. A table's bucket gives all pairs of its distinct images up to ``BUCKET``; above,
-every image is paired with the bucket's first and its next one only, since in so common a place copies
-hang together through those; see the README on this bound.
+Byte-identical images are one before all that. A table's bucket gives all pairs of its images. Buckets above ``BUCKET`` entries are dealt
+out anew as pairs of blocks, so that no task holds a hot bucket and no pair is left out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +24,12 @@ from .common import only, stash, width
 from .components import components
 
 SCALES, PER_SCALE, RADIUS = (1.0, 1.5, 2.25), 24, 7
-DIFFERENT_BITS, CONSENSUS, BUCKET = 6, 8, 64
+DIFFERENT_BITS, CONSENSUS, BUCKET = 6, 8, 4096
 TABLES = ((0, 21), (21, 21), (42, 22))
-FEATURES = "id long, n int, x float, y float, scale float, angle float, descriptor long"
+#: places: x, y, scale, angle of each feature, as 32-bit floats.
+FEATURES = "id long, n_features int, places binary, descriptors array<long>"
+#: A match of features n1 of image a and n2 of image b (kind 0), or a row of a bucket that is too large (kind 1): a image, n1 feature, b descriptor, n2 table.
+MATCH = "kind int, a long, n1 int, b long, n2 int"
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -123,11 +126,103 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for image_id, data in zip(ids, images, strict=True):
                 image = read_pgm(data)
-                place, bits = features(image) if image is not None else (np.zeros((0, 4)), np.zeros(0, np.uint64))
-                out += [(image_id, n, *map(float, p), int(b)) for n, (p, b) in enumerate(zip(place, bits.view(np.int64), strict=True))]
-            kinds = (pa.int64(), pa.int32(), *[pa.float32()] * 4, pa.int64())
-            names = [f.split()[0] for f in FEATURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
+                if image is not None:
+                    place, bits = features(image)
+                    if len(bits):
+                        out.append((image_id, len(bits), place.astype(np.float32).tobytes(), bits.view(np.int64)))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=["id", "n_features", "places", "descriptors"])
+
+
+def _matched(key: np.ndarray, image: np.ndarray, n: np.ndarray, descriptor: np.ndarray, table: np.ndarray, side: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(image, feature, image, feature) of all matches within runs of one key, the smaller image first; equal sides meet if they are 2 only."""
+
+    def take(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        x = descriptor[i] ^ descriptor[j]
+        ok = (np.bitwise_count(x.view(np.uint64)) <= bits) & (image[i] != image[j]) & ((side[i] == 2) | (side[i] != side[j])) & (table[i] == table[j])
+        ok[ok] = _met(x[ok], table[i[ok]])
+        i, j = i[ok], j[ok]
+        swap = image[i] > image[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return image[i], n[i], image[j], n[j]
+
+    begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    small = np.repeat(size <= 16, size)
+    at = np.flatnonzero(small)
+    for d in range(1, int(size[size <= 16].max(initial=1))):
+        same = np.flatnonzero(key[at[d:]] == key[at[:-d]])
+        yield take(at[same], at[same + d])
+    for s, m in zip(begin[size > 16], size[size > 16], strict=True):
+        for i in range(s, s + m, 512):
+            some = descriptor[i : min(i + 512, s + m)]
+            y, x = np.nonzero(np.bitwise_count((some[:, None] ^ descriptor[None, i : s + m]).view(np.uint64)) <= bits)
+            later = x > y
+            yield take(i + y[later], i + x[later])
+
+
+def _met(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether descriptors with this difference are equal in the table."""
+    low, width = np.array(TABLES).T
+    return x >> low[table] & ((1 << width[table]) - 1) == 0
+
+
+def _search(bits: int, most: int | None):
+    """Streams rows (key, image, feature, descriptor, table, side) sorted by key; see ``MATCH``. Buckets of over ``most`` rows are put off."""
+
+    def out(kind: int, a, n1, b, n2) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n1.astype(np.int32)), pa.array(b), pa.array(n2.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 6
+        late = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+            if late is not None and len(held[0]):
+                n = int(np.searchsorted(held[0], late, "right"))
+                yield out(1, *(c[:n] for c in held[1:5]))
+                held = [c[n:] for c in held]
+            if not len(held[0]):
+                continue
+            n = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+            whole, held = [c[:n] for c in held], [c[n:] for c in held]
+            if most is not None and n:
+                begin = np.flatnonzero(np.diff(whole[0], prepend=whole[0][0] - 1))
+                size = np.diff(np.append(begin, n))
+                large = np.repeat(size > most, size)
+                yield out(1, *(c[large] for c in whole[1:5]))
+                whole = [c[~large] for c in whole]
+            for got in _matched(*whole, bits):
+                if len(got[0]):
+                    yield out(0, *got)
+            if most is not None and len(held[0]) > most:
+                late = held[0][0]
+                yield out(1, *(c for c in held[1:5]))
+                held = [c[:0] for c in held]
+
+    return run
+
+
+def matches(entries: DataFrame, bits: int = DIFFERENT_BITS, bucket: int = BUCKET) -> DataFrame:
+    """a, n1, b, n2: the matches of features of different images that meet in a bucket; ``entries``: id, n, descriptor, table, value."""
+    n = width(entries.sparkSession)
+    columns = ("key", "id", "n", "descriptor", "table", "side")
+    keyed = entries.select((F.shiftleft(F.col("table").cast("long"), 22) + F.col("value")).alias("key"), "id", "n", "descriptor", "table", F.lit(2).alias("side"))
+    first = stash(keyed.repartition(4 * n, "key").sortWithinPartitions("key").mapInArrow(_search(bits, bucket), MATCH))
+    found = first.where("kind = 0").drop("kind")
+    value = F.coalesce(*[F.when(F.col("n2") == i, F.shiftrightunsigned("b", low).bitwiseAND((1 << m) - 1)) for i, (low, m) in enumerate(TABLES)])
+    large = first.where("kind = 1").select(F.col("a").alias("id"), F.col("n1").alias("n"), F.col("b").alias("descriptor"), F.col("n2").alias("table"), value.alias("value"))
+    if large.isEmpty():
+        return found
+    blocks = large.groupBy("table", "value").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int")
+    dealt = large.join(F.broadcast(blocks), ["table", "value"]).select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side")
+    pairs = dealt.select(F.xxhash64("table", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "n", "descriptor", "table", side)
+    again = pairs.select(*columns).repartition(4 * n, "key").sortWithinPartitions("key").mapInArrow(_search(bits, None), MATCH)
+    return found.unionByName(again.drop("kind"))
 
 
 def consensus(left: np.ndarray, right: np.ndarray) -> int:
@@ -146,11 +241,20 @@ def consensus(left: np.ndarray, right: np.ndarray) -> int:
 
 
 def _judge(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        col = {c: table.column(c).to_numpy() for c in table.column_names}
-        sides = [np.stack([col[f"{c}{s}"].astype(float) for c in ("n", "x", "y", "scale", "angle")], axis=1) for s in (1, 2)]
-        ok = consensus(*sides) >= least
-        return pa.table({"a": pa.array(col["id1"][:1] if ok else col["id1"][:0], pa.int64()), "b": pa.array(col["id2"][:1] if ok else col["id2"][:0], pa.int64())})
+    """The pairs (a, b, met, places1, places2) whose matches agree in one geometry; met holds n1 << 32 | n2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            ok = np.zeros(len(a), bool)
+            for i in range(len(a)):
+                met = np.sort(batch.column(2)[i].values.to_numpy(zero_copy_only=False))
+                sides = []
+                for c, n in ((3, met >> 32), (4, met & 0xFFFFFFFF)):
+                    place = np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(-1, 4).astype(float)
+                    sides.append(np.hstack([n[:, None], place[n]]))
+                ok[i] = consensus(*sides) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     return run
 
@@ -167,31 +271,16 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, least: int = CON
     first = rows.groupBy("same").agg(F.min_by("image", "id").alias("image"), F.min("id").alias("id"))
     found = stash(first.select("id", "image").repartition(4 * width(spark), "id").mapInArrow(_describe, FEATURES))
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.shiftrightunsigned("descriptor", low).bitwiseAND((1 << n) - 1).alias("value")) for i, (low, n) in enumerate(TABLES)]))
-    entries = found.withColumn("key", key).select("id", "n", "x", "y", "scale", "angle", "descriptor", "key.table", "key.value")
-    # one entry of an image in a bucket is enough to make the pair; matches are taken between all features of the pair's buckets
-    member = entries.groupBy("table", "value", "id").agg(F.min(F.struct("n", "x", "y", "scale", "angle", "descriptor")).alias("f"))
-    sized = member.join(member.groupBy("table", "value").agg(F.count("*").alias("size"), F.min("id").alias("lead")).where("size > 1"), ["table", "value"])
-    side = lambda df, s: df.select("table", "value", F.col("id").alias(f"id{s}"), *[F.col(f"f.{c}").alias(f"{c}{s}") for c in ("n", "x", "y", "scale", "angle", "descriptor")])
-    few = sized.where(F.col("size") <= bucket)
-    pairs = side(few, 1).join(side(few, 2), ["table", "value"]).where("id1 < id2")
-    many = sized.where(F.col("size") > bucket)
-    leads = side(many, 1).join(side(many.where("id = lead"), 2), ["table", "value"]).where("id1 <> id2")
-    chain = Window.partitionBy("table", "value", F.pmod(F.xxhash64("id"), F.floor(F.col("size") / bucket) + 1)).orderBy("f.descriptor", "id")
-    follow = many.select("*", F.lead(F.struct("id", "f")).over(chain).alias("next")).where("next is not null")
-    steps = follow.select(
-        "table", "value", F.col("id").alias("id1"), *[F.col(f"f.{c}").alias(f"{c}1") for c in ("n", "x", "y", "scale", "angle", "descriptor")],
-        F.col("next.id").alias("id2"), *[F.col(f"next.f.{c}").alias(f"{c}2") for c in ("n", "x", "y", "scale", "angle", "descriptor")],
-    )
-    matches = pairs.unionByName(leads).unionByName(steps).where(F.bit_count(F.col("descriptor1").bitwiseXOR(F.col("descriptor2"))) <= bits)
-    swap = F.col("id1") > F.col("id2")
-    names = ("id", "n", "x", "y", "scale", "angle")
-    ordered = matches.select(*[F.when(swap, F.col(f"{c}{b}")).otherwise(F.col(f"{c}{a}")).alias(f"{c}{a}") for a, b in ((1, 2), (2, 1)) for c in names]).distinct()
-    enough = ordered.groupBy("id1", "id2").agg(F.count("*").alias("matches")).where(F.col("matches") >= least).drop("matches")
-    ordered = ordered.join(enough, ["id1", "id2"])
-    links = stash(ordered.groupBy("id1", "id2").applyInArrow(_judge(least), "a long, b long"))
+    entries = found.select("id", F.posexplode("descriptors").alias("n", "descriptor")).withColumn("key", key).select("id", "n", "descriptor", "key.table", "key.value")
+    # one entry of an image in a bucket
+    member = entries.groupBy("table", "value", "id").agg(F.min(F.struct("n", "descriptor")).alias("f")).select("id", "f.n", "f.descriptor", "table", "value")
+    met = matches(member, bits, bucket).distinct().groupBy("a", "b").agg(F.collect_list(F.shiftleft(F.col("n1").cast("long"), 32) + F.col("n2")).alias("met")).where(F.size("met") >= least)
+    place = lambda c, p: found.select(F.col("id").alias(c), F.col("places").alias(p))
+    judged = met.join(place("a", "places1"), "a").join(place("b", "places2"), "b").select("a", "b", "met", "places1", "places2")
+    links = stash(judged.mapInArrow(_judge(least), "a long, b long"))
     tree = components(links).toDF("id", "root")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    counts = found.groupBy("id").agg(F.count("*").cast("int").alias("n_features"))
+    counts = found.select("id", "n_features")
     info = first.select("same", "id").join(tree, "id", "left").join(degree, "id", "left").join(counts, "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     info = stash(info.select("same", F.coalesce("root", "id").alias("class_id"), zero("n_links").cast("long").alias("n_links"), zero("n_features").cast("int").alias("n_features")))

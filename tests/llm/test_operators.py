@@ -283,6 +283,23 @@ def test_image_copies(spark):
     assert read_pgm(b"P5\n# note\n2 1\n255\n\x01\x02").tolist() == [[1, 2]]
 
 
+def textured(rng, side=9, block=12):
+    return np.kron(rng.uniform(0, 255, (side, side)), np.ones((block, block)))
+
+
+@pytest.mark.parametrize("bucket", [None, 40])  # one task for a bucket; dealt out as pairs of blocks
+def test_links_of_many_image_copies_are_all_counted(spark, bucket):
+    rng = np.random.default_rng(2)
+    b, n = textured(rng), 150
+    rows = []
+    for i in range(n):
+        b[0, 0] = i
+        rows.append((i, write_pgm(b)))
+    different = len({r[1] for r in rows})
+    got = image_copies(spark.createDataFrame(rows, "id long, image binary"), **({"bucket": bucket} if bucket else {})).collect()
+    assert different == n and {(r.class_id, r.n_links) for r in got} == {(0, n - 1)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
