@@ -140,7 +140,7 @@ def _matched(key: np.ndarray, image: np.ndarray, n: np.ndarray, descriptor: np.n
     def take(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
         x = descriptor[i] ^ descriptor[j]
         ok = (np.bitwise_count(x.view(np.uint64)) <= bits) & (image[i] != image[j]) & ((side[i] == 2) | (side[i] != side[j])) & (table[i] == table[j])
-        ok[ok] = _met(x[ok], table[i[ok]])
+        ok[ok] = _first_met(x[ok], table[i[ok]])
         i, j = i[ok], j[ok]
         swap = image[i] > image[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -161,10 +161,10 @@ def _matched(key: np.ndarray, image: np.ndarray, n: np.ndarray, descriptor: np.n
             yield take(i + y[later], i + x[later])
 
 
-def _met(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether descriptors with this difference are equal in the table."""
-    low, width = np.array(TABLES).T
-    return x >> low[table] & ((1 << width[table]) - 1) == 0
+def _first_met(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the table is the first in which descriptors with this difference are equal, so that a match is found once."""
+    equal = np.stack([x >> low & ((1 << n) - 1) == 0 for low, n in TABLES])
+    return equal.any(axis=0) & (equal.argmax(axis=0) == table)
 
 
 def _search(bits: int, most: int | None):
@@ -206,7 +206,7 @@ def _search(bits: int, most: int | None):
 
 
 def matches(entries: DataFrame, bits: int = DIFFERENT_BITS, bucket: int = BUCKET) -> DataFrame:
-    """a, n1, b, n2: the matches of features of different images that meet in a bucket; ``entries``: id, n, descriptor, table, value."""
+    """a, n1, b, n2: the matches, each once, of all features of different images that meet in a bucket; ``entries``: id, n, descriptor, table, value."""
     n = width(entries.sparkSession)
     columns = ("key", "id", "n", "descriptor", "table", "side")
     keyed = entries.select((F.shiftleft(F.col("table").cast("long"), 22) + F.col("value")).alias("key"), "id", "n", "descriptor", "table", F.lit(2).alias("side"))
@@ -272,9 +272,7 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, least: int = CON
     found = stash(first.select("id", "image").repartition(4 * width(spark), "id").mapInArrow(_describe, FEATURES))
     key = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.shiftrightunsigned("descriptor", low).bitwiseAND((1 << n) - 1).alias("value")) for i, (low, n) in enumerate(TABLES)]))
     entries = found.select("id", F.posexplode("descriptors").alias("n", "descriptor")).withColumn("key", key).select("id", "n", "descriptor", "key.table", "key.value")
-    # one entry of an image in a bucket
-    member = entries.groupBy("table", "value", "id").agg(F.min(F.struct("n", "descriptor")).alias("f")).select("id", "f.n", "f.descriptor", "table", "value")
-    met = matches(member, bits, bucket).distinct().groupBy("a", "b").agg(F.collect_list(F.shiftleft(F.col("n1").cast("long"), 32) + F.col("n2")).alias("met")).where(F.size("met") >= least)
+    met = matches(entries, bits, bucket).groupBy("a", "b").agg(F.collect_list(F.shiftleft(F.col("n1").cast("long"), 32) + F.col("n2")).alias("met")).where(F.size("met") >= least)
     place = lambda c, p: found.select(F.col("id").alias(c), F.col("places").alias(p))
     judged = met.join(place("a", "places1"), "a").join(place("b", "places2"), "b").select("a", "b", "met", "places1", "places2")
     links = stash(judged.mapInArrow(_judge(least), "a long, b long"))

@@ -300,6 +300,19 @@ def test_links_of_many_image_copies_are_all_counted(spark, bucket):
     assert different == n and {(r.class_id, r.n_links) for r in got} == {(0, n - 1)}
 
 
+def test_all_features_of_a_bucket_are_matched(spark):
+    from lanternbase.llm.image_copies import TABLES, matches
+
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    near = [base, base ^ 1, base ^ (1 << 30), base ^ (1 << 50), base ^ 0b111 ^ (0b11 << 21) ^ (0b1 << 45), int(rng.integers(0, 1 << 62))]
+    rows = [(image, n, d ^ (image << 44)) for image in range(3) for n, d in enumerate(near)]
+    entries = [(i, n, d, t, (d >> low) & ((1 << m) - 1)) for i, n, d in rows for t, (low, m) in enumerate(TABLES)]
+    got = Counter(map(tuple, matches(spark.createDataFrame(entries, "id long, n int, descriptor long, table int, value long")).collect()))
+    meet = lambda x: x.bit_count() <= 6 and any((x >> low) & ((1 << m) - 1) == 0 for low, m in TABLES)
+    assert got == Counter((i, n, j, m) for i, n, d in rows for j, m, e in rows if i < j and meet(d ^ e))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
