@@ -24,6 +24,8 @@ from .common import only, stash, width
 from .components import components
 
 SCALES, PER_SCALE, RADIUS = (1.0, 1.5, 2.25), 24, 7
+#: Pixels of a scaled image each way within which a corner is kept if fewer than ``PER_SCALE`` are stronger: a crop keeps its share.
+AROUND = 36
 DIFFERENT_BITS, CONSENSUS, BUCKET = 6, 8, 4096
 TABLES = ((0, 21), (21, 21), (42, 22))
 #: places: x, y, scale, angle of each feature, as 32-bit floats.
@@ -84,6 +86,28 @@ _grid = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS,
 _disc = _grid[(_grid**2).sum(axis=1) <= RADIUS**2]
 
 
+def _strongest(y: np.ndarray, x: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Indices, strongest first, of the corners with fewer than ``PER_SCALE`` stronger ones, and none 100 times as strong, within ``AROUND`` pixels.
+
+    A corner's fate hangs on its surroundings only, so one that an image keeps is kept by every crop that holds it and its patch.
+    """
+    order = np.lexsort((x, y, -strength))
+    y, x, strength = y[order], x[order], strength[order]
+    cells: dict[tuple[int, int], list[int]] = {}
+    for i, c in enumerate(zip((y // AROUND).tolist(), (x // AROUND).tolist(), strict=True)):
+        cells.setdefault(c, []).append(i)
+    keep = np.zeros(len(order), bool)
+    for (r, c), mine in cells.items():
+        near = np.sort(np.concatenate([cells[r + dr, c + dc] for dr in (-1, 0, 1) for dc in (-1, 0, 1) if (r + dr, c + dc) in cells]))
+        for a in range(0, len(mine), 256):
+            m = np.array(mine[a : a + 256])
+            close = (np.abs(y[m][:, None] - y[near]) <= AROUND) & (np.abs(x[m][:, None] - x[near]) <= AROUND)
+            stronger = (close & (near < m[:, None])).sum(axis=1)
+            most = strength[near[close.argmax(axis=1)]]
+            keep[m] = (stronger < PER_SCALE) & (strength[m] > 0.01 * most)
+    return order[keep]
+
+
 def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n, 4) of x, y, scale, angle in the image's pixels, and n descriptors, the strongest corners of each scale first."""
     places, descriptors = [], []
@@ -98,8 +122,8 @@ def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = response[edge:-edge, edge:-edge]
         around = np.max([response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        y, x = np.nonzero((inner >= around) & (inner > max(1e-6, 0.01 * response.max())))
-        order = np.lexsort((x, y, -inner[y, x]))[:PER_SCALE]
+        y, x = np.nonzero((inner >= around) & (inner > 1e-6))
+        order = _strongest(y, x, inner[y, x])
         y, x = y[order] + edge, x[order] + edge
         if not len(x):
             continue
