@@ -60,7 +60,7 @@ def op8_hilbert_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return sample_segmentations(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ A text's lattice has an edge for each piece that fits at each position; characte
 every position the log mass of its completions, so the mass below any prefix is known exactly. The search keeps a
 heap of prefixes with perturbed log masses: the children of a prefix get Gumbel values conditioned on the
 prefix's own as their maximum, and completed segmentations leave the heap in the order of their perturbed log
-probabilities, which is a sample without replacement. One more than asked for gives the threshold of the inclusion scores.
+probabilities, which is a sample without replacement. Each prefix has exactly one segmentation of its own value below it, so the heap
+keeps as many prefixes as segmentations are still asked for; the others can't be reached. One more than asked for gives the threshold of the inclusion scores.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
-import heapq
 import math
 import random
 from collections.abc import Iterator
@@ -93,8 +94,10 @@ def sample(pieces: Pieces, text: str, k: int, rng: random.Random) -> list[tuple[
     heap = [(-(total - math.log(-math.log(rng.random() or 5e-324))), 0, 0, 0.0, None)]
     found = []
     while heap and len(found) <= k:
-        g, _, i, phi, path = heapq.heappop(heap)
+        g, _, i, phi, path = heap.pop(0)
         g = -g
+        room = k - len(found)  # segmentations wanted after this one
+        del heap[room:]
         while i < n:  # the child with the parent's value goes on at once; the others wait
             drawn = [(phi + p + mass[j] - math.log(-math.log(rng.random() or 5e-324)), j, phi + p, ids) for j, p, ids in edges[i]]
             z = max(d[0] for d in drawn)
@@ -106,7 +109,9 @@ def sample(pieces: Pieces, text: str, k: int, rng: random.Random) -> list[tuple[
                 v = g - x + math.log1p(-math.exp(x - z)) if x < z else -math.inf
                 shifted = g - max(0.0, v) - math.log1p(math.exp(-abs(v))) if v > -math.inf else g
                 count += 1
-                heapq.heappush(heap, (-shifted, count, j, f, (path, ids)))
+                if len(heap) < room or (heap and -shifted < heap[-1][0]):
+                    bisect.insort(heap, (-shifted, count, j, f, (path, ids)))
+                    del heap[room:]
             i, phi, path = best
         found.append((g, phi - total, path))
     threshold = found[k][0] - total if len(found) > k else -math.inf

@@ -254,6 +254,16 @@ def test_samples_follow_the_distribution(pieces):
         assert abs(inclusion[ids] / n - 1) < 0.1  # inverse inclusion weights are unbiased
 
 
+def test_the_query_segments_documents(spark, tmp_path):
+    from lanternbase.llm.queries import QUERIES
+
+    rows = [(1, "a star"), (2, None), (3, "lano koti " * 3000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = decode_segmentations(QUERIES["op9_segment_sampling"](spark, str(tmp_path))).collect()
+    assert {r.doc_id for r in got} == {1, 2, 3} and all(r.decoded == (dict(rows)[r.doc_id] or "") for r in got)
+    assert Counter(r.doc_id for r in got) == {1: 4, 2: 1, 3: 4}
+
+
 def test_segmentations(spark):
     texts = [None, "", "a", "hello world  twice", "日本 🙂 naïve", "line\nbreak\ttab"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3])]
