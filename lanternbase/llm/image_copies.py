@@ -1,12 +1,14 @@
 """Copies of images by local descriptors: cropped, edited, turned or resized ones share enough of them in one geometry.
 
-Corners are found on several scales of a gray image; each gets the direction of its patch's intensity centroid and 64 binary
-brightness tests turned by it. Descriptors meet by three Hamming tables (21, 21 and 22 bits): two that differ in at
-most two bits are equal in one. Matches of an image pair vote for turn, scale and shift; ``CONSENSUS`` distinct features that agree
-make a link, and linked images form a class.
-
-Byte-identical images are one before all that. A table's bucket gives all pairs of its images. Buckets above ``BUCKET`` entries are dealt
-out anew as pairs of blocks, so that no task holds a hot bucket and no pair is left out.
+Corners are found on several scales of a gray image, all that stand out in their surroundings; each gets the direction of its
+patch's intensity centroid and 256 binary brightness tests turned by it. Descriptors meet by eight Hamming tables of 32 bits: two that
+differ in at most seven bits are equal in one, others of a pair with some probability each. Image pairs of which
+``SHARED`` features meet are candidates. All features of both are then matched (``DIFFERENT_BITS`` or fewer), the matches vote for turn, scale and shift, and
+``CONSENSUS`` distinct features that agree, and ``AGREE`` of those matched, make a link; linked images form a class.
+
+Byte-identical images are one before all that. Classes need no pair of images that are connected already: small buckets of a table give all
+pairs, each larger one its pairs with one image first; after these are judged, it gives the pairs between different classes. Buckets
+above ``BUCKET`` entries are dealt out as pairs of blocks for that, so that no task holds a hot bucket and no pair of classes is left out.
 """
 
 from __future__ import annotations
@@ -16,20 +18,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .common import only, stash, width
 from .components import components
 
-SCALES, PER_SCALE, RADIUS = (1.0, 1.5, 2.25), 24, 7
-DIFFERENT_BITS, CONSENSUS, BUCKET = 6, 8, 4096
-TABLES = ((0, 21), (21, 21), (42, 22))
-#: places: x, y, scale, angle of each feature, as 32-bit floats.
-FEATURES = "id long, n_features int, places binary, descriptors array<long>"
-#: A match of features n1 of image a and n2 of image b (kind 0), or a row of a bucket that is too large (kind 1): a image, n1 feature, b descriptor, n2 table.
-MATCH = "kind int, a long, n1 int, b long, n2 int"
+SCALES, RADIUS, APART = (1.0, 1.5, 2.25), 13, 2
+#: Corner response (gray levels to the fourth) above the noise of rounding to 256 levels.
+RESPONSE = 4.0
+BITS, SEGMENT = 256, 32
+TABLES, WORDS = BITS // SEGMENT, BITS // 64
+DIFFERENT_BITS, SHARED, CONSENSUS, SMALL, BUCKET = 40, 2, 8, 16, 4096
+#: Share of the matched features that must agree: with many features, some agree by chance.
+AGREE = 0.2
+#: Cells of the votes: turn (a twelfth of a circle), logarithm of the scale, and place as a share of the left side's extent.
+CELLS = (np.pi / 6, 0.5, 0.25)
+#: places: x, y, scale, angle of each feature, as 32-bit floats; bits: the descriptors.
+FEATURES = "id long, n_features int, places binary, bits binary"
+#: Kind 0: features n1 of image a and n2 of image b are in one bucket. Kind 1: feature n1 of image a is in bucket b, a large one.
+MEETING = "kind int, a long, n1 int, b long, n2 int"
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -79,14 +88,16 @@ def _box(image: np.ndarray, r: int) -> np.ndarray:
 
 
 _rng = np.random.default_rng(64)
-_tests = np.clip(_rng.normal(0, RADIUS / 2, (64, 4)), -RADIUS + 1, RADIUS - 1)
+_tests = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS + 1, RADIUS - 1)
 _grid = np.stack(np.meshgrid(np.arange(-RADIUS, RADIUS + 1), np.arange(-RADIUS, RADIUS + 1)), axis=-1).reshape(-1, 2)
 _disc = _grid[(_grid**2).sum(axis=1) <= RADIUS**2]
+#: Corners that are described together.
+TOGETHER = 4096
 
 
 def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n, 4) of x, y, scale, angle in the image's pixels, and n descriptors, the strongest corners of each scale first."""
-    places, descriptors = [], []
+    """(n, 4) of x, y, scale, angle in the image's pixels, and (n, 4) words of the descriptors: every corner of each scale."""
+    places, descriptors = [np.zeros((0, 4))], [np.zeros((0, WORDS), np.uint64)]
     for scale in SCALES:
         small = image.astype(np.float64) if scale == 1 else resized(image.astype(np.float64), scale)
         edge = RADIUS + 2
@@ -97,26 +108,25 @@ def features(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
         inner = response[edge:-edge, edge:-edge]
-        around = np.max([response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        y, x = np.nonzero((inner >= around) & (inner > max(1e-6, 0.01 * response.max())))
-        order = np.lexsort((x, y, -inner[y, x]))[:PER_SCALE]
-        y, x = y[order] + edge, x[order] + edge
-        if not len(x):
-            continue
-        patch = smooth[y[:, None] + _disc[:, 1], x[:, None] + _disc[:, 0]]
-        patch = patch - patch.mean(axis=1, keepdims=True)
-        angle = np.arctan2((patch * _disc[:, 1]).sum(axis=1), (patch * _disc[:, 0]).sum(axis=1))
-        c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-
-        def look(px, py, c=c, s=s, x=x, y=y, smooth=smooth):
-            u, v = np.rint(c * px - s * py).astype(int) + x[:, None], np.rint(s * px + c * py).astype(int) + y[:, None]
-            return smooth[np.clip(v, 0, smooth.shape[0] - 1), np.clip(u, 0, smooth.shape[1] - 1)]
-
-        bits = look(_tests[:, 0], _tests[:, 1]) < look(_tests[:, 2], _tests[:, 3]) - 1e-9
-        descriptors.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0])
-        places.append(np.stack([(x + 0.5) * scale, (y + 0.5) * scale, np.full(len(x), scale), angle], axis=1))
-    if not places:
-        return np.zeros((0, 4)), np.zeros(0, np.uint64)
+        # the least row, then column, of equal neighbours is the corner
+        near = range(-APART, APART + 1)
+        around = np.max([response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx] for dy in near for dx in near if (dy, dx) != (0, 0)], axis=0)
+        before = np.max([response[edge + dy : response.shape[0] - edge + dy, edge + dx : response.shape[1] - edge + dx] for dy in near for dx in near if (dy, dx) < (0, 0)], axis=0)
+        ys, xs = np.nonzero((inner >= around) & (inner > before) & (inner > RESPONSE))
+        for i in range(0, len(xs), TOGETHER):
+            y, x = ys[i : i + TOGETHER] + edge, xs[i : i + TOGETHER] + edge
+            patch = smooth[y[:, None] + _disc[:, 1], x[:, None] + _disc[:, 0]]
+            patch = patch - patch.mean(axis=1, keepdims=True)
+            angle = np.arctan2((patch * _disc[:, 1]).sum(axis=1), (patch * _disc[:, 0]).sum(axis=1))
+            c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
+
+            def look(px, py, c=c, s=s, x=x, y=y, smooth=smooth):
+                u, v = np.rint(c * px - s * py).astype(int) + x[:, None], np.rint(s * px + c * py).astype(int) + y[:, None]
+                return smooth[np.clip(v, 0, smooth.shape[0] - 1), np.clip(u, 0, smooth.shape[1] - 1)]
+
+            bits = look(_tests[:, 0], _tests[:, 1]) < look(_tests[:, 2], _tests[:, 3]) - 1e-9
+            descriptors.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
+            places.append(np.stack([(x + 0.5) * scale, (y + 0.5) * scale, np.full(len(x), scale), angle], axis=1))
     return np.concatenate(places), np.concatenate(descriptors)
 
 
@@ -129,178 +139,279 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if image is not None:
                     place, bits = features(image)
                     if len(bits):
-                        out.append((image_id, len(bits), place.astype(np.float32).tobytes(), bits.view(np.int64)))
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=["id", "n_features", "places", "descriptors"])
-
-
-def _matched(key: np.ndarray, image: np.ndarray, n: np.ndarray, descriptor: np.ndarray, table: np.ndarray, side: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(image, feature, image, feature) of all matches within runs of one key, the smaller image first; equal sides meet if they are 2 only."""
-
-    def take(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
-        x = descriptor[i] ^ descriptor[j]
-        ok = (np.bitwise_count(x.view(np.uint64)) <= bits) & (image[i] != image[j]) & ((side[i] == 2) | (side[i] != side[j])) & (table[i] == table[j])
-        ok[ok] = _first_met(x[ok], table[i[ok]])
-        i, j = i[ok], j[ok]
-        swap = image[i] > image[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return image[i], n[i], image[j], n[j]
-
-    begin = np.flatnonzero(np.diff(key, prepend=key[0] - 1)) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, len(key)))
-    small = np.repeat(size <= 16, size)
-    at = np.flatnonzero(small)
-    for d in range(1, int(size[size <= 16].max(initial=1))):
-        same = np.flatnonzero(key[at[d:]] == key[at[:-d]])
-        yield take(at[same], at[same + d])
-    for s, m in zip(begin[size > 16], size[size > 16], strict=True):
-        for i in range(s, s + m, 512):
-            some = descriptor[i : min(i + 512, s + m)]
-            y, x = np.nonzero(np.bitwise_count((some[:, None] ^ descriptor[None, i : s + m]).view(np.uint64)) <= bits)
-            later = x > y
-            yield take(i + y[later], i + x[later])
-
-
-def _first_met(x: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether the table is the first in which descriptors with this difference are equal, so that a match is found once."""
-    equal = np.stack([x >> low & ((1 << n) - 1) == 0 for low, n in TABLES])
-    return equal.any(axis=0) & (equal.argmax(axis=0) == table)
-
-
-def _search(bits: int, most: int | None):
-    """Streams rows (key, image, feature, descriptor, table, side) sorted by key; see ``MATCH``. Buckets of over ``most`` rows are put off."""
-
-    def out(kind: int, a, n1, b, n2) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n1.astype(np.int32)), pa.array(b), pa.array(n2.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2"])
+                        out.append((image_id, len(bits), place.astype(np.float32).tobytes(), bits.tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=["id", "n_features", "places", "bits"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, id, n of rows (id, bits): an entry for each table of each feature."""
+    for batch in batches:
+        for image_id, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            segment = np.frombuffer(bits.as_buffer(), np.uint32).reshape(-1, TABLES).astype(np.int64)
+            key = (segment + (np.arange(TABLES, dtype=np.int64) << SEGMENT)).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), image_id)), pa.array(np.repeat(np.arange(len(segment), dtype=np.int32), TABLES))], names=["key", "id", "n"])
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+    return begin, np.diff(np.append(begin, len(key)))
+
+
+def _all_pairs(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within runs, some at a time."""
+    for n in np.unique(size[size > 1]).tolist():
+        one, two = np.triu_indices(n, 1)
+        some = begin[size == n]
+        step = max(1, (1 << 20) // len(one))
+        for i in range(0, len(some), step):
+            yield (some[i : i + step, None] + one).reshape(-1), (some[i : i + step, None] + two).reshape(-1)
+
+
+def _meeting(kind: int, a, n1, b, n2) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n1.astype(np.int32)), pa.array(b), pa.array(n2.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2"])
+
+
+def _pairs(image: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    ok = image[i] != image[j]
+    i, j = i[ok], j[ok]
+    swap = image[i] > image[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return _meeting(0, image[i], n[i], image[j], n[j])
+
+
+def _meet(small: int):
+    """Streams rows (key, id, n) sorted by key and a hash of the id: see ``MEETING``. The first image of a large bucket meets all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 6
-        late = None
+        held = [np.zeros(0, np.int64)] * 3
+        hub = None  # key, image and feature of a large bucket that is not at its end
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-            if late is not None and len(held[0]):
-                n = int(np.searchsorted(held[0], late, "right"))
-                yield out(1, *(c[:n] for c in held[1:5]))
-                held = [c[n:] for c in held]
             if not len(held[0]):
                 continue
-            n = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-            whole, held = [c[:n] for c in held], [c[n:] for c in held]
-            if most is not None and n:
-                begin = np.flatnonzero(np.diff(whole[0], prepend=whole[0][0] - 1))
-                size = np.diff(np.append(begin, n))
-                large = np.repeat(size > most, size)
-                yield out(1, *(c[large] for c in whole[1:5]))
-                whole = [c[~large] for c in whole]
-            for got in _matched(*whole, bits):
-                if len(got[0]):
-                    yield out(0, *got)
-            if most is not None and len(held[0]) > most:
-                late = held[0][0]
-                yield out(1, *(c for c in held[1:5]))
+            key = held[0]
+            n = 0
+            if hub is not None:
+                n = int(np.searchsorted(key, hub[0], "right"))
+                some = [c[:n] for c in held]
+                yield from _hub(hub, some)
+                if n < len(key):
+                    hub = None
+            stop = len(key) if batch is None else max(n, int(np.searchsorted(key, key[-1])))
+            whole, held = [c[n:stop] for c in held], [c[stop:] for c in held]
+            begin, size = _runs(whole[0])
+            few = size <= small
+            for i, j in _all_pairs(begin[few], size[few]):
+                yield _pairs(whole[1], whole[2], i, j)
+            for s, m in zip(begin[~few].tolist(), size[~few].tolist(), strict=True):
+                yield from _hub(tuple(int(c[s]) for c in whole), [c[s : s + m] for c in whole])
+            if len(held[0]) > small and (hub is None or held[0][0] != hub[0]):
+                hub = tuple(int(c[0]) for c in held)
+            if hub is not None and len(held[0]):
+                yield from _hub(hub, held)
                 held = [c[:0] for c in held]
 
+    def _hub(hub: tuple, some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, image, n = some
+        if len(key):
+            image, n = np.append(image, hub[1]), np.append(n, hub[2])
+            every = np.arange(len(key))
+            yield _pairs(image, n, every, np.full(len(key), len(key)))
+            yield _meeting(1, some[1], some[2], key, np.zeros(len(key)))
+
     return run
 
 
-def matches(entries: DataFrame, bits: int = DIFFERENT_BITS, bucket: int = BUCKET) -> DataFrame:
-    """a, n1, b, n2: the matches, each once, of all features of different images that meet in a bucket; ``entries``: id, n, descriptor, table, value."""
-    n = width(entries.sparkSession)
-    columns = ("key", "id", "n", "descriptor", "table", "side")
-    keyed = entries.select((F.shiftleft(F.col("table").cast("long"), 22) + F.col("value")).alias("key"), "id", "n", "descriptor", "table", F.lit(2).alias("side"))
-    first = stash(keyed.repartition(4 * n, "key").sortWithinPartitions("key").mapInArrow(_search(bits, bucket), MATCH))
-    found = first.where("kind = 0").drop("kind")
-    value = F.coalesce(*[F.when(F.col("n2") == i, F.shiftrightunsigned("b", low).bitwiseAND((1 << m) - 1)) for i, (low, m) in enumerate(TABLES)])
-    large = first.where("kind = 1").select(F.col("a").alias("id"), F.col("n1").alias("n"), F.col("b").alias("descriptor"), F.col("n2").alias("table"), value.alias("value"))
-    if large.isEmpty():
-        return found
-    blocks = large.groupBy("table", "value").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int")
-    dealt = large.join(F.broadcast(blocks), ["table", "value"]).select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int")).alias("side")
-    pairs = dealt.select(F.xxhash64("table", "value", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "n", "descriptor", "table", side)
-    again = pairs.select(*columns).repartition(4 * n, "key").sortWithinPartitions("key").mapInArrow(_search(bits, None), MATCH)
-    return found.unionByName(again.drop("kind"))
-
-
-def consensus(left: np.ndarray, right: np.ndarray) -> int:
-    """Matched features (n, 5: number, x, y, scale, angle) that agree in one similarity: the largest count of distinct ones on both sides."""
-    turn = right[:, 4] - left[:, 4]
-    ratio = right[:, 3] / left[:, 3]
-    best = 0
-    for t, r, a, b in zip(turn, ratio, left, right, strict=True):
-        c, s = np.cos(t) * r, np.sin(t) * r
-        x = b[1] + c * (left[:, 1] - a[1]) - s * (left[:, 2] - a[2])
-        y = b[2] + s * (left[:, 1] - a[1]) + c * (left[:, 2] - a[2])
-        apart = np.hypot(x - right[:, 1], y - right[:, 2])
-        agree = (apart < 3.0 * np.maximum(1, ratio) + 0.05 * np.hypot(left[:, 1] - a[1], left[:, 2] - a[2])) & (np.cos(turn - t) > 0.9) & (np.abs(np.log(ratio / r)) < 0.5)
-        best = max(best, min(len(np.unique(left[agree, 0])), len(np.unique(right[agree, 0]))))
-    return best
-
-
-def _judge(least: int):
-    """The pairs (a, b, met, places1, places2) whose matches agree in one geometry; met holds n1 << 32 | n2."""
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one bucket and different classes, of rows (key, id, n, root, side) sorted by key; equal sides meet if they are 2 only."""
+    held = [np.zeros(0, np.int64)] * 5
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
+        if not len(held[0]):
+            continue
+        stop = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+        (key, image, n, root, side), held = [c[:stop] for c in held], [c[stop:] for c in held]
+        for s, m in zip(*(x.tolist() for x in _runs(key)), strict=True):
+            r, d = root[s : s + m], side[s : s + m]
+            if (r == r[0]).all():
+                continue
+            for i in range(0, m, 512):
+                y, x = np.nonzero(r[i : i + 512, None] != r[None, i:])
+                y, x = y + i, x + i
+                ok = (x > y) & ((d[y] == 2) | (d[y] != d[x]))
+                yield _pairs(image, n, s + y[ok], s + x[ok])
+
+
+def _distinct(group: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
+    """How many different ``n`` each group has."""
+    both = np.unique(group * (int(n.max(initial=0)) + 1) + n)
+    return np.bincount(both // (int(n.max(initial=0)) + 1), minlength=groups)
+
+
+def consensus(left: np.ndarray, right: np.ndarray, least: int = 1) -> int:
+    """Matched features (m, 5: number, x, y, scale, angle) that agree in one similarity: a count of distinct ones on both sides; 0 if under ``least``.
+
+    Each match votes for turn, scale and the place of the left side's middle, in the two nearest cells of each. From every cell
+    with ``least`` votes a similarity is fitted, most votes first, until one has as many matches near it.
+    """
+    if len(left) < least:
+        return 0
+    turn, ratio = np.mod(right[:, 4] - left[:, 4], 2 * np.pi), np.log(right[:, 3] / left[:, 3])
+    z, w = left[:, 1] + 1j * left[:, 2], right[:, 1] + 1j * right[:, 2]
+    middle = z.mean()
+    extent = max(20.0, float(np.abs(z - middle).max()) * 2)
+    votes = []
+    for scale in (0, 1):
+        r = np.floor(ratio / CELLS[1] - 0.5) + scale
+        cell = CELLS[2] * extent * np.exp((r + 0.5) * CELLS[1])
+        spot = w + np.exp(ratio + 1j * turn) * (middle - z)
+        for t, x, y in itertools.product((0, 1), repeat=3):
+            votes.append(np.stack([np.mod(np.floor(turn / CELLS[0] - 0.5) + t, round(2 * np.pi / CELLS[0])), r, np.floor(spot.real / cell - 0.5) + x, np.floor(spot.imag / cell - 0.5) + y]))
+    key = np.concatenate(votes, axis=1).astype(np.int64)
+    key = ((key[0] * 1000003 + key[1]) * 1000003 + key[2]) * 1000003 + key[3]
+    match = np.tile(np.arange(len(left)), 16)
+    order = np.argsort(key, kind="stable")
+    key, match = key[order], match[order]
+    begin, size = _runs(key)
+    some = np.flatnonzero(size >= least)
+    if not len(some):
+        return 0
+    match = np.concatenate([match[begin[s] : begin[s] + size[s]] for s in some])
+    group = np.repeat(np.arange(len(some)), size[some])
+    count = np.minimum(*(_distinct(group, side[match, 0].astype(np.int64), len(some)) for side in (left, right)))
+    upto = np.concatenate([[0], np.cumsum(size[some])])
+    for g in np.argsort(-count, kind="stable"):
+        if count[g] < least:
+            break
+        inside = match[upto[g] : upto[g + 1]]
+        about = np.exp(1j * turn[inside]).mean()
+        factor = np.exp(np.median(ratio[inside])) * about / max(1e-9, abs(about))
+        spot = w[inside] - factor * (z[inside] - middle)
+        shift = np.median(spot.real) + 1j * np.median(spot.imag) - factor * middle
+        for slack in (0.2, 0.1, 0.05):
+            r = abs(factor)
+            near = np.abs(factor * z + shift - w) < 3.0 * max(1.0, r) + slack * r * np.abs(z - middle)
+            near &= (np.cos(turn - np.angle(factor)) > 0.8) & (np.abs(ratio - np.log(r)) < 0.6)
+            found = min(len(np.unique(left[near, 0])), len(np.unique(right[near, 0])))
+            if found < least:
+                break
+            zm, wm = z[near].mean(), w[near].mean()
+            spread = (np.abs(z[near] - zm) ** 2).sum()
+            if spread > 1e-9:
+                factor = (np.conj(z[near] - zm) * (w[near] - wm)).sum() / spread
+                shift = wm - factor * zm
+            if abs(factor) < 1e-3:
+                break
+        else:
+            return found
+    return 0
+
+
+def matched(one: np.ndarray, two: np.ndarray, bits: int = DIFFERENT_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of descriptors (n, words) that differ in at most ``bits`` bits."""
+    found = []
+    step = max(1, (1 << 20) // max(1, len(two)))
+    for i in range(0, len(one), step):
+        far = np.bitwise_count(one[i : i + step, None] ^ two[None]).sum(axis=2, dtype=np.int64)
+        y, x = np.nonzero(far <= bits)
+        found.append((y + i, x))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def linked(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], bits: int = DIFFERENT_BITS, least: int = CONSENSUS) -> bool:
+    """Whether two images, given by places and descriptors, are copies."""
+    i, j = matched(one[1], two[1], bits)
+    met = min(len(np.unique(i)), len(np.unique(j)))
+    needed = max(least, int(np.ceil(AGREE * met)))
+    return met >= least and consensus(np.hstack([i[:, None], one[0][i]]), np.hstack([j[:, None], two[0][j]]), needed) >= needed
+
+
+def _judge(bits: int, least: int):
+    """The pairs (a, b, places and bits of a, of b) that are links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            ok = np.zeros(len(a), bool)
-            for i in range(len(a)):
-                met = np.sort(batch.column(2)[i].values.to_numpy(zero_copy_only=False))
-                sides = []
-                for c, n in ((3, met >> 32), (4, met & 0xFFFFFFFF)):
-                    place = np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(-1, 4).astype(float)
-                    sides.append(np.hstack([n[:, None], place[n]]))
-                ok[i] = consensus(*sides) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+            ok = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                sides = [(np.frombuffer(batch.column(c)[i].as_buffer(), np.float32).reshape(-1, 4).astype(float), np.frombuffer(batch.column(c + 1)[i].as_buffer(), np.uint64).reshape(-1, WORDS)) for c in (2, 4)]
+                ok[i] = linked(*sides, bits, least)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
 
     return run
 
 
-def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, least: int = CONSENSUS, bucket: int = BUCKET) -> DataFrame:
-    """id, n_features, class_id (smallest id of the class), n_links (to different images) of every row of ``images`` (id, image).
+def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, shared: int = SHARED, least: int = CONSENSUS, small: int = SMALL, bucket: int = BUCKET) -> DataFrame:
+    """id, n_features, class_id (smallest id of the class) of every row of ``images`` (id, image).
 
     image is a binary PGM. What can't be read, null or empty has no features and is a class by its bytes. Byte-identical images are in one class.
-    Rows without an id are left out; repeated rows count once. Extra columns are ignored; an empty table gives an empty result.
+    Of equal corner responses next to each other the upper, then left one is the corner. A large image has features in proportion to its area, and the work on
+    a pair is in proportion to their product, a part of the matches at a time. Rows without an id are left out; repeated rows count once; an id with several
+    images is in the class of each. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = images.sparkSession
     rows = only(images, "id", "image").where("id is not null").withColumn("same", F.md5(F.coalesce("image", F.lit("").cast("binary"))))
     ids = stash(rows.select("id", "same").distinct())
-    first = rows.groupBy("same").agg(F.min_by("image", "id").alias("image"), F.min("id").alias("id"))
-    found = stash(first.select("id", "image").repartition(4 * width(spark), "id").mapInArrow(_describe, FEATURES))
-    key = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.shiftrightunsigned("descriptor", low).bitwiseAND((1 << n) - 1).alias("value")) for i, (low, n) in enumerate(TABLES)]))
-    entries = found.select("id", F.posexplode("descriptors").alias("n", "descriptor")).withColumn("key", key).select("id", "n", "descriptor", "key.table", "key.value")
-    met = matches(entries, bits, bucket).groupBy("a", "b").agg(F.collect_list(F.shiftleft(F.col("n1").cast("long"), 32) + F.col("n2")).alias("met")).where(F.size("met") >= least)
-    place = lambda c, p: found.select(F.col("id").alias(c), F.col("places").alias(p))
-    judged = met.join(place("a", "places1"), "a").join(place("b", "places2"), "b").select("a", "b", "met", "places1", "places2")
-    links = stash(judged.mapInArrow(_judge(least), "a long, b long"))
-    tree = components(links).toDF("id", "root")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    first = rows.groupBy("same").agg(F.min_by("image", "id").alias("image"), F.min("id").alias("least"))
+    # an image goes by a number of its bytes: an id may have several images
+    first = first.select("same", "least", F.conv(F.substring("same", 2, 15), 16, 10).cast("long").alias("id"), "image")
+    n = width(spark)
+    found = stash(first.select("id", "image").repartition(4 * n, "id").mapInArrow(_describe, FEATURES))
+    entries = found.select("id", "bits").mapInArrow(_entries, "key long, id long, n int")
+    met = stash(entries.repartition(2 * n, "key").sortWithinPartitions("key", "id").mapInArrow(_meet(small), MEETING))
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        side = lambda c: found.select(F.col("id").alias(c), F.col("places").alias(f"places_{c}"), F.col("bits").alias(f"bits_{c}"))
+        few = pairs.groupBy("a", "b").agg(F.size(F.collect_set("n1")).alias("n1"), F.size(F.collect_set("n2")).alias("n2")).where(F.least("n1", "n2") >= shared)
+        both = stash(few.select("a", "b")).join(side("a"), "a").join(side("b"), "b").select("a", "b", "places_a", "bits_a", "places_b", "bits_b")
+        return stash(both.repartition(4 * n).mapInArrow(_judge(bits, least), "a long, b long"))
+
+    links = judged(met.where("kind = 0"))
+    large = met.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("n1").alias("n"))
+    tree = stash(components(links).toDF("id", "root"))
+    if not large.isEmpty():
+        placed = stash(large.join(tree, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+        # a bucket within one class has no more to say
+        mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"), F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key", "blocks")
+        mine = F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int")
+        dealt = placed.join(mixed, "key").select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+        side = F.when(F.col("mine") == F.col("at"), 2).otherwise((F.col("mine") > F.col("at")).cast("int")).alias("side")
+        dealt = dealt.select(F.xxhash64("key", F.least("mine", "at"), F.greatest("mine", "at")).alias("key"), "id", "n", "root", side)
+        rest = dealt.repartition(2 * n, "key").sortWithinPartitions("key").mapInArrow(_between, MEETING)
+        tree = stash(components(links.union(judged(rest))).toDF("id", "root"))
     counts = found.select("id", "n_features")
-    info = first.select("same", "id").join(tree, "id", "left").join(degree, "id", "left").join(counts, "id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    info = stash(info.select("same", F.coalesce("root", "id").alias("class_id"), zero("n_links").cast("long").alias("n_links"), zero("n_features").cast("int").alias("n_features")))
-    return ids.join(info, "same").select("id", "n_features", "class_id", "n_links")
+    info = first.select("same", "least", "id").join(tree, "id", "left").join(counts, "id", "left")
+    info = stash(info.select("same", "least", F.coalesce("root", "id").alias("root"), F.coalesce("n_features", F.lit(0)).alias("n_features")))
+    classes = info.groupBy("root").agg(F.min("least").alias("class_id"))
+    return ids.join(info.join(classes, "root"), "same").select("id", "n_features", "class_id")
 
 
-_waves = np.random.default_rng(72)
-_turns = _waves.uniform(1.0, 9.0, 512) * np.exp(2j * np.pi * _waves.random(512))
-_phase = 2 * np.pi * _waves.random(512)
 _side = np.arange(72) / 72
+_drawn: dict[int, np.ndarray] = {}
+
+
+def _waves(n: int) -> np.ndarray:
+    """The plane waves of vectors with ``n`` components."""
+    if n not in _drawn:
+        rng = np.random.default_rng(72)
+        turn, phase = np.array([(rng.uniform(1.0, 9.0) * np.exp(2j * np.pi * rng.random()), 2 * np.pi * rng.random()) for _ in range(n)]).T
+        _drawn.clear()
+        _drawn[n] = np.cos(2 * np.pi * (turn.real[:, None, None] * _side[None, None, :] + turn.imag[:, None, None] * _side[None, :, None]) + phase.real[:, None, None]).reshape(n, -1)
+    return _drawn[n]
 
 
 @F.pandas_udf(BinaryType())
 def rendered(vectors):
-    """A vector as a gray PGM of 72 by 72: a sum of plane waves, one for each component (the first 512). Near vectors give near images; none gives null."""
-    waves = np.cos(2 * np.pi * (_turns.real[:, None, None] * _side[None, None, :] + _turns.imag[:, None, None] * _side[None, :, None]) + _phase[:, None, None]).reshape(512, -1)
+    """A vector as a gray PGM of 72 by 72: a sum of plane waves, one for each component. Near vectors give near images; none gives null."""
 
     def draw(v):
         if v is None or not len(v):
             return None
-        x = np.nan_to_num(np.asarray(v, np.float64), posinf=0.0, neginf=0.0)[:512]
-        image = x @ waves[: len(x)]
+        x = np.nan_to_num(np.asarray(v, np.float64), posinf=0.0, neginf=0.0)
+        image = x @ _waves(len(x))
         return write_pgm(128 + 45 * image.reshape(72, 72) / (image.std() or 1.0))
 
     return vectors.map(draw)

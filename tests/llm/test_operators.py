@@ -1,5 +1,6 @@
 """The other operators against brute force, exact round trips and held-out accuracy."""
 
+import itertools
 import json
 import math
 import random
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from lanternbase.llm.bytesops import PAD, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 from lanternbase.llm.hilbert_knn import hilbert, neighbours
-from lanternbase.llm.image_copies import image_copies, read_pgm, write_pgm
+from lanternbase.llm.components import forest
+from lanternbase.llm.image_copies import features, image_copies, linked, read_pgm, write_pgm
 from lanternbase.llm.ngram_lm import ALPHA, MU, cross_entropy_difference
 from lanternbase.llm.packing import pack
 from lanternbase.llm.quality import accepted, fit, held_out, score, statistics, teaching, train
@@ -297,30 +299,33 @@ def textured(rng, side=9, block=12):
     return np.kron(rng.uniform(0, 255, (side, side)), np.ones((block, block)))
 
 
-@pytest.mark.parametrize("bucket", [None, 40])  # one task for a bucket; dealt out as pairs of blocks
-def test_links_of_many_image_copies_are_all_counted(spark, bucket):
+def classes_of_all_pairs(rows):
+    """Class of each id, by judging every pair of images."""
+    described = {i: features(read_pgm(data)) for i, data in rows}
+    a, b = zip(*[(i, j) for i, j in itertools.combinations(sorted(described), 2) if linked(described[i], described[j])], strict=True)
+    root = dict(zip(*map(list, forest(np.array(a), np.array(b))), strict=True))
+    return {i: root.get(i, i) for i in described}
+
+
+@pytest.mark.parametrize("limits", [{}, {"small": 3, "bucket": 20}])  # large buckets; dealt out as pairs of blocks
+def test_image_classes_equal_those_of_all_pairs(spark, limits):
     rng = np.random.default_rng(2)
-    b, n = textured(rng), 150
     rows = []
-    for i in range(n):
-        b[0, 0] = i
-        rows.append((i, write_pgm(b)))
-    different = len({r[1] for r in rows})
-    got = image_copies(spark.createDataFrame(rows, "id long, image binary"), **({"bucket": bucket} if bucket else {})).collect()
-    assert different == n and {(r.class_id, r.n_links) for r in got} == {(0, n - 1)}
-
-
-def test_all_features_of_a_bucket_are_matched(spark):
-    from lanternbase.llm.image_copies import TABLES, matches
-
-    rng = np.random.default_rng(4)
-    base = int(rng.integers(0, 1 << 62))
-    near = [base, base ^ 1, base ^ (1 << 30), base ^ (1 << 50), base ^ 0b111 ^ (0b11 << 21) ^ (0b1 << 45), int(rng.integers(0, 1 << 62))]
-    rows = [(image, n, d ^ (image << 44)) for image in range(3) for n, d in enumerate(near)]
-    entries = [(i, n, d, t, (d >> low) & ((1 << m) - 1)) for i, n, d in rows for t, (low, m) in enumerate(TABLES)]
-    got = Counter(map(tuple, matches(spark.createDataFrame(entries, "id long, n int, descriptor long, table int, value long")).collect()))
-    meet = lambda x: x.bit_count() <= 6 and any((x >> low) & ((1 << m) - 1) == 0 for low, m in TABLES)
-    assert got == Counter((i, n, j, m) for i, n, d in rows for j, m, e in rows if i < j and meet(d ^ e))
+    for group, size in ((0, 60), (100, 25), (200, 1), (300, 2)):
+        base = textured(rng)
+        rows += [(group + i, write_pgm(base + rng.normal(0, 3, base.shape))) for i in range(size)]
+    tile = np.tile(textured(rng, 5, 8), (3, 3))  # each motif many times: one image has equal features
+    rows += [(400, write_pgm(tile)), (401, write_pgm(0.9 * tile)), (402, write_pgm(tile[8:, 16:]))]
+    got = {r.id: r.class_id for r in image_copies(spark.createDataFrame(rows, "id long, image binary"), **limits).collect()}
+    assert got == classes_of_all_pairs(rows) and {got[i] for i in (400, 401, 402)} == {400} and got[59] == 0
+
+
+def test_crop_of_a_large_image(spark):
+    rng = np.random.default_rng(5)
+    large = textured(rng, 40, 12)
+    rows = [(1, write_pgm(large)), (2, write_pgm(large[200:290, 300:400])), (3, write_pgm(textured(rng, 40, 12)))]
+    got = {r.id: r for r in image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert [got[i].class_id for i in (1, 2, 3)] == [1, 1, 3] and got[1].n_features > 500
 
 
 def test_pipeline(spark, tmp_path):
