@@ -1,8 +1,8 @@
 """Copies of images by local descriptors: cropped, edited, turned or resized ones share enough of them in one geometry.
 
 Corners are found on several scales of a gray image, all that stand out in their surroundings; each gets the direction of its
-patch's intensity centroid and 256 binary brightness tests turned by it. Descriptors meet by eight Hamming tables of 32 bits: two that
-differ in at most seven bits are equal in one, others of a pair with some probability each. Image pairs of which
+patch's intensity centroid and 256 binary brightness tests turned by it. Descriptors meet by eight Hamming tables of 32 bits: two that are
+equal in one, and differ in ``WORD_BITS`` or fewer of the 64 bits of another part. Image pairs of which
 ``SHARED`` features meet are candidates. All features of both are then matched (``DIFFERENT_BITS`` or fewer), the matches vote for turn, scale and shift, and
 ``CONSENSUS`` distinct features that agree, and ``AGREE`` of those matched, make a link; linked images form a class.
 
@@ -37,8 +37,11 @@ AGREE = 0.2
 CELLS = (np.pi / 6, 0.5, 0.25)
 #: places: x, y, scale, angle of each feature, as 32-bit floats; bits: the descriptors.
 FEATURES = "id long, n_features int, places binary, bits binary"
-#: Kind 0: features n1 of image a and n2 of image b are in one bucket. Kind 1: feature n1 of image a is in bucket b, a large one.
-MEETING = "kind int, a long, n1 int, b long, n2 int"
+#: Bits of the word of a feature that the table's segment is no part of, in which features of a bucket may differ: the tables give chance
+#: meetings in proportion to the square of the images, and this leaves out most.
+WORD_BITS = 16
+#: Kind 0: features n1 of image a and n2 of image b meet. Kind 1: feature n1 of image a, with this word, is in bucket b, a large one.
+MEETING = "kind int, a long, n1 int, b long, n2 int, word long"
 
 
 def read_pgm(data: bytes | None) -> np.ndarray | None:
@@ -145,12 +148,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, id, n of rows (id, bits): an entry for each table of each feature."""
+    """key, id, n, word of rows (id, bits): an entry for each table of each feature."""
     for batch in batches:
         for image_id, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             segment = np.frombuffer(bits.as_buffer(), np.uint32).reshape(-1, TABLES).astype(np.int64)
             key = (segment + (np.arange(TABLES, dtype=np.int64) << SEGMENT)).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), image_id)), pa.array(np.repeat(np.arange(len(segment), dtype=np.int32), TABLES))], names=["key", "id", "n"])
+            word = np.frombuffer(bits.as_buffer(), np.int64).reshape(-1, WORDS)[:, (np.arange(TABLES) * SEGMENT // 64 + WORDS // 2) % WORDS].reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), image_id)), pa.array(np.repeat(np.arange(len(segment), dtype=np.int32), TABLES)), pa.array(word)], names=["key", "id", "n", "word"])
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,25 +172,25 @@ def _all_pairs(begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray
             yield (some[i : i + step, None] + one).reshape(-1), (some[i : i + step, None] + two).reshape(-1)
 
 
-def _meeting(kind: int, a, n1, b, n2) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n1.astype(np.int32)), pa.array(b), pa.array(n2.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2"])
+def _meeting(kind: int, a, n1, b, n2, word) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n1.astype(np.int32)), pa.array(b), pa.array(n2.astype(np.int32)), pa.array(word)]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2", "word"])
 
 
-def _pairs(image: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    ok = image[i] != image[j]
+def _pairs(image: np.ndarray, n: np.ndarray, word: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    ok = (image[i] != image[j]) & (np.bitwise_count((word[i] ^ word[j]).view(np.uint64)) <= WORD_BITS)
     i, j = i[ok], j[ok]
     swap = image[i] > image[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return _meeting(0, image[i], n[i], image[j], n[j])
+    return _meeting(0, image[i], n[i], image[j], n[j], np.zeros(len(i), np.int64))
 
 
 def _meet(small: int):
-    """Streams rows (key, id, n) sorted by key and a hash of the id: see ``MEETING``. The first image of a large bucket meets all others."""
+    """Streams rows (key, id, n, word) sorted by key and id: see ``MEETING``. The first entry of a large bucket is held to all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        hub = None  # key, image and feature of a large bucket that is not at its end
+        held = [np.zeros(0, np.int64)] * 4
+        hub = None  # key, image, feature and word of the first entry of a large bucket that is not at its end
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
@@ -205,7 +209,7 @@ def _meet(small: int):
             begin, size = _runs(whole[0])
             few = size <= small
             for i, j in _all_pairs(begin[few], size[few]):
-                yield _pairs(whole[1], whole[2], i, j)
+                yield _pairs(*whole[1:], i, j)
             for s, m in zip(begin[~few].tolist(), size[~few].tolist(), strict=True):
                 yield from _hub(tuple(int(c[s]) for c in whole), [c[s : s + m] for c in whole])
             if len(held[0]) > small and (hub is None or held[0][0] != hub[0]):
@@ -215,26 +219,25 @@ def _meet(small: int):
                 held = [c[:0] for c in held]
 
     def _hub(hub: tuple, some: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, image, n = some
+        key, image, n, word = some
         if len(key):
-            image, n = np.append(image, hub[1]), np.append(n, hub[2])
             every = np.arange(len(key))
-            yield _pairs(image, n, every, np.full(len(key), len(key)))
-            yield _meeting(1, some[1], some[2], key, np.zeros(len(key)))
+            yield _pairs(*(np.append(c, x) for c, x in zip(some[1:], hub[1:], strict=True)), every, np.full(len(key), len(key)))
+            yield _meeting(1, image, n, key, np.zeros(len(key)), word)
 
     return run
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket and different classes, of rows (key, id, n, root, side) sorted by key; equal sides meet if they are 2 only."""
-    held = [np.zeros(0, np.int64)] * 5
+    """Pairs of one bucket and different classes, of rows (key, id, n, word, root, side) sorted by key; equal sides meet if they are 2 only."""
+    held = [np.zeros(0, np.int64)] * 6
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
         if not len(held[0]):
             continue
         stop = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-        (key, image, n, root, side), held = [c[:stop] for c in held], [c[stop:] for c in held]
+        (key, image, n, word, root, side), held = [c[:stop] for c in held], [c[stop:] for c in held]
         for s, m in zip(*(x.tolist() for x in _runs(key)), strict=True):
             r, d = root[s : s + m], side[s : s + m]
             if (r == r[0]).all():
@@ -243,7 +246,7 @@ def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 y, x = np.nonzero(r[i : i + 512, None] != r[None, i:])
                 y, x = y + i, x + i
                 ok = (x > y) & ((d[y] == 2) | (d[y] != d[x]))
-                yield _pairs(image, n, s + y[ok], s + x[ok])
+                yield _pairs(image, n, word, s + y[ok], s + x[ok])
 
 
 def _distinct(group: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
@@ -360,7 +363,7 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, shared: int = SH
     first = first.select("same", "least", F.conv(F.substring("same", 2, 15), 16, 10).cast("long").alias("id"), "image")
     n = width(spark)
     found = stash(first.select("id", "image").repartition(4 * n, "id").mapInArrow(_describe, FEATURES))
-    entries = found.select("id", "bits").mapInArrow(_entries, "key long, id long, n int")
+    entries = found.select("id", "bits").mapInArrow(_entries, "key long, id long, n int, word long")
     met = stash(entries.repartition(2 * n, "key").sortWithinPartitions("key", "id").mapInArrow(_meet(small), MEETING))
 
     def judged(pairs: DataFrame) -> DataFrame:
@@ -370,16 +373,16 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, shared: int = SH
         return stash(both.repartition(4 * n).mapInArrow(_judge(bits, least), "a long, b long"))
 
     links = judged(met.where("kind = 0"))
-    large = met.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("n1").alias("n"))
+    large = met.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("n1").alias("n"), "word")
     tree = stash(components(links).toDF("id", "root"))
     if not large.isEmpty():
-        placed = stash(large.join(tree, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")))
+        placed = stash(large.join(tree, "id", "left").select("key", "id", "n", "word", F.coalesce("root", "id").alias("root")))
         # a bucket within one class has no more to say
         mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"), F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key", "blocks")
         mine = F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int")
         dealt = placed.join(mixed, "key").select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
         side = F.when(F.col("mine") == F.col("at"), 2).otherwise((F.col("mine") > F.col("at")).cast("int")).alias("side")
-        dealt = dealt.select(F.xxhash64("key", F.least("mine", "at"), F.greatest("mine", "at")).alias("key"), "id", "n", "root", side)
+        dealt = dealt.select(F.xxhash64("key", F.least("mine", "at"), F.greatest("mine", "at")).alias("key"), "id", "n", "word", "root", side)
         rest = dealt.repartition(2 * n, "key").sortWithinPartitions("key").mapInArrow(_between, MEETING)
         tree = stash(components(links.union(judged(rest))).toDF("id", "root"))
     counts = found.select("id", "n_features")
