@@ -1,29 +1,42 @@
 """Distinct sampled segmentations of texts over a piece vocabulary: Gumbel top-k without replacement by perturbed A-star search.
 
-A text's lattice has an edge for each piece that fits at each position; characters without a piece take byte pieces. Backward sums give
-every position the log mass of its completions, so the mass below any prefix is known exactly. The search keeps a
-heap of prefixes with perturbed log masses: the children of a prefix get Gumbel values conditioned on the
-prefix's own as their maximum, and completed segmentations leave the heap in the order of their perturbed log
-probabilities, which is a sample without replacement. Each prefix has exactly one segmentation of its own value below it, so the heap
-keeps as many prefixes as segmentations are still asked for; the others can't be reached. One more than asked for gives the threshold of the inclusion scores.
+A text's lattice has an edge for each piece that fits at each position; characters without a piece take byte pieces. No piece goes on over
+the beginning of a word, so the lattice is a chain of words' lattices, and a word's is worked out once for all its places. Backward sums give
+the mass of every set of completions exactly, so the search needs no guess: a node is the set of segmentations that agree with a found one before
+some word and take none of some choices there. A heap holds nodes by their perturbed log mass, which is the largest perturbed log probability of a segmentation
+in them. The best node gives the next segmentation, drawn from the node's own distribution; what is left of the node falls apart into one node
+for each word from there on, with Gumbel values conditioned on the parent's as their maximum. Segmentations leave in the order of their perturbed
+log probabilities, which is a sample without replacement. The heap keeps as many nodes as segmentations are still asked for; the others can't
+be reached. One more than asked for gives the threshold of the inclusion scores.
+
+The searches of a batch of texts go on together, one segmentation each at a time, as numpy work on all their words; only the drawing at
+a node's first word, which bars some choices, and words of over ``LONG`` characters go step by step.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import random
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytesops import U, mix, ragged, slices
+from .common import only
+
 K, SEED = 4, 9
 #: Temperature-like exponent of the prior over piece ids, and its offset: log p = -SLOPE * log(id + OFFSET), normalised.
 SLOPE, OFFSET = 1.0, 3.0
 SPACE = "▁"
+#: Characters of a batch; characters (and steps of a walk) from which on a word is worked out alone.
+BATCH, LONG = 1 << 20, 128
+#: Log probabilities are added as integers, so that a text's results do not depend on the texts beside it.
+UNIT = 2.0**34
 
 
 def default_path() -> str:
@@ -39,7 +52,7 @@ class Pieces:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = self.sp.get_piece_size()
+        n = n_pieces = self.sp.get_piece_size()
         self.text = [self.sp.id_to_piece(i) for i in range(n)]
         self.byte = {int(self.text[i][3:5], 16): i for i in range(n) if self.sp.is_byte(i)}
         self.bytes_of = {i: b for b, i in self.byte.items()}
@@ -49,6 +62,19 @@ class Pieces:
         self.log_p = {i: x - total for i, x in weight.items()}
         self.ids = {self.text[i]: i for i in weight if i not in self.bytes_of}
         self.longest = max(map(len, self.ids))
+        if any(SPACE in t.lstrip(SPACE) for t in self.ids):
+            raise ValueError("a piece goes on over the beginning of a word")
+        # of each length, the pieces' beginnings as hashes, and the piece that is no longer (or -1)
+        self.begins = []
+        for n in range(1, self.longest + 1):
+            starts = dict.fromkeys((t[:n] for t in self.ids if len(t) >= n), -1)
+            starts |= {t: i for t, i in self.ids.items() if len(t) == n}
+            h = np.zeros(len(starts), U)
+            for c in np.array([list(map(ord, t)) for t in starts], U).T:
+                h = _roll(h, c)
+            order = np.argsort(h)
+            self.begins.append((h[order], np.array(list(starts.values()))[order]))
+        self.price = np.array([self.log_p.get(i, -np.inf) for i in range(n_pieces)])
 
     def normalize(self, text: str) -> str:
         """Spaces become the space sign, and one leads the text; an empty text stays empty."""
@@ -59,71 +85,335 @@ class Pieces:
         raw = b"".join(bytes([self.bytes_of[i]]) if i in self.bytes_of else self.text[i].encode() for i in ids)
         return raw.decode().replace(SPACE, " ")[1:]
 
-    def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Of each position: (end, log probability, ids). Only a character without a piece takes byte pieces."""
-        out, ids, log_p, n = [], self.ids, self.log_p, len(text)
-        for i in range(n):
-            here = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = ids.get(text[i:j])
-                if p is not None:
-                    here.append((j, log_p[p], (p,)))
-            if text[i] not in ids:
-                spelled = tuple(self.byte[b] for b in text[i].encode())
-                here.append((i + 1, sum(log_p[b] for b in spelled), spelled))
-            out.append(here)
-        return out
-
-
-def sample(pieces: Pieces, text: str, k: int, rng: random.Random) -> list[tuple[list[int], float, float, float]]:
-    """(ids, log probability, perturbed log probability, inclusion score) of up to ``k`` distinct segmentations, best perturbed first.
-
-    The inclusion score is the probability to exceed the perturbed value of the (k+1)-th; 1 if there is none. An empty text has
-    one segmentation, without pieces.
+
+def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h * U(0x9E3779B97F4A7C15) + c + U(1))
+
+
+class Lattices:
+    """The lattices of some words, edges by position, the longest first: where they lead, piece (below zero: a list of pieces), and their share of their position's completions.
+
+    first: each word's first position, and their number; edge: each position's first edge, and their number. other: the share of a position's other edges.
     """
-    text = pieces.normalize(text)
-    n = len(text)
-    edges = pieces.edges(text)
-    mass = [0.0] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        terms = [p + mass[j] for j, p, _ in edges[i]]
-        top = max(terms)
-        mass[i] = top + math.log(sum(math.exp(t - top) for t in terms))
-    total = mass[0]
-    count = 0
-    heap = [(-(total - math.log(-math.log(rng.random() or 5e-324))), 0, 0, 0.0, None)]
-    found = []
-    while heap and len(found) <= k:
-        g, _, i, phi, path = heap.pop(0)
-        g = -g
-        room = k - len(found)  # segmentations wanted after this one
-        del heap[room:]
-        while i < n:  # the child with the parent's value goes on at once; the others wait
-            drawn = [(phi + p + mass[j] - math.log(-math.log(rng.random() or 5e-324)), j, phi + p, ids) for j, p, ids in edges[i]]
-            z = max(d[0] for d in drawn)
-            best = None
-            for x, j, f, ids in drawn:
-                if x == z and best is None:
-                    best = (j, f, (path, ids))
-                    continue
-                v = g - x + math.log1p(-math.exp(x - z)) if x < z else -math.inf
-                shifted = g - max(0.0, v) - math.log1p(math.exp(-abs(v))) if v > -math.inf else g
-                count += 1
-                if len(heap) < room or (heap and -shifted < heap[-1][0]):
-                    bisect.insort(heap, (-shifted, count, j, f, (path, ids)))
-                    del heap[room:]
-            i, phi, path = best
-        found.append((g, phi - total, path))
-    threshold = found[k][0] - total if len(found) > k else -math.inf
-    out = []
-    for g, log_p, path in found[:k]:
-        ids: list[tuple[int, ...]] = []
-        while path is not None:
-            path, part = path
-            ids.append(part)
-        kept = 1.0 if threshold == -math.inf else -math.expm1(-math.exp(min(700.0, log_p - threshold)))
-        out.append(([x for part in reversed(ids) for x in part], log_p, g - total, kept))
-    return out
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        text = "".join(words)
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        n = len(text)
+        symbol = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
+        end = np.repeat(self.first[1:].astype(np.int32), self.size)
+        found = []
+        live, h = np.arange(n, dtype=np.int32), np.zeros(n, U)
+        for length, (hashes, piece) in enumerate(pieces.begins, 1):
+            h = _roll(h, symbol[live + (length - 1)])
+            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            ok = hashes[place] == h
+            ids = piece[place]
+            is_piece = ok & (ids >= 0)
+            found.append((live[is_piece], length, ids[is_piece]))
+            ok &= live + length < end[live]
+            live, h = live[ok], h[ok]
+            if not len(live):
+                break
+        # a character without a piece takes byte pieces
+        self.spelled: list[list[int]] = []
+        plain = np.zeros(n, bool)
+        if found:
+            plain[found[0][0]] = True
+        odd = np.flatnonzero(~plain)
+        if len(odd):
+            known: dict[str, int] = {}
+            for c in (text[i] for i in odd.tolist()):
+                if c not in known:
+                    known[c] = len(self.spelled)
+                    self.spelled.append([pieces.byte[b] for b in c.encode()])
+            found.insert(0, (odd, 1, -1 - np.array([known[text[i]] for i in odd.tolist()])))
+        many = np.zeros(n, np.int32)
+        for at, _, _ in found:
+            many[at] += 1
+        self.edge = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+        total = int(self.edge[-1])
+        self.to, self.piece = np.empty(total, np.int32), np.empty(total, np.int32)
+        spot = self.edge[:-1].copy()
+        for at, length, ids in reversed(found):
+            here = spot[at]
+            self.to[here], self.piece[here] = at + length, ids
+            spot[at] += 1
+        price = pieces.price[self.piece] if total else np.zeros(0)
+        if self.spelled:
+            below = self.piece < 0
+            price[below] = np.array([pieces.price[x].sum() for x in self.spelled])[-1 - self.piece[below]]
+        # backward sums: positions as far from their word's end, together
+        mass = np.zeros(n + 1)
+        ahead = end - np.arange(n, dtype=np.int32)
+        by = np.argsort(ahead, kind="stable")
+        stop = np.searchsorted(ahead[by], np.arange(1, min(LONG, int(ahead.max(initial=0))) + 2))
+        over = np.where(self.to < np.repeat(end, many), self.to, n)  # the end of a word has mass one
+        share = np.empty(total)
+        for a, b in zip(stop[:-1].tolist(), stop[1:].tolist(), strict=True):
+            some = by[a:b]
+            count = many[some]
+            e = ragged(self.edge[some], count)
+            cut = np.cumsum(count) - count
+            term = price[e] + mass[over[e]]
+            top = np.maximum.reduceat(term, cut)
+            part = np.exp(term - np.repeat(top, count))
+            whole = np.add.reduceat(part, cut)
+            mass[some] = top + np.log(whole)
+            share[e] = part / np.repeat(whole, count)
+        for w in np.flatnonzero(self.size > LONG).tolist():
+            begin = int(self.first[w])
+            for i in range(begin + int(self.size[w]) - LONG - 1, begin - 1, -1):
+                a, b = self.edge[i], self.edge[i + 1]
+                term = price[a:b] + mass[over[a:b]]
+                top = term.max()
+                part = np.exp(term - top)
+                whole = part.sum()
+                mass[i] = top + math.log(whole)
+                share[a:b] = part / whole
+        self.share, self.log_share = share, np.log(share)
+        self.units = np.round(self.log_share * UNIT).astype(np.int64)
+        self.upto = self.other = share
+        if n:
+            # the share of the edges up to each, in integers, so that it does not depend on the words before
+            upto = np.cumsum((share * 2.0**42).astype(np.int64))
+            base = np.concatenate([[0], upto])[self.edge]
+            self.upto = (upto - np.repeat(base[:-1], many)) / np.repeat((base[1:] - base[:-1]).astype(np.float64), many)
+            self.upto[self.edge[1:] - 1] = 1.0
+            large = share > 0.5
+            self.other = 1.0 - share
+            less = np.add.reduceat(np.where(large, 0.0, share), self.edge[:-1])
+            self.other[large] = np.repeat(less, many)[large]
+
+    def draw(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A path for each of some words: edges of all, length of each, log probability (in units), and that of its word's other paths."""
+        m = len(word)
+        length = np.zeros(m, np.int64)
+        live, i, end = np.arange(m), self.first[word].astype(np.int32), self.first[word + 1].astype(np.int32)
+        ends, seeds = end, seed
+        steps = []
+        for step in range(LONG):
+            if not len(live):
+                break
+            u = _uniform(seeds, step)
+            e = self.edge[i]
+            on = np.flatnonzero(self.upto[e] <= u)
+            while len(on):  # the last edge of a position goes up to 1
+                e[on] += 1
+                on = on[self.upto[e[on]] <= u[on]]
+            steps.append((live, e))
+            i = self.to[e]
+            ok = i < ends
+            length[live[~ok]] = step + 1
+            live, i, ends, seeds = live[ok], i[ok], ends[ok], seeds[ok]
+        more = {}
+        for x, at in zip(live.tolist(), i.tolist(), strict=True):
+            path, stop = [], int(end[x])
+            while at < stop:
+                if len(path) % LONG == 0:
+                    chance = _uniform(np.full(LONG, seed[x]), LONG + len(path) + np.arange(LONG))
+                e = int(self.edge[at])
+                while self.upto[e] <= chance[len(path) % LONG]:
+                    e += 1
+                path.append(e)
+                at = int(self.to[e])
+            more[x] = path
+            length[x] = LONG + len(path)
+        start = np.cumsum(length) - length
+        flat = np.zeros(int(length.sum()), np.int64)
+        for step, (some, e) in enumerate(steps):
+            flat[start[some] + step] = e
+        for x, path in more.items():
+            flat[start[x] + LONG : start[x] + length[x]] = path
+        units = np.add.reduceat(self.units[flat], start) if m else np.zeros(0, np.int64)
+        rest = -np.expm1(units / UNIT)
+        # near one, the others' shares are added up
+        near = np.flatnonzero(units > -UNIT / 1000)
+        rest[near] = 0.0
+        at, stop, before = start[near], start[near] + length[near], np.ones(len(near))
+        while len(near):
+            e = flat[at]
+            rest[near] += before * self.other[e]
+            before = before * self.share[e]
+            at = at + 1
+            ok = at < stop
+            if not ok.all():
+                near, at, stop, before = near[ok], at[ok], stop[ok], before[ok]
+        with np.errstate(divide="ignore"):
+            rest = np.log(rest)
+        return flat, length, units, rest
+
+    def draw_other(self, word: int, seed: int, taken: list[list[int]]) -> tuple[list[int], float]:
+        """A path that is none of ``taken``, and the log share of all paths but it and those."""
+        rng = random.Random(seed)
+        at, end = int(self.first[word]), int(self.first[word + 1])
+        children, left = self._left(at, end, taken)
+        node, path = 0, []
+        while at < end:
+            below = children[node] if node is not None else {}
+            a, b = int(self.edge[at]), int(self.edge[at + 1])
+            weight = self.log_share[a:b].tolist()
+            for e, child in below.items():
+                weight[e - a] += left[child]
+            top = max(weight)
+            e = rng.choices(range(a, b), [math.exp(w - top) for w in weight])[0]
+            node = below.get(e)
+            path.append(e)
+            at = int(self.to[e])
+        return path, self._left(int(self.first[word]), end, [*taken, path])[1][0]
+
+    def _left(self, begin: int, end: int, taken: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
+        """Of the tree of the ``taken`` paths: children of each node by edge, and the log share of the other paths below it."""
+        at, children = [begin], [{}]
+        for path in taken:
+            node = 0
+            for e in path:
+                if e not in children[node]:
+                    children[node][e] = len(at)
+                    at.append(int(self.to[e]))
+                    children.append({})
+                node = children[node][e]
+        left = [-math.inf] * len(at)
+        for node in range(len(at) - 1, -1, -1):
+            if at[node] < end:
+                a, b = int(self.edge[at[node]]), int(self.edge[at[node] + 1])
+                terms = self.log_share[a:b].tolist()
+                for e, child in children[node].items():
+                    terms[e - a] += left[child]
+                top = max(terms)
+                if top > -math.inf:
+                    left[node] = top + math.log(sum(math.exp(t - top) for t in terms))
+        return children, left
+
+
+_words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+
+
+def _uniform(seed: np.ndarray, count) -> np.ndarray:
+    """Numbers in (0, 1) by seed and count."""
+    with np.errstate(over="ignore"):
+        h = mix(seed + (np.asarray(count).astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
+    return ((h >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _seed(seed: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Seeds of a row's parts."""
+    with np.errstate(over="ignore"):
+        return mix(seed + (count.astype(U) + U(1)) * U(0xD6E8FEB86659FD93))
+
+
+def _perturbed(mass: np.ndarray, at_most, u: np.ndarray) -> np.ndarray:
+    """Gumbel values of sets with log mass ``mass`` that are conditioned to stay below ``at_most``."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(mass > -np.inf, -np.logaddexp(-at_most, np.log(-np.log(u)) - mass), -np.inf)
+
+
+def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the first, second, ... segmentation: (texts that have one, pieces of all, where each text's end, log probability, perturbed one, inclusion).
+
+    Log probabilities are relative to all segmentations of the text. The inclusion score is the probability to exceed the perturbed value of the
+    (k+1)-th; 1 if there is none. An empty text has one segmentation, without pieces.
+    """
+    parts = [_words(pieces.normalize(t)) for t in texts]
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    base = np.concatenate([[0], np.cumsum(size)])
+    numbers: dict[str, int] = {}
+    number = np.array([numbers.setdefault(w, len(numbers)) for p in parts for w in p], np.int64)
+    lattices = Lattices(pieces, list(numbers))
+    n, m = len(texts), len(number)
+    # of each round and word, its path: where in ``flat``, length and log probability
+    flat, start, length, units = np.zeros(0, np.int64), *(np.zeros((k, m), np.int64) for _ in range(3))
+    value = -np.log(-np.log(_uniform(seeds, 0)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    heaps: list[list] = [[] for _ in range(n)]
+    active, at = np.arange(n), np.full(n, -1)
+    parent, barred, fixed = np.zeros(n, np.int64), [()] * n, []
+    for r in range(k):
+        inst = ragged(base[active], size[active])
+        of = np.repeat(np.arange(len(active)), size[active])
+        position = inst - base[active][of]
+        here = at[of]
+        for x in (start, length, units):
+            x[r, inst] = x[parent[of], inst]
+        rest = np.full(len(inst), -np.inf)
+        fresh = np.flatnonzero(position > here)
+        path, count, log_p, others = lattices.draw(number[inst[fresh]], _seed(seeds[active][of[fresh]], position[fresh] * (k + 1) + r))
+        start[r, inst[fresh]] = len(flat) + np.cumsum(count) - count
+        length[r, inst[fresh]], units[r, inst[fresh]], rest[fresh] = count, log_p, others
+        changed = np.flatnonzero(position == here)
+        count = np.array([len(p) for p, _ in fixed], np.int64)
+        start[r, inst[changed]] = len(flat) + len(path) + np.cumsum(count) - count
+        length[r, inst[changed]] = count
+        units[r, inst[changed]] = [lattices.units[p].sum() for p, _ in fixed]
+        rest[changed] = [x for _, x in fixed]
+        flat = np.concatenate([flat, path, *(np.array(p, np.int64) for p, _ in fixed)])
+        upto = np.cumsum(units[r, inst])
+        edge = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(size[active])])]
+        mass = (upto - units[r, inst] - edge[:-1][of]) / UNIT
+        tail = np.flatnonzero(position >= here)
+        x = np.full(len(inst), -np.inf)
+        u = _uniform(_seed(seeds[active][of[tail]], position[tail] * (k + 1) + r), -1)
+        x[tail] = _perturbed(mass[tail] + rest[tail], value[of[tail]], u)
+        found.append((active, value, np.diff(edge) / UNIT))
+        # the best nodes of each text; more than are asked for can't be reached
+        full = np.flatnonzero(size[active] > 0)
+        begin = (np.cumsum(size[active]) - size[active])[full]
+        for _ in range(k - r if len(full) else 0):
+            best = np.maximum.reduceat(x, begin)
+            spots = np.flatnonzero((x == np.repeat(best, size[active[full]])) & (x > -np.inf))
+            if not len(spots):
+                break
+            owner, one = np.unique(of[spots], return_index=True)
+            spots = spots[one]
+            for t, y, p in zip(owner.tolist(), x[spots].tolist(), position[spots].tolist(), strict=True):
+                heap = heaps[active[t]]
+                heap.append((-y, len(heap), r, p, (*barred[t], r) if p == at[t] else (r,)))
+            x[spots] = -np.inf
+        nxt, state = [], []
+        for t in active.tolist():
+            heap = heaps[t]
+            if heap:
+                heap.sort(key=lambda node: node[:2])
+                del heap[k - r :]
+                nxt.append(t)
+                if r + 1 < k:
+                    state.append(heap.pop(0))
+        if r + 1 == k or not nxt:
+            break
+        active = np.array(nxt)
+        value = -np.array([node[0] for node in state])
+        parent, at, barred = np.array([node[2] for node in state]), np.array([node[3] for node in state]), [node[4] for node in state]
+        spot = base[active] + at
+        seed = _seed(seeds[active], at * (k + 1) + r + 1)
+        fixed = [lattices.draw_other(int(number[i]), int(s), [flat[start[q, i] : start[q, i] + length[q, i]].tolist() for q in taken]) for i, s, taken in zip(spot.tolist(), seed, barred, strict=True)]
+    threshold = np.full(n, -np.inf)
+    if len(found) == k:
+        for t in active.tolist():
+            if heaps[t]:
+                threshold[t] = -heaps[t][0][0]
+    for r, (some, perturbed, log_p) in enumerate(found):
+        inst = ragged(base[some], size[some])
+        piece = lattices.piece[flat[ragged(start[r, inst], length[r, inst])]]
+        ends = np.concatenate([[0], np.cumsum(length[r, inst])])[np.cumsum(size[some])]
+        if len(lattices.spelled) and (piece < 0).any():
+            count = np.ones(len(piece), np.int64)
+            odd = np.flatnonzero(piece < 0)
+            spelled = [lattices.spelled[-x - 1] for x in piece[odd].tolist()]
+            count[odd] = [len(x) for x in spelled]
+            upto = np.concatenate([[0], np.cumsum(count)])
+            ends = upto[ends]
+            wide = np.repeat(piece, count)
+            wide[ragged(upto[odd], count[odd])] = np.concatenate(spelled)
+            piece = wide
+        kept = np.where(threshold[some] > -np.inf, -np.expm1(-np.exp(np.minimum(700.0, log_p - threshold[some]))), 1.0)
+        yield some, piece.astype(np.int32), ends, log_p, perturbed, kept
+
+
+def sample(pieces: Pieces, text: str, k: int, seed: int) -> list[tuple[list[int], float, float, float]]:
+    """(ids, log probability, perturbed log probability, inclusion score) of up to ``k`` distinct segmentations of a text, best perturbed first."""
+    return [(ids.tolist(), float(p[0]), float(g[0]), float(q[0])) for _, ids, _, p, g, q in sample_together(pieces, [text], np.array([seed], U), k)]
 
 
 _pieces: dict[bytes, Pieces] = {}
@@ -141,48 +431,49 @@ def _sample(model, k: int, seed: int, keys: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _held(model.value)
         for whole in batches:
-            for batch in (whole.slice(i, 200) for i in range(0, len(whole), 200)):
-                at, got = [], []
-                named = [c.to_pylist() for c in batch.columns[:keys]]
-                for i, text in enumerate(batch.column(keys).to_pylist()):
-                    # the seed is the row's key and text: one row has one result wherever it is computed
-                    name = repr((seed, *(c[i] for c in named)))
-                    rng = random.Random(hashlib.sha256(name.encode()).digest())
-                    for r, x in enumerate(sample(pieces, text or "", k, rng), 1):
-                        at.append(i)
-                        got.append((r, *x))
-                columns = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(keys)]
-                kinds = (pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
-                columns += [pa.array([g[c] for g in got], kind) for c, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:keys], "sample", "ids", "log_prob", "perturbed", "inclusion"])
+            texts = [t or "" for t in whole.column(keys).to_pylist()]
+            named = [c.to_pylist() for c in whole.columns[:keys]]
+            # the seed is the row's key: one row has one result wherever it is computed
+            seeds = np.array([int.from_bytes(hashlib.blake2b(repr((seed, *(c[i] for c in named))).encode(), digest_size=8).digest()) for i in range(len(texts))], U)
+            for a, b in slices([len(t) for t in texts], BATCH):
+                for r, (some, ids, ends, *scores) in enumerate(sample_together(pieces, texts[a:b], seeds[a:b], k), 1):
+                    columns = [whole.column(c).take(pa.array(a + some)) for c in range(keys)]
+                    columns += [pa.array(np.full(len(some), r, np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids)), *map(pa.array, scores)]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*whole.schema.names[:keys], "sample", "ids", "log_prob", "perturbed", "inclusion"])
 
     return run
 
 
+RESULT = ("sample", "ids", "log_prob", "perturbed", "inclusion")
+
+
 def sample_segmentations(rows: DataFrame, key: list[str], text: str = "text", k: int = K, seed: int = SEED, model: str | None = None) -> DataFrame:
     """The key columns, sample (from 1), ids, log_prob (of all segmentations of the text), perturbed and inclusion of up to ``k`` distinct segmentations.
 
-    A row's samples depend on its key, its text and ``seed`` only, so repeated rows have equal results. Null texts are empty. Extra columns
-    are ignored; an empty table gives an empty result.
+    A row's samples depend on its key, its text and ``seed`` only, so repeated rows have equal results; equal perturbed values have probability zero,
+    and of equal ones the earlier word's node goes first. Null texts are empty: one segmentation without pieces. Null keys are keys like any other. Work and
+    memory of a text grow in proportion to its length. Extra columns are ignored; an empty table gives an empty result.
     """
     if k < 1:
         raise ValueError("k must be positive")
+    if {c.lower() for c in key} & set(RESULT):
+        raise ValueError(f"a key column has a name of the result's: {RESULT}")
     with open(model or default_path(), "rb") as f:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
-    rows = rows.select(*[F.col(c) for c in key], F.col(text).alias("_text"))
+    rows = only(rows, *key, text)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
     spread = rows.repartition(max(8, 4 * rows.sparkSession.sparkContext.defaultParallelism))
     return spread.mapInArrow(_sample(shared, k, seed, len(key)), f"{names}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
 def decode_segmentations(samples: DataFrame, model: str | None = None) -> DataFrame:
-    """``samples`` with column decoded: the text of ids."""
+    """``samples`` with column decoded: the text of ids; null for null ids, empty for none. All other columns stay."""
     with open(model or default_path(), "rb") as f:
         shared = samples.sparkSession.sparkContext.broadcast(f.read())
 
     @F.pandas_udf("string")
     def decode(ids):
         pieces = _held(shared.value)
-        return ids.map(lambda x: pieces.decode(list(x)))
+        return ids.map(lambda x: None if x is None else pieces.decode(list(x)))
 
     return samples.withColumn("decoded", decode("ids"))

@@ -18,6 +18,7 @@ from lanternbase.llm.image_copies import features, image_copies, linked, read_pg
 from lanternbase.llm.ngram_lm import ALPHA, MU, cross_entropy_difference
 from lanternbase.llm.packing import pack
 from lanternbase.llm.quality import accepted, fit, held_out, score, statistics, teaching, train
+from lanternbase.llm import segment_sampling
 from lanternbase.llm.segment_sampling import Pieces, decode_segmentations, default_path as piece_path, sample, sample_segmentations
 from lanternbase.llm.tokens import default_path
 from lanternbase.llm.wordpiece_counts import Automaton, piece_counts
@@ -224,27 +225,33 @@ def pieces():
 
 def all_segmentations(pieces, text):
     text = pieces.normalize(text)
-    edges = pieces.edges(text)
 
     def walk(i):
         if i == len(text):
             yield 0.0, ()
-        else:
-            for j, p, ids in edges[i]:
-                for q, rest in walk(j):
-                    yield p + q, ids + rest
+        for j in range(i + 1, len(text) + 1):
+            if text[i:j] in pieces.ids:
+                one = (pieces.ids[text[i:j]],)
+            elif j == i + 1:
+                one = tuple(pieces.byte[b] for b in text[i].encode())
+            else:
+                continue
+            for q, rest in walk(j):
+                yield sum(pieces.log_p[x] for x in one) + q, one + rest
 
     found = dict((ids, p) for p, ids in walk(0))
     total = math.log(sum(math.exp(p) for p in found.values()))
     return {ids: p - total for ids, p in found.items()}
 
 
-def test_samples_follow_the_distribution(pieces):
-    want = all_segmentations(pieces, "the cat")
+@pytest.mark.parametrize("long", [128, 2])  # all steps together; all but the first two word by word
+def test_samples_follow_the_distribution(pieces, long, monkeypatch):
+    monkeypatch.setattr(segment_sampling, "LONG", long)
+    want = all_segmentations(pieces, "the c🙂")
     first, inclusion = Counter(), Counter()
-    n = 3000
+    n = 6000
     for i in range(n):
-        got = sample(pieces, "the cat", 3, random.Random(i))
+        got = sample(pieces, "the c🙂", 3, i)
         assert len({tuple(x[0]) for x in got}) == 3
         assert [x[2] for x in got] == sorted((x[2] for x in got), reverse=True)
         for ids, p, _, q in got:
