@@ -3,7 +3,7 @@
 Corners are found on several scales of a gray image, all that stand out in their surroundings; each gets the direction of its
 patch's intensity centroid and 256 binary brightness tests turned by it. Descriptors meet by eight Hamming tables of 32 bits: two that are
 equal in one, and differ in ``WORD_BITS`` or fewer of the 64 bits of another part. Image pairs of which
-``SHARED`` features meet are candidates. All features of both are then matched (``DIFFERENT_BITS`` or fewer), the matches vote for turn, scale and shift, and
+``SHARED`` features meet are candidates, and those of which one meets the first of a large bucket. All features of both are then matched (``DIFFERENT_BITS`` or fewer), the matches vote for turn, scale and shift, and
 ``CONSENSUS`` distinct features that agree, and ``AGREE`` of those matched, make a link; linked images form a class.
 
 Byte-identical images are one before all that. Classes need no pair of images that are connected already: small buckets of a table give all
@@ -40,7 +40,8 @@ FEATURES = "id long, n_features int, places binary, bits binary"
 #: Bits of the word of a feature that the table's segment is no part of, in which features of a bucket may differ: the tables give chance
 #: meetings in proportion to the square of the images, and this leaves out most.
 WORD_BITS = 16
-#: Kind 0: features n1 of image a and n2 of image b meet. Kind 1: feature n1 of image a, with this word, is in bucket b, a large one.
+#: Kind 0: features n1 of image a and n2 of image b meet; kind 2: they do, and one is the first of a large bucket. Kind 1: feature n1 of image a, with this
+#: word, is in bucket b, a large one.
 MEETING = "kind int, a long, n1 int, b long, n2 int, word long"
 
 
@@ -177,12 +178,12 @@ def _meeting(kind: int, a, n1, b, n2, word) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "n1", "b", "n2", "word"])
 
 
-def _pairs(image: np.ndarray, n: np.ndarray, word: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+def _pairs(image: np.ndarray, n: np.ndarray, word: np.ndarray, i: np.ndarray, j: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     ok = (image[i] != image[j]) & (np.bitwise_count((word[i] ^ word[j]).view(np.uint64)) <= WORD_BITS)
     i, j = i[ok], j[ok]
     swap = image[i] > image[j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return _meeting(0, image[i], n[i], image[j], n[j], np.zeros(len(i), np.int64))
+    return _meeting(kind, image[i], n[i], image[j], n[j], np.zeros(len(i), np.int64))
 
 
 def _meet(small: int):
@@ -222,7 +223,7 @@ def _meet(small: int):
         key, image, n, word = some
         if len(key):
             every = np.arange(len(key))
-            yield _pairs(*(np.append(c, x) for c, x in zip(some[1:], hub[1:], strict=True)), every, np.full(len(key), len(key)))
+            yield _pairs(*(np.append(c, x) for c, x in zip(some[1:], hub[1:], strict=True)), every, np.full(len(key), len(key)), 2)
             yield _meeting(1, image, n, key, np.zeros(len(key)), word)
 
     return run
@@ -368,11 +369,11 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, shared: int = SH
 
     def judged(pairs: DataFrame) -> DataFrame:
         side = lambda c: found.select(F.col("id").alias(c), F.col("places").alias(f"places_{c}"), F.col("bits").alias(f"bits_{c}"))
-        few = pairs.groupBy("a", "b").agg(F.size(F.collect_set("n1")).alias("n1"), F.size(F.collect_set("n2")).alias("n2")).where(F.least("n1", "n2") >= shared)
+        few = pairs.groupBy("a", "b").agg(F.size(F.collect_set("n1")).alias("n1"), F.size(F.collect_set("n2")).alias("n2"), F.max("kind").alias("kind")).where((F.least("n1", "n2") >= shared) | (F.col("kind") == 2))
         both = stash(few.select("a", "b")).join(side("a"), "a").join(side("b"), "b").select("a", "b", "places_a", "bits_a", "places_b", "bits_b")
         return stash(both.repartition(4 * n).mapInArrow(_judge(bits, least), "a long, b long"))
 
-    links = judged(met.where("kind = 0"))
+    links = judged(met.where("kind <> 1"))
     large = met.where("kind = 1").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("n1").alias("n"), "word")
     tree = stash(components(links).toDF("id", "root"))
     if not large.isEmpty():
