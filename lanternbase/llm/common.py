@@ -13,12 +13,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local tests, one machine) a temporary folder is made and set as checkpoint folder.
+    (local tests, one machine) a temporary folder is made and set as checkpoint folder. Other masters
+    need the setting.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lanternbase-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -44,11 +47,19 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
     Extra columns, also ones whose names differ in case only, never reach an operator.
     """
+    flat, picked = numbered(df, *columns)
+    return flat.select(*[F.col(i).alias(c) for i, c in zip(picked, columns, strict=True)])
+
+
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named by their places, and the new names of these columns, found as in ``only``.
+
+    What keeps all columns works on that, as no extra column's name can clash there, and gives the names back with ``toDF``.
+    """
     picked = []
     for c in columns:
         at = [i for i, x in enumerate(df.columns) if x == c] or [i for i, x in enumerate(df.columns) if x.lower() == c.lower()]
         if not at:
             raise ValueError(f"column {c!r} is missing; there are {df.columns}")
-        picked.append(at[0])
-    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    return flat.select(*[F.col(f"_{i}").alias(c) for i, c in zip(picked, columns, strict=True)])
+        picked.append(f"_{at[0]}")
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), picked

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import binary_column
-from .common import only
+from .common import numbered, only
 
 #: Labelled documents that the fit uses at most: those of the least hashes of their ids.
 SAMPLE = 16_000
@@ -169,14 +169,14 @@ def _stats_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Fits ``labels`` (doc_id, quality) on ``docs`` (doc_id, text).
 
-    Rows with a null id or label are left out; of repeated labels of a document the mean counts (0.5 or more: 1). At most
+    Rows with a null id or label are left out; of repeated labels of a document the mean counts (0.5 or more: 1), and of repeated documents the least text. At most
     ``sample`` labelled documents are used, chosen by the hash of their ids; that bounds what the driver gathers and what
     is broadcast (16 bytes each).
     """
     known = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     one = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "y")
+    joined = only(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     rows = joined.mapInArrow(_stats_of, "doc_id long, x array<double>, y double").orderBy("doc_id").toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
@@ -217,9 +217,13 @@ def _keep(model, at: int):
 
 
 def accepted(docs: DataFrame, model: Trees) -> DataFrame:
-    """The rows of ``docs`` that score 0.5 or more, with all their columns."""
+    """The rows of ``docs`` that score 0.5 or more, with all their columns, also ones whose names differ in case only.
+
+    Null and empty texts are judged as in ``score``; repeated rows share their fate; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_keep(shared, docs.columns.index("text")), docs.schema)
+    flat, (text,) = numbered(docs, "text")
+    return flat.mapInArrow(_keep(shared, flat.columns.index(text)), flat.schema).toDF(*docs.columns)
 
 
 def held_out(doc_id) -> F.Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import U, Words, mix
-from .common import only
+from .common import numbered, only
 from .repeats import HOT, PARTITION_BYTES, WordUnits, repeated, text_key, word_hashes
 from .suffix_dedup import settle
 
@@ -128,13 +128,15 @@ def cut_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, partition_b
 
     found = repeated(docs, WordUnits(window=window), solver, "text", hot, partition_bytes)
     found = found.select(*[F.col(c).alias(f"_span_{c}") for c in ("key", "least", "n", "n_removed", "kept")])
-    lost = F.col("doc_id").isNull()
-    rows = docs.withColumns({"_span_of": text_key(F.col("text")), "_span_null": F.col("text").isNull()}).withColumn("text", F.when(lost, F.col("text")))
-    copy = (F.col("doc_id") > F.col("_span_least")) & (F.col("_span_n") >= window)
+    flat, (doc_id, own) = numbered(docs, "doc_id", "text")
+    lost = F.col(doc_id).isNull()
+    rows = flat.withColumns({"_span_of": text_key(F.col(own)), "_span_null": F.col(own).isNull()}).withColumn(own, F.when(lost, F.col(own)))
+    copy = (F.col(doc_id) > F.col("_span_least")) & (F.col("_span_n") >= window)
     joined = rows.join(found, F.col("_span_of") == F.col("_span_key"), "left")
-    text = F.when(lost, F.col("text")).when(F.col("_span_null"), F.lit(None)).when(copy, F.lit("")).otherwise(F.col("_span_kept").cast("string"))
-    new: dict[str, F.Column] = {"text": text}
+    text = F.when(lost, F.col(own)).when(F.col("_span_null"), F.lit(None)).when(copy, F.lit("")).otherwise(F.col("_span_kept").cast("string"))
+    new: dict[str, F.Column] = {own: text}
     if "n_chars" in docs.columns:
         changed = ~lost & ~F.col("_span_null") & (copy | (F.col("_span_n_removed") > 0))
-        new["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(new).select(*docs.columns)
+        _, (n_chars,) = numbered(docs, "n_chars")
+        new[n_chars] = F.when(changed, F.length(text)).otherwise(F.col(n_chars)).cast(flat.schema[n_chars].dataType)
+    return joined.withColumns(new).select(*flat.columns).toDF(*docs.columns)

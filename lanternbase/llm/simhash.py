@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import Words, binary_column, ragged, slices, xxh64
-from .common import only, stash, width
+from .common import numbered, only, stash, width
 from .components import LINK, components, forest
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -263,4 +263,5 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     got = simhash_groups(docs, **options)
     leads = F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).alias("leads")
     gone = stash(got.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(leads).where("not leads").select("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    flat, (doc_id,) = numbered(docs, "doc_id")
+    return flat.join(gone, flat[doc_id] == gone["_gone"], "left_anti").toDF(*docs.columns)
