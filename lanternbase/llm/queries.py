@@ -83,6 +83,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of those that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    # a window's hash is put together from those of 2, 4, ... 32 bytes
+    "op5_suffix_dedup": r"""WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l FROM documents),
+b AS (SELECT doc_id, unnest(l) AS c, unnest(range(len(l))) AS i FROM d),
+h2 AS (SELECT *, md5(c || lead(c, 1) OVER (PARTITION BY doc_id ORDER BY i)) AS x2 FROM b),
+h4 AS (SELECT *, md5(x2 || lead(x2, 2) OVER (PARTITION BY doc_id ORDER BY i)) AS x4 FROM h2),
+h8 AS (SELECT *, md5(x4 || lead(x4, 4) OVER (PARTITION BY doc_id ORDER BY i)) AS x8 FROM h4),
+h16 AS (SELECT *, md5(x8 || lead(x8, 8) OVER (PARTITION BY doc_id ORDER BY i)) AS x16 FROM h8),
+h32 AS (SELECT *, md5(x16 || lead(x16, 16) OVER (PARTITION BY doc_id ORDER BY i)) AS x32 FROM h16),
+w AS (SELECT doc_id, i, c, md5(x32 || lead(x16, 32) OVER (PARTITION BY doc_id ORDER BY i) || lead(x2, 48) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h32),
+f AS (SELECT h, min(doc_id) AS least FROM w WHERE h IS NOT NULL GROUP BY h),
+g AS (SELECT doc_id, i, c, max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) IS NOT NULL AS gone FROM w LEFT JOIN f USING (h)),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM g),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
     "op10_rlz_dedup": r"""WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+') IF x <> ''] AS l FROM documents),
 p AS (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d),
 w AS (SELECT doc_id, i, l[i] AS word, CASE WHEN i + 49 <= len(l) THEN md5(array_to_string(l[i:i + 49], ' ')) END AS h FROM p),

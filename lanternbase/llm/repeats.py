@@ -2,21 +2,23 @@
 
 Both substring operators stand on this frame; they differ in their units and in the solver of a block.
 
-1. ``blocks``: distinct texts (by MD5) with their smallest doc_id are dealt over P partitions as packed blocks. Exact
-   copies end here: only the copy of the smallest id can keep anything, so a hot text is one text.
+1. ``blocks``: distinct texts (by MD5) with their two smallest doc_ids are dealt over P partitions as packed blocks. Exact
+   copies travel as one text: the solver judges the second copy against the first in ``_finish``, and the others share its result, so a hot text is one text.
 2. ``_offer``: winnowing chooses gram positions ("anchors") such that every window holds one, chosen by the window's content
    alone; equal windows have equal anchors. Each partition offers each anchor hash once, with how often it has it.
 3. ``_share``: by hash range, the anchors found in two or more texts are told to the partitions that have them.
    Anchors with more than ``HOT`` occurrences are marked.
 4. ``_send``: the stretch of text whose windows hold a shared anchor (a "fragment") goes to the anchor's block; equal
-   fragments of a partition go once, with all places. At marked anchors, each window goes by its own hash
-   instead (a 128-bit one stands for its text), which spreads a hot anchor over all blocks.
-5. ``_solve``: a fragment found in several texts is a repeat as it stands. Where an anchor has different fragments,
-   the operator's solver finds the stretches that also occur in a smaller document. Answers go back by partition.
+   fragments of a partition go once, with all places. At marked anchors, each window goes as a fragment of its own, by its own hash
+   instead, which spreads a hot anchor over all blocks.
+5. ``_solve``: the operator's solver gets the fragments of each anchor, those of several documents as two occurrences, of the smallest and of a
+   later document, and finds the stretches that also occur in a smaller document; all later places of a fragment share the second's. Answers go back by partition.
 6. ``_finish``: each partition merges the answers of its texts.
 
 What a task holds is bounded by the partition (P grows with the bytes of the corpus), as a partition has each
-hash and each fragment once, however often a passage occurs.
+hash and each fragment once, however often a passage occurs. Blocks are ranges of scrambled hashes: an anchor is the least hash of
+its window, so that ranges of the hashes themselves would put nearly all anchors into the first blocks. A partition sends a block one row for all
+it has, so there are never more rows than anchors.
 """
 
 from __future__ import annotations
@@ -134,7 +136,7 @@ def anchors(units, texts: list[bytes]) -> Anchors:
     order = (data.grams >> U(33)).astype(np.uint32)
     at = winnow(order, data.first[:-1], count, units.window - units.gram + 1)
     text = np.searchsorted(data.first, at, side="right") - 1
-    return Anchors(data, at, data.grams[at], text)
+    return Anchors(data, at, mix(data.grams[at]), text)
 
 
 def windows_of(units, a: Anchors, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +161,19 @@ def windows_of(units, a: Anchors, pick: np.ndarray) -> tuple[np.ndarray, np.ndar
 # --- blocks -----------------------------------------------------------------------------------------------------
 
 
+#: Stands for no second id; a document with this id takes part as a smallest one only.
+NONE = 2**63 - 1
+
+
+def _add(texts: dict[bytes, list], key: bytes, text: bytes, least: int, second: int) -> None:
+    """Keeps the two smallest ids of each text."""
+    known = texts.get(key)
+    if known is None:
+        texts[key] = [least, second, text]
+    else:
+        known[:2] = (sorted({known[0], known[1], least, second}) + [NONE])[:2]
+
+
 def _pack(partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -166,16 +181,12 @@ def _pack(partitions: int):
             by: dict[int, dict[bytes, list]] = {}
             for doc_id, text in zip(rows.column(0).to_pylist(), binary_column(rows.column(1)), strict=True):
                 key = hashlib.md5(text, usedforsecurity=False).digest()
-                texts = by.setdefault(int.from_bytes(key[:4], "big") % partitions, {})
-                if key not in texts:
-                    texts[key] = [doc_id, text]
-                elif doc_id < texts[key][0]:
-                    texts[key][0] = doc_id
+                _add(by.setdefault(int.from_bytes(key[:4], "big") % partitions, {}), key, text, doc_id, NONE)
             for part, texts in by.items():
                 keys, docs = list(texts), list(texts.values())
-                for i, j in slices([len(t) for _, t in docs]):
+                for i, j in slices([len(t) for *_, t in docs]):
                     some = docs[i:j]
-                    blobs = (b"".join(keys[i:j]), np.array([d for d, _ in some], np.int64).tobytes(), pack_ints(np.array([len(t) for _, t in some])), zip_.compress(b"".join(t for _, t in some)))
+                    blobs = (b"".join(keys[i:j]), np.array([x[:2] for x in some], np.int64).tobytes(), pack_ints(np.array([len(x[2]) for x in some])), zip_.compress(b"".join(x[2] for x in some)))
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], names=["part", "keys", "ids", "sizes", "texts"])
             del by
             release()
@@ -188,21 +199,17 @@ def blocks(docs: DataFrame, partitions: int) -> DataFrame:
     return packed.repartition(partitions, "part").persist(StorageLevel.DISK_ONLY)
 
 
-def _unpack(table: pa.Table) -> tuple[list[bytes], list[int], list[bytes]]:
-    """Keys, smallest ids and texts of a partition, by key: the same order at every reading."""
+def _unpack(table: pa.Table) -> tuple[list[bytes], list[int], list[bytes], list[bool]]:
+    """Keys, smallest ids and texts of a partition, and whether another id has the text, by key: the same order at every reading."""
     found: dict[bytes, list] = {}
     unzip = zstandard.ZstdDecompressor()
     for keys, ids, sizes, texts in zip(*(table.column(c).to_pylist() for c in ("keys", "ids", "sizes", "texts")), strict=True):
         raw, at = unzip.decompress(texts), 0
-        for k, (doc_id, n) in enumerate(zip(np.frombuffer(ids, np.int64).tolist(), unpack_ints(sizes).tolist(), strict=True)):
-            key = keys[16 * k : 16 * k + 16]
-            if key not in found:
-                found[key] = [doc_id, raw[at : at + n]]
-            elif doc_id < found[key][0]:
-                found[key][0] = doc_id
+        for k, ((least, second), n) in enumerate(zip(np.frombuffer(ids, np.int64).reshape(-1, 2).tolist(), unpack_ints(sizes).tolist(), strict=True)):
+            _add(found, keys[16 * k : 16 * k + 16], raw[at : at + n], least, second)
             at += n
     order = sorted(found)
-    return order, [found[k][0] for k in order], [found[k][1] for k in order]
+    return order, [found[k][0] for k in order], [found[k][2] for k in order], [found[k][1] < NONE for k in order]
 
 
 def _ranges(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -220,7 +227,7 @@ DROP = 16
 def _offer(units, parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        _, _, texts = _unpack(table)
+        _, _, texts, _ = _unpack(table)
         seen, several = [], []
         for i, j in slices([len(t) for t in texts], LOAD_BYTES):
             a = anchors(units, texts[i:j])
@@ -293,7 +300,7 @@ def _send(units, parts: int):
         rows: list[tuple] = []
         if not len(right) or not len(left):
             return _table(rows, FRAGMENTS)
-        _, ids, texts = _unpack(left)
+        _, ids, texts, _ = _unpack(left)
         told = np.concatenate([unpack_sorted(b) for b in right.column("hashes").to_pylist()])
         flags = np.concatenate([unpack_ints(b) for b in right.column("flags").to_pylist()])
         order = np.argsort(told)
@@ -320,14 +327,12 @@ def _send(units, parts: int):
             same = xxh64(data.buffer, start, size, 1)
             lone = np.arange(len(low)) >= len(key_)
             key_ = np.concatenate([key_, mix(same[lone])])
-            # keep one text of each (key, content); a lone window is its second hash
+            # keep one text of each (key, content)
             order = np.lexsort((same, key_))
             k, s = key_[order], same[order]
             new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
             rep = order[new]
             content = [data.buffer[x : x + y] for x, y in zip(start[rep].tolist(), size[rep].tolist(), strict=True)]
-            second = xxh64(data.buffer, start[rep], size[rep], 2)
-            content = [int(h).to_bytes(8, "little") if o else c for c, h, o in zip(content, second, lone[rep], strict=True)]
             got.append((k[new], s[new], count[rep], content, np.diff(np.append(new, len(order))), (i + text[order]).astype(np.int32), (low - data.first[text])[order].astype(np.int32)))
         if not got:
             return _table(rows, FRAGMENTS)
@@ -361,9 +366,9 @@ def _send(units, parts: int):
     return run
 
 
-#: Solver of differing fragments: (texts, group of each, smallest id of each) -> (fragment, first unit, end unit) of the stretches
-#: of at least a window that also occur in a fragment of the same group with a smaller id.
-Solver = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: Solver of fragments: (texts, group of each, smallest id of each, second id or NONE) -> (fragment, first unit, end unit) of the stretches
+#: of at least a window that also occur in a fragment of the same group with a smaller id; fragment len(texts) + i is text i with its second id.
+Solver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def _solve(solver: Solver):
@@ -393,33 +398,34 @@ def _solve(solver: Solver):
         rep = order[new]
         group = np.cumsum(np.concatenate([[True], ks[new][1:] != ks[new][:-1]])) - 1
         fragment = np.repeat(kind, places)
-        least = np.full(len(rep), np.iinfo(np.int64).max)
+        least, second = (np.full(len(rep), np.iinfo(np.int64).max) for _ in range(2))
         np.minimum.at(least, fragment, ids)
         later = ids > least[fragment]
-        out = [(np.flatnonzero(later), starts[later], (starts + n_units[rep][fragment])[later])]
-        # where an anchor has different fragments, the solver sees those of each anchor together
-        mixed = np.flatnonzero(np.bincount(group)[group] > 1)
+        np.minimum.at(second, fragment[later], ids[later])
+        # the solver sees the fragments of each anchor together; one of several documents occurs twice
+        of_place = fragment + np.where(later, len(rep), 0)
+        several = np.flatnonzero((np.bincount(group, 1 + (second < NONE)) > 1)[group])
         found = []
-        if len(mixed):
-            g = group[mixed]
+        if len(several):
+            g = group[several]
             edge = np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g))
-            weight = np.add.reduceat(size[rep[mixed]], edge[:-1])
+            weight = np.add.reduceat(size[rep[several]], edge[:-1])
             for i, j in slices(weight.tolist(), SOLVE_BYTES):
-                some = mixed[edge[i] : edge[j]]
-                texts = [buffer[a : a + n] for a, n in zip(at[rep[some]].tolist(), size[rep[some]].tolist(), strict=True)]
-                f, x, y = solver(texts, group[some], least[some])
-                found.append((some[f], x, y))
-        if found:
-            f, x, y = (np.concatenate([c[i] for c in found]) for i in range(3))
-            order = np.argsort(f, kind="stable")
-            f, x, y = f[order], x[order], y[order]
-            first = np.flatnonzero(~later)  # the places in the fragment's smallest document
-            lo, hi = np.searchsorted(f, fragment[first]), np.searchsorted(f, fragment[first], side="right")
-            which = ragged(lo, hi - lo)
-            place = np.repeat(first, hi - lo)
-            out.append((place, starts[place] + x[which], starts[place] + y[which]))
-        place, x, y = (np.concatenate([c[i] for c in out]) for i in range(3))
-        rows = []
+                some = several[edge[i] : edge[j]]
+                of = rep[some]
+                texts = [buffer[a : a + n] for a, n in zip(at[of].tolist(), size[of].tolist(), strict=True)]
+                f, x, y = solver(texts, group[some], least[some], second[some])
+                found.append((np.concatenate([some, len(rep) + some])[f], x, y))
+        rows: list[tuple] = []
+        if not found:
+            return _table(rows, "part int, docs binary, starts binary, lengths binary")
+        f, x, y = (np.concatenate([c[i] for c in found]) for i in range(3))
+        order = np.argsort(f, kind="stable")
+        f, x, y = f[order], x[order], y[order]
+        lo, hi = np.searchsorted(f, of_place), np.searchsorted(f, of_place, side="right")
+        which = ragged(lo, hi - lo)
+        place = np.repeat(np.arange(len(of_place)), hi - lo)
+        x, y = starts[place] + x[which], starts[place] + y[which]
         order = np.lexsort((x, docs[place], part_of[place]))
         place, x, y = place[order], x[order], y[order]
         cut = np.searchsorted(part_of[place], np.arange(len(parts) + 1))
@@ -432,38 +438,54 @@ def _solve(solver: Solver):
     return run
 
 
-RESULT = "key binary, least long, n long, n_removed long, starts array<long>, ends array<long>, kept binary"
+RESULT = "key binary, least long, n long, n_removed long, starts array<long>, ends array<long>, kept binary, copy_removed long, copy_starts array<long>, copy_ends array<long>, copy_kept binary"
 
 
-def _finish(units, keep: str):
+def _second_copies(units, solver: Solver, texts: list[bytes], several: list[bool]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The stretches that a second copy of each text with ``several`` ids loses to the first."""
+    out = {}
+    some = [i for i, x in enumerate(several) if x]
+    for a, b in slices([len(texts[i]) for i in some], SOLVE_BYTES):
+        mine = some[a:b]
+        f, x, y = solver([texts[i] for i in mine], np.arange(len(mine)), np.zeros(len(mine), np.int64), np.ones(len(mine), np.int64))
+        for k, i in enumerate(mine):
+            lost = f == len(mine) + k
+            out[i] = (x[lost], y[lost])
+    return out
+
+
+def _removed(units, text: bytes, count: int, starts: np.ndarray, ends: np.ndarray, keep: str) -> tuple[int, list[int], list[int], bytes]:
+    """Units removed, the maximal runs of them, and what is kept."""
+    if len(starts):
+        cover = np.bincount(starts, minlength=count + 1) - np.bincount(ends, minlength=count + 1)
+        gone = np.cumsum(cover[:count]) > 0
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
+        rest = units.kept(text, gone)
+    else:
+        gone, edges = np.zeros(1, bool), np.zeros(0, np.int64)
+        rest = text if keep == "text" else units.whole(text)
+    return int(gone.sum()), edges[::2].tolist(), edges[1::2].tolist(), hashlib.sha256(rest).digest() if keep == "digest" else rest
+
+
+def _finish(units, solver: Solver, keep: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, ids, texts = _unpack(left)
+        keys, ids, texts, several = _unpack(left)
         docs = starts = lengths = np.zeros(0, np.int64)
         if len(right):
             docs, starts, lengths = (np.concatenate([unpack_ints(b) for b in right.column(c).to_pylist()]).astype(np.int64) for c in ("docs", "starts", "lengths"))
             order = np.argsort(docs, kind="stable")
             docs, starts, lengths = docs[order], starts[order], lengths[order]
         cut = np.searchsorted(docs, np.arange(len(keys) + 1))
-        n, removed, begins, stops, kept = [], [], [], [], []
+        copies = _second_copies(units, solver, texts, several)
+        rows = []
         for i, text in enumerate(texts):
             count = units.count(text)
             a, b = cut[i], cut[i + 1]
-            n.append(count)
-            if a == b:
-                removed.append(0)
-                begins.append([])
-                stops.append([])
-                rest = text if keep == "text" else units.whole(text)
-            else:
-                cover = np.bincount(starts[a:b], minlength=count + 1) - np.bincount(starts[a:b] + lengths[a:b], minlength=count + 1)
-                gone = np.cumsum(cover[:count]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                removed.append(int(gone.sum()))
-                begins.append(edges[::2].tolist())
-                stops.append(edges[1::2].tolist())
-                rest = units.kept(text, gone)
-            kept.append(hashlib.sha256(rest).digest() if keep == "digest" else rest)
-        return pa.table({"key": pa.array(keys, pa.binary()), "least": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "starts": pa.array(begins, pa.list_(pa.int64())), "ends": pa.array(stops, pa.list_(pa.int64())), "kept": pa.array(kept, pa.binary())})
+            mine = _removed(units, text, count, starts[a:b], starts[a:b] + lengths[a:b], keep)
+            rows.append((keys[i], ids[i], count, *mine, *(_removed(units, text, count, *copies[i], keep) if several[i] else (None,) * 4)))
+        release()
+        kinds = (pa.binary(), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2, pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary())
+        return pa.table([pa.array(c, kind) for c, kind in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)], names=[f.split()[0] for f in RESULT.split(", ")])
 
     return run
 
@@ -473,7 +495,7 @@ def repeated(docs: DataFrame, units, solver: Solver, keep: str = "units", hot: i
 
     One row for each distinct text of ``docs`` (doc_id, text) with a doc_id, judged as the document ``least``: removed is every
     unit covered by a window that also starts in a document with a smaller id. kept: the units left, if ``keep`` is "units"; their SHA-256,
-    if "digest"; if "text", the units left of a text that loses any, else the text as it is.
+    if "digest"; if "text", the units left of a text that loses any, else the text as it is. The columns from copy_removed on say the same of all later documents with the text; null if there are none.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
@@ -484,7 +506,7 @@ def repeated(docs: DataFrame, units, solver: Solver, keep: str = "units", hot: i
     shared = offers.repartition(parts, "block").groupBy("block").applyInArrow(_share(hot), "part int, hashes binary, flags binary")
     sent = held.groupBy("part").cogroup(shared.repartition(parts, "part").groupBy("part")).applyInArrow(_send(units, parts), FRAGMENTS)
     told = sent.repartition(parts, "block").groupBy("block").applyInArrow(_solve(solver), "part int, docs binary, starts binary, lengths binary")
-    return held.groupBy("part").cogroup(told.repartition(parts, "part").groupBy("part")).applyInArrow(_finish(units, keep), RESULT)
+    return held.groupBy("part").cogroup(told.repartition(parts, "part").groupBy("part")).applyInArrow(_finish(units, solver, keep), RESULT)
 
 
 def text_key(text) -> F.Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U, Words, mix
 from .common import numbered, only
-from .repeats import HOT, PARTITION_BYTES, WordUnits, repeated, text_key, word_hashes
+from .repeats import HOT, NONE, PARTITION_BYTES, WordUnits, repeated, text_key, word_hashes
 from .suffix_dedup import settle
 
 WINDOW = 50
@@ -87,9 +87,11 @@ def parse(texts: list[bytes], group: np.ndarray, ids: np.ndarray, window: int =
     return Factors(text[at], at - w.first[text[at]], match[at], text[source[at]], source[at] - w.first[text[source[at]]])
 
 
-def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = parse(texts, group, ids, window)
-    return f.text, f.start, f.start + f.length
+def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, second: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The factors as stretches; see ``repeats.Solver``. A second occurrence is parsed as a text of its own."""
+    also = np.flatnonzero(second < NONE)
+    f = parse([*texts, *(texts[i] for i in also)], np.concatenate([group, group[also]]), np.concatenate([ids, second[also]]), window)
+    return np.concatenate([np.arange(len(texts)), len(texts) + also])[f.text], f.start, f.start + f.length
 
 
 def remove_spans(docs: DataFrame, window: int = WINDOW, digest: bool = False, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -104,16 +106,15 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, digest: bool = False, ho
     if window < 12:
         raise ValueError("window must be 12 or more")
 
-    def solver(texts, group, ids):
-        return solve(texts, group, ids, window)
+    def solver(texts, group, ids, second):
+        return solve(texts, group, ids, second, window)
 
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\x09-\\x0D]+"), lambda x: x != "")
     own = F.array_join(words, " ").cast("binary")
     own = F.unhex(F.sha2(own, 256)) if digest else own
-    nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256)) if digest else F.lit("").cast("binary")
     lost = F.col("doc_id").isNull()
     rows = only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.when(lost, F.size(words)).cast("long").alias("n_words"), F.when(lost, own).alias("own"))
-    return settle(rows, repeated(docs, WordUnits(window=window), solver, "digest" if digest else "units", hot, partition_bytes), window, nothing, "n_words")
+    return settle(rows, repeated(docs, WordUnits(window=window), solver, "digest" if digest else "units", hot, partition_bytes), "n_words")
 
 
 def cut_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -123,20 +124,22 @@ def cut_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, partition_b
     new length; all other texts, null ones too, and rows without a doc_id stay as they are.
     """
 
-    def solver(texts, group, ids):
-        return solve(texts, group, ids, window)
+    def solver(texts, group, ids, second):
+        return solve(texts, group, ids, second, window)
 
     found = repeated(docs, WordUnits(window=window), solver, "text", hot, partition_bytes)
-    found = found.select(*[F.col(c).alias(f"_span_{c}") for c in ("key", "least", "n", "n_removed", "kept")])
+    found = found.select(*[F.col(c).alias(f"_span_{c}") for c in ("key", "least", "n_removed", "kept", "copy_removed", "copy_kept")])
     flat, (doc_id, own) = numbered(docs, "doc_id", "text")
     lost = F.col(doc_id).isNull()
     rows = flat.withColumns({"_span_of": text_key(F.col(own)), "_span_null": F.col(own).isNull()}).withColumn(own, F.when(lost, F.col(own)))
-    copy = (F.col(doc_id) > F.col("_span_least")) & (F.col("_span_n") >= window)
+    copy = F.col(doc_id) > F.col("_span_least")
+    kept = F.when(copy, F.col("_span_copy_kept")).otherwise(F.col("_span_kept"))
+    n_removed = F.when(copy, F.col("_span_copy_removed")).otherwise(F.col("_span_n_removed"))
     joined = rows.join(found, F.col("_span_of") == F.col("_span_key"), "left")
-    text = F.when(lost, F.col(own)).when(F.col("_span_null"), F.lit(None)).when(copy, F.lit("")).otherwise(F.col("_span_kept").cast("string"))
+    text = F.when(lost, F.col(own)).when(F.col("_span_null"), F.lit(None)).otherwise(kept.cast("string"))
     new: dict[str, F.Column] = {own: text}
     if "n_chars" in docs.columns:
-        changed = ~lost & ~F.col("_span_null") & (copy | (F.col("_span_n_removed") > 0))
+        changed = ~lost & ~F.col("_span_null") & (n_removed > 0)
         _, (n_chars,) = numbered(docs, "n_chars")
         new[n_chars] = F.when(changed, F.length(text)).otherwise(F.col(n_chars)).cast(flat.schema[n_chars].dataType)
     return joined.withColumns(new).select(*flat.columns).toDF(*docs.columns)

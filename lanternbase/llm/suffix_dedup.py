@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import ragged, slices
 from .common import only
-from .repeats import HOT, PARTITION_BYTES, ByteUnits, repeated, text_key
+from .repeats import HOT, NONE, PARTITION_BYTES, ByteUnits, repeated, text_key
 
 LEAST = 50
 #: Occurrences that are listed together, about.
@@ -37,18 +37,37 @@ class Repeats:
 
 
 def _rank(key: np.ndarray) -> np.ndarray:
+    """Of each key, how many are smaller."""
     order = np.argsort(key)
     k = key[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
     rank = np.empty(len(key), np.int32)
-    rank[order] = np.cumsum(np.concatenate([[True], k[1:] != k[:-1]]), dtype=np.int32)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     return rank
 
 
-def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMBERS) -> Iterator[Repeats]:
+def _finer(rank: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Ranks by ``rank``, then ``after``; only ranks that several have need a look."""
+    some = np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
+    out = rank.copy()
+    if len(some):
+        key = rank[some].astype(np.int64) << 32 | after[some]
+        order = np.argsort(key)
+        k = key[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        first = np.concatenate([[True], k[1:] >> 32 != k[:-1] >> 32])
+        place = np.arange(len(k))
+        within = np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        out[some[order]] = (k >> 32) + within
+    return out
+
+
+def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMBERS, twice: np.ndarray | None = None) -> Iterator[Repeats]:
     """All maximal repeats of ``least`` or more bytes in and between the texts; none crosses a text's end.
 
     They come in parts of about ``together`` occurrences together, since repeats nest and an occurrence is in many; a
-    repeat is never cut.
+    repeat is never cut. A text marked in ``twice`` stands for two equal ones: text i occurs as i and as len(texts) + i, and a suffix that
+    stands for two is an interval of its own.
     """
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(size.sum())
@@ -58,7 +77,8 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMB
     # symbols are bytes plus one; zero stands past the end of a text
     symbol = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + np.int16(1)
     some = np.flatnonzero(left_over >= least)
-    if len(some) < 2:
+    twice = np.zeros(len(texts), bool) if twice is None else twice
+    if not len(some):
         return
 
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
@@ -72,23 +92,17 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMB
         key = key << 9 | shifted(symbol, j)
     ranks = {7: _rank(key)}
     del key
-    for level in (7, 14):
-        ranks[2 * level] = _rank(ranks[level].astype(np.int64) << 32 | shifted(ranks[level], level))
-    # suffixes with enough bytes left, in order: by ranks of 28 bytes each as far as any text goes
-    steps = range(0, int(size.max()), 28)
-    columns = [np.where(left_over[some] > s, ranks[28][np.minimum(some + s, total - 1)], 0) for s in steps]
-    suffixes = some[np.lexsort(columns[::-1])]
+    level = 7
+    while level < int(size.max()) and (np.bincount(ranks[level], minlength=total) > 1).any():
+        ranks[2 * level] = _finer(ranks[level], shifted(ranks[level] + np.int32(1), level))
+        level *= 2
+    # suffixes with enough bytes left, in order
+    suffixes = some[np.argsort(ranks[level][some], kind="stable")]
     # common prefixes of neighbours
     a, b = suffixes[:-1], suffixes[1:]
     most = np.minimum(left_over[a], left_over[b])
     lcp = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    while len(live):
-        x, y = a[live] + lcp[live], b[live] + lcp[live]
-        ok = (lcp[live] < most[live]) & (ranks[28][np.minimum(x, total - 1)] == ranks[28][np.minimum(y, total - 1)])
-        live = live[ok]
-        lcp[live] += 28
-    for level, times in ((14, 1), (7, 1), (1, 6)):
+    for level, times in [*((x, 1) for x in sorted(ranks, reverse=True)), (1, 6)]:
         table = ranks.get(level, symbol)
         live = np.arange(len(a))
         for _ in range(times):
@@ -104,12 +118,17 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMB
     changes = np.cumsum(change)
     low, high, length = _intervals(lcp, least)
     diverse = changes[high] > changes[low]
-    low, high, length = low[diverse], high[diverse], length[diverse]
-    del ranks, columns, lcp, a, b, most
+    whole = np.flatnonzero(alone & twice[owner[suffixes]])
+    low, high, length = (np.concatenate(x) for x in ((low[diverse], whole), (high[diverse], whole), (length[diverse], left_over[suffixes[whole]])))
+    del ranks, lcp, a, b, most
     n = high - low + 1
     for i, j in slices(n.tolist(), together):
-        members = suffixes[ragged(low[i:j], n[i:j])]
-        yield Repeats(length[i:j], np.repeat(np.arange(j - i), n[i:j]), owner[members], members - begin[owner[members]])
+        members, group = suffixes[ragged(low[i:j], n[i:j])], np.repeat(np.arange(j - i), n[i:j])
+        text, start = owner[members], members - begin[owner[members]]
+        also = twice[text]
+        if also.any():
+            group, text, start = (np.concatenate(x) for x in ((group, group[also]), (text, text[also] + np.int32(len(texts))), (start, start[also])))
+        yield Repeats(length[i:j], group, text, start)
 
 
 def _intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,12 +158,15 @@ def _intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     return tuple(np.concatenate([*x, np.frombuffer(y, np.int64)]) for x, y in ((low, out_low), (high, out_high), (length, out_length)))
 
 
-def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of fragments that a repeat with a smaller document covers. Equal windows only occur in one group."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
+def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, second: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of fragments that a repeat with a smaller document covers; see ``repeats.Solver``. Equal windows only occur in one group."""
+    twice = second < NONE
+    ids = np.concatenate([ids, second])
+    size = np.tile(np.fromiter(map(len, texts), np.int64, len(texts)), 2)
+    size[len(texts) :][~twice] = 0
     base = np.cumsum(size) - size
     reach = np.zeros(int(size.sum()), np.int64)
-    for r in maximal_repeats(texts, least):
+    for r in maximal_repeats(texts, least, twice=twice):
         smallest = np.full(len(r.length), np.iinfo(np.int64).max)
         np.minimum.at(smallest, r.group, ids[r.text])
         later = ids[r.text] > smallest[r.group]
@@ -153,12 +175,12 @@ def solve(texts: list[bytes], group: np.ndarray, ids: np.ndarray, least: int = L
     # runs of covered bytes, cut between texts
     covered = np.maximum.accumulate(reach) > np.arange(len(reach)) if len(reach) else reach > 0
     fresh = np.zeros(len(reach) + 1, bool)
-    fresh[base] = True
+    fresh[base[size > 0]] = True
     before = np.concatenate([[False], covered[:-1]]) & ~fresh[:-1]
     start = np.flatnonzero(covered & ~before)
     after = np.concatenate([covered[1:], [False]]) & ~fresh[1:]
     stop = np.flatnonzero(covered & ~after) + 1
-    text = np.searchsorted(base, start, side="right") - 1
+    text = np.searchsorted(base + size, start, side="right")
     return text, start - base[text], stop - base[text]
 
 
@@ -174,26 +196,25 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, digest: bool = False, ho
         raise ValueError("least must be 20 or more")
     units = ByteUnits(window=least)
 
-    def solver(texts, group, ids):
-        return solve(texts, group, ids, least)
+    def solver(texts, group, ids, second):
+        return solve(texts, group, ids, second, least)
 
     own = F.coalesce("text", F.lit("")).cast("binary")
     own = F.unhex(F.sha2(own, 256)) if digest else own
-    nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256)) if digest else F.lit("").cast("binary")
     rows = only(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.when(F.col("doc_id").isNull(), own).alias("own"))
-    return settle(rows, repeated(docs, units, solver, "digest" if digest else "units", hot, partition_bytes), least, nothing, "n_bytes")
+    return settle(rows, repeated(docs, units, solver, "digest" if digest else "units", hot, partition_bytes), "n_bytes")
 
 
-def settle(rows: DataFrame, texts: DataFrame, least: int, nothing, count: str) -> DataFrame:
-    """Every row's result from that of its text: only the copies with the smallest id keep what a text keeps."""
-    copy = (F.col("doc_id") > F.col("least")) & (F.col("n") >= least)
+def settle(rows: DataFrame, texts: DataFrame, count: str) -> DataFrame:
+    """Every row's result from that of its text: that of the smallest id, or of the later copies."""
+    copy = F.col("doc_id") > F.col("least")
     free = F.array().cast("array<long>")
     joined = rows.join(texts, "key", "left")
     return joined.select(
         "doc_id",
         F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("n")), F.col(count)).alias(count),
-        F.when(F.col("doc_id").isNull(), F.lit(0)).when(copy, F.col("n")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
-        F.when(F.col("doc_id").isNull(), free).when(copy, F.array(F.lit(0).cast("long"))).otherwise(F.col("starts")).alias("starts"),
-        F.when(F.col("doc_id").isNull(), free).when(copy, F.array("n")).otherwise(F.col("ends")).alias("ends"),
-        F.when(F.col("doc_id").isNull(), F.col("own")).when(copy, nothing).otherwise(F.col("kept")).alias("kept"),
+        F.when(F.col("doc_id").isNull(), F.lit(0)).when(copy, F.col("copy_removed")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.when(F.col("doc_id").isNull(), free).when(copy, F.col("copy_starts")).otherwise(F.col("starts")).alias("starts"),
+        F.when(F.col("doc_id").isNull(), free).when(copy, F.col("copy_ends")).otherwise(F.col("ends")).alias("ends"),
+        F.when(F.col("doc_id").isNull(), F.col("own")).when(copy, F.col("copy_kept")).otherwise(F.col("kept")).alias("kept"),
     )

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 
 from lanternbase.llm.components import components
+from lanternbase.llm.repeats import ByteUnits, WordUnits, repeated
 from lanternbase.llm.rlz_dedup import cut_spans, parse, remove_spans
 from lanternbase.llm.simhash import deduplicate, fingerprints, hexadecimal, keys, links, simhash_groups
 from lanternbase.llm.suffix_dedup import maximal_repeats, remove_repeats
@@ -211,3 +212,33 @@ def test_factors_agree_with_their_references():
     assert len(f.text)
     for t, s, n, rt, rs in zip(f.text, f.start, f.length, f.ref_text, f.ref_start, strict=True):
         assert n >= 20 and rt < t and words[t][s : s + n] == words[rt][rs : rs + n]
+
+
+def test_a_text_that_stands_for_two_gives_the_repeats_of_both():
+    rng = random.Random(12)
+    for _ in range(60):
+        texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(30))) * rng.randrange(1, 4) for _ in range(5)]
+        twice = np.array([rng.random() < 0.4 for _ in texts])
+        places = [i for i in range(5)] + [i for i in range(5) if twice[i]]
+        name = {k: (k if k < 5 else 5 + places[k]) for k in range(len(places))}
+
+        def repeats(parts, rename):
+            out = set()
+            for r in parts:
+                for g in range(len(r.length)):
+                    mine = r.group == g
+                    out.add((int(r.length[g]), frozenset((rename[int(t)], int(s)) for t, s in zip(r.text[mine], r.start[mine], strict=True))))
+            return out
+
+        got = repeats(maximal_repeats(texts, 5, twice=twice), {i: i for i in range(10)})
+        want = repeats(maximal_repeats([texts[i] for i in places], 5), name)
+        assert got == want
+
+
+@pytest.mark.parametrize("units", [ByteUnits(), WordUnits()])
+def test_nothing_is_removed_but_by_the_solver(spark, units):
+    words = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, words), (2, words), (3, "start " + words), (4, words + " end"), (5, words)]
+    nothing = np.zeros(0, np.int64)
+    got = repeated(spark.createDataFrame(rows, "doc_id long, text string"), units, lambda *_: (nothing, nothing, nothing), hot=2).collect()
+    assert len(got) == 3 and all(not r.n_removed and not r.copy_removed for r in got)
