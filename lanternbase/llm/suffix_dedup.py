@@ -118,7 +118,8 @@ def maximal_repeats(texts: list[bytes], least: int = LEAST, together: int = MEMB
     changes = np.cumsum(change)
     low, high, length = _intervals(lcp, least)
     diverse = changes[high] > changes[low]
-    whole = np.flatnonzero(alone & twice[owner[suffixes]])
+    beside = np.maximum(np.concatenate([[0], lcp]), np.concatenate([lcp, [0]]))
+    whole = np.flatnonzero(alone & twice[owner[suffixes]] & (left_over[suffixes] > beside))
     low, high, length = (np.concatenate(x) for x in ((low[diverse], whole), (high[diverse], whole), (length[diverse], left_over[suffixes[whole]])))
     del ranks, lcp, a, b, most
     n = high - low + 1
