@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from lanternbase.config import Config
 from lanternbase.functions.models import Model, embedding_column
 from lanternbase.operators import conversation, hybrid, index, lexical, prompt
 from lanternbase.sources import snapshot
-from lanternbase.sources.markdown import exists, make_folder, read_optional, scan
+from lanternbase.sources.markdown import exists, make_folder, read_optional, remove, scan
 
 #: Instruction and mark of the fact extraction (fixed values).
 FLUSH_PROMPT = (
@@ -43,7 +44,15 @@ class Memory:
         if not exists(self.spark, f"{self.config.workspace}/memory"):
             make_folder(self.spark, f"{self.config.workspace}/memory")
             return {"indexed": 0, "skipped": 0, "deleted": 0}
-        files = scan(self.spark, self.config.workspace)
+        # one reading of the files for counts, catalogue and chunks, whatever is edited meanwhile
+        held = f"{self.root}/scan-{uuid.uuid4().hex}"
+        scan(self.spark, self.config.workspace).write.parquet(held)
+        try:
+            return self._index(self.spark.read.parquet(held), force)
+        finally:
+            remove(self.spark, held)
+
+    def _index(self, files: DataFrame, force: bool) -> dict[str, int]:
         stored, chunks = self._table("files", schema.FILES), self.chunks()
         if force:
             stored, chunks = stored.limit(0), chunks.limit(0)
@@ -52,8 +61,7 @@ class Memory:
         found = index.counts(changes).first().asDict()
         embed = embedding_column(self.model, F.col("input"))
         made = index.rebuild(chunks, files, changes, self.config.embed_model, embed)
-        snapshot.publish(self.spark, self.root, {"files": disk, "chunks": made})
-        index.check_widths(self.chunks())
+        snapshot.publish(self.spark, self.root, {"files": disk, "chunks": made}, lambda written: index.check_widths(written["chunks"]))
         return found
 
     def _table(self, name: str, columns: str) -> DataFrame:

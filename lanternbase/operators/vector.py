@@ -1,17 +1,19 @@
 """Exact nearest neighbours by Euclidean distance for a batch of query vectors.
 
-Up to ``BROADCAST_QUERIES`` query vectors go to every task as one matrix; each Arrow batch keeps its own best k, so the shuffle has
-k rows for each query and batch. Above that the search is a declared join of all pairs, which Spark plans.
+Query vectors go to the tasks as matrices of ``BROADCAST_QUERIES`` at most, in one pass over the vectors for each; each Arrow batch keeps its own best k, so
+the shuffle has k rows for each query and batch.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lanternbase.functions.scores import distance_to_similarity
 
@@ -39,7 +41,7 @@ def _nearest(queries, k: int):
                 # everything up to the k-th distance stays, so ties can be settled by id
                 edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
                 row, col = np.nonzero(d <= edge)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + row]), names.take(pa.array(col)), pa.array(d[row, col])], names=["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), names.take(pa.array(col)), pa.array(d[row, col])], names=["query_id", "id", "distance"])
 
     return run
 
@@ -47,21 +49,23 @@ def _nearest(queries, k: int):
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, id, distance, place (from 1) of the ``k`` nearest of ``vectors`` (id, embedding) to each of ``queries`` (query_id, vector).
 
-    Null embeddings take no part; ties go to the smaller id.
+    Null vectors take no part on either side; ties go to the smaller id. Vectors of different widths are an error. The queries are gathered on the
+    driver, a block at a time.
     """
-    held = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(BROADCAST_QUERIES + 1).collect()
+    held = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
     vectors = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    kind = vectors.schema["id"].dataType.simpleString()
-    if not held:
-        pairs = vectors.sparkSession.createDataFrame([], f"query_id long, id {kind}, distance double")
-    elif len(held) <= BROADCAST_QUERIES:
-        matrix = (np.array([r["query_id"] for r in held]), np.array([r["vector"] for r in held], np.float64))
-        shared = vectors.sparkSession.sparkContext.broadcast(matrix)
-        pairs = vectors.mapInArrow(_nearest(shared, k), f"query_id long, id {kind}, distance double")
-    else:
-        every = vectors.where("embedding is not null").crossJoin(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")))
-        squares = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
-        pairs = every.select("query_id", "id", F.sqrt(squares).alias("distance"))
+    schema = f"query_id {held.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, distance double"
+    ids = to_arrow_type(held.schema["query_id"].dataType)
+    rows, pairs = held.toLocalIterator(), None
+    while block := list(itertools.islice(rows, BROADCAST_QUERIES)):
+        widths = {len(r["vector"]) for r in block}
+        if len(widths) > 1:
+            raise ValueError(f"query vectors of different widths: {sorted(widths)}")
+        matrix = (pa.array([r["query_id"] for r in block], ids), np.array([r["vector"] for r in block], np.float64))
+        some = vectors.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast(matrix), k), schema)
+        pairs = some if pairs is None else pairs.union(some)
+    if pairs is None:
+        pairs = vectors.sparkSession.createDataFrame([], schema)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return pairs.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 

@@ -16,18 +16,38 @@ def make_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scan(spark: SparkSession, workspace: str, folder: str = "memory") -> DataFrame:
     """path (below ``workspace``), content, mtime (epoch seconds), size of every *.md file in ``folder`` and below.
 
-    A file that is not UTF-8 is an error when it is read.
+    Names that begin with ``_`` or ``.`` count like any other; Spark's reader leaves those out, so they are read through its
+    file system, one by one. A file that is not UTF-8 is an error when it is read.
     """
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(workspace)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    hidden = []
+    found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(f"{workspace}/{folder}"), True)
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().toUri().getPath().removeprefix(root)
+        if name.endswith(".md") and any(part[0] in "_." for part in name.removeprefix(f"{folder}/").split("/")):
+            stream = fs.open(status.getPath())
+            hidden.append((name, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)), status.getModificationTime() / 1e3, status.getLen()))
+            stream.close()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{workspace}/{folder}")
-    # paths come as URLs; what stands before the folder of this workspace is cut
-    name = workspace.rstrip("/").split("/")[-1]
-    path = F.regexp_extract(F.try_url_decode(F.regexp_replace("path", "\\+", "%2B")), f"\\Q{name}\\E/({folder}/.*)$", 1)
+    # paths come as URLs; what stands before the workspace is cut
+    plain = F.regexp_replace(F.try_url_decode(F.regexp_replace("path", "\\+", "%2B")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    rows = files.select(F.substring(plain, len(root) + 1, 1 << 20).alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
+    rows = rows.union(spark.createDataFrame(hidden, "path string, content binary, mtime double, size long"))
     text = F.decode("content", "UTF-8")
     whole = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string"))
-    return files.select(path.alias("path"), whole.alias("content"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
+    return rows.select("path", whole.alias("content"), "mtime", "size")
 
 
 def read_optional(spark: SparkSession, path: str) -> str | None:

@@ -1,17 +1,19 @@
-"""Tables as numbered snapshots: a new version is written beside the old ones, then a pointer file is moved to it.
+"""Tables as numbered snapshots: a new version is written beside the old ones and counts once its mark is there.
 
-A crash before the move leaves the old version current; nothing is overwritten that a plan may be reading.
+The mark is the last file that is written and no file is ever moved or overwritten, so a crash at any time leaves the last complete version
+current, and nothing changes that a plan may be reading.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternbase.sources.markdown import exists, read_optional
+from lanternbase.sources.markdown import exists
 
-POINTER = "CURRENT"
+MARK = "_COMPLETE"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -19,9 +21,16 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    fs, where = _fs(spark, root)
+    if not fs.exists(where):
+        return []
+    return sorted(name for name in (s.getPath().getName() for s in fs.listStatus(where)) if name.startswith("v"))
+
+
 def current(spark: SparkSession, root: str) -> str | None:
-    name = read_optional(spark, f"{root}/{POINTER}")
-    return name.strip() if name else None
+    """The highest complete version."""
+    return next((v for v in reversed(_versions(spark, root)) if exists(spark, f"{root}/{v}/{MARK}")), None)
 
 
 def read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
@@ -32,19 +41,14 @@ def read(spark: SparkSession, root: str, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{version}/{table}")
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes all tables as one new version and makes it current."""
-    old = current(spark, root)
-    version = f"v{int(old[1:].split('-')[0]) + 1 if old else 1:06d}-{uuid.uuid4().hex[:8]}"
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], check: Callable[[dict[str, DataFrame]], None] | None = None) -> str:
+    """Writes all tables as one new version and makes it current, unless ``check`` of the written tables raises."""
+    known = _versions(spark, root)
+    version = f"v{int(known[-1][1:].split('-')[0]) + 1 if known else 1:06d}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}")
-    fs, target = _fs(spark, f"{root}/{POINTER}")
-    _, draft = _fs(spark, f"{root}/.{POINTER}.{version}")
-    out = fs.create(draft, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"could not publish {version}")
+    if check:
+        check({name: spark.read.schema(df.schema).parquet(f"{root}/{version}/{name}") for name, df in tables.items()})
+    fs, mark = _fs(spark, f"{root}/{version}/{MARK}")
+    fs.create(mark, False).close()
     return version

@@ -85,7 +85,7 @@ def test_vectors_and_fusion(spark):
     one = vector.vector_search(q, v.where("id = 4"), 4).first()
     assert one.score == one.similarity
     assert vector.nearest(q.limit(0), v, 3).count() == 0
-    vector.BROADCAST_QUERIES, before = 0, vector.BROADCAST_QUERIES
+    vector.BROADCAST_QUERIES, before = 1, vector.BROADCAST_QUERIES
     try:
         assert [r.id for r in vector.nearest(q, v, 4).orderBy("place").collect()] == [0, 1, 2, 4]
     finally:
@@ -176,3 +176,49 @@ def test_result_lines(spark):
     df = spark.createDataFrame(rows, "query_id long, place int, score double, vector_score double, text_score double, path string, start_line int, end_line int, text string")
     a, b = [r.line for r in prompt.result_lines(df).orderBy("place").collect()]
     assert a == "[1] score=0.500  sem=0.250  p.md:1-2\n    " + "x" * 200 + "…\n" and b == "[2] score=0.400    q.md:3-4\n    a\n    b\n"
+
+
+def test_hidden_names_are_scanned_and_paths_are_relative(spark, tmp_path):
+    from lanternbase.sources.markdown import scan
+
+    workspace = tmp_path / "memory" / "x" / "memory"  # the workspace has its folder's name, twice
+    names = ["a.md", "_b.md", ".c.md", "sub/d.md", "_priv/e.md", "with space+%20.md", "sub/.h/f.md"]
+    for name in names:
+        file = workspace / "memory" / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"# {name}")
+    (workspace / "memory" / "g.txt").write_text("no")
+    got = {r.path: r for r in scan(spark, str(workspace)).collect()}
+    assert sorted(got) == sorted(f"memory/{n}" for n in names)
+    assert all(r.content == f"# {p.removeprefix('memory/')}" and r.size == len(r.content) and r.mtime > 1e9 for p, r in got.items())
+
+
+def test_a_crash_leaves_the_last_complete_version(spark, tmp_path):
+    from lanternbase.sources import snapshot
+
+    root = str(tmp_path / "index")
+    first = spark.range(3)
+    snapshot.publish(spark, root, {"t": first})
+
+    def fail(_):
+        raise ValueError("widths")
+
+    with pytest.raises(ValueError):
+        snapshot.publish(spark, root, {"t": spark.range(5)}, fail)
+    assert snapshot.read(spark, root, "t", "id long").count() == 3
+    assert snapshot.publish(spark, root, {"t": spark.range(7)}).startswith("v000003")
+    assert snapshot.read(spark, root, "t", "id long").count() == 7
+
+
+def test_nearest_over_blocks_of_queries(spark, monkeypatch):
+    from lanternbase.operators import vector
+
+    rows = [(f"v{i}", [float(i), 0.0]) for i in range(6)] + [("none", None)]
+    vectors = spark.createDataFrame(rows, "id string, embedding array<double>")
+    queries = spark.createDataFrame([(f"q{i}", [i + 0.4, 0.0]) for i in range(5)] + [("null", None)], "query_id string, vector array<double>")
+    want = vector.nearest(queries, vectors, 2).collect()
+    monkeypatch.setattr(vector, "BROADCAST_QUERIES", 2)
+    got = vector.nearest(queries, vectors, 2).collect()
+    assert sorted(got) == sorted(want) and {(r.query_id, r.id) for r in got if r.place == 1} == {(f"q{i}", f"v{i}") for i in range(5)}
+    with pytest.raises(Exception, match="components"):
+        vector.nearest(queries, vectors.union(spark.createDataFrame([("w", [1.0])], vectors.schema)), 2).collect()
