@@ -41,8 +41,8 @@ def scan(spark: SparkSession, workspace: str, folder: str = "memory") -> DataFra
             hidden.append((name, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)), status.getModificationTime() / 1e3, status.getLen()))
             stream.close()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{workspace}/{folder}")
-    # paths come as URLs; what stands before the workspace is cut
-    plain = F.regexp_replace(F.try_url_decode(F.regexp_replace("path", "\\+", "%2B")), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    # paths come with the file system's name; what stands before the workspace is cut
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     rows = files.select(F.substring(plain, len(root) + 1, 1 << 20).alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
     rows = rows.union(spark.createDataFrame(hidden, "path string, content binary, mtime double, size long"))
     text = F.decode("content", "UTF-8")
