@@ -462,8 +462,7 @@ def sample_segmentations(rows: DataFrame, key: list[str], text: str = "text", k:
         shared = rows.sparkSession.sparkContext.broadcast(f.read())
     rows = only(rows, *key, text)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    spread = rows.repartition(max(8, 4 * rows.sparkSession.sparkContext.defaultParallelism))
-    return spread.mapInArrow(_sample(shared, k, seed, len(key)), f"{names}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return rows.mapInArrow(_sample(shared, k, seed, len(key)), f"{names}, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
 
 
 def decode_segmentations(samples: DataFrame, model: str | None = None) -> DataFrame:
