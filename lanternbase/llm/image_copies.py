@@ -7,7 +7,7 @@ equal in one, and differ in ``WORD_BITS`` or fewer of the 64 bits of another par
 ``CONSENSUS`` distinct features that agree, and ``AGREE`` of those matched, make a link; linked images form a class.
 
 Byte-identical images are one before all that. Classes need no pair of images that are connected already: small buckets of a table give all
-pairs, each larger one its pairs with one image first; after these are judged, it gives the pairs between different classes. Buckets
+pairs, each larger one its pairs with one image first; after these are judged, it gives the pairs between different classes that differ in ``DIFFERENT_BITS`` of the whole descriptors at most. Buckets
 above ``BUCKET`` entries are dealt out as pairs of blocks for that, so that no task holds a hot bucket and no pair of classes is left out.
 """
 
@@ -229,25 +229,36 @@ def _meet(small: int):
     return run
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket and different classes, of rows (key, id, n, word, root, side) sorted by key; equal sides meet if they are 2 only."""
-    held = [np.zeros(0, np.int64)] * 6
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)]
-        if not len(held[0]):
-            continue
-        stop = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-        (key, image, n, word, root, side), held = [c[:stop] for c in held], [c[stop:] for c in held]
-        for s, m in zip(*(x.tolist() for x in _runs(key)), strict=True):
-            r, d = root[s : s + m], side[s : s + m]
-            if (r == r[0]).all():
+def _between(bits: int):
+    """Pairs of one bucket and different classes that differ in at most ``bits`` bits, of rows (key, id, n, root, side, descriptor) sorted by key.
+
+    Equal sides meet if they are 2 only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [np.zeros(0, np.int64)] * 5, np.zeros((0, WORDS), np.uint64)
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = [np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns[:5], strict=True)]
+                texts = np.concatenate([texts, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, WORDS)])
+            if not len(held[0]):
                 continue
-            for i in range(0, m, 512):
-                y, x = np.nonzero(r[i : i + 512, None] != r[None, i:])
-                y, x = y + i, x + i
-                ok = (x > y) & ((d[y] == 2) | (d[y] != d[x]))
-                yield _pairs(image, n, word, s + y[ok], s + x[ok])
+            stop = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+            (key, image, n, root, side), held = [c[:stop] for c in held], [c[stop:] for c in held]
+            descriptor, texts = texts[:stop], texts[stop:]
+            for s, m in zip(*(x.tolist() for x in _runs(key)), strict=True):
+                r, d, w = (c[s : s + m] for c in (root, side, descriptor))
+                if (r == r[0]).all():
+                    continue
+                for i in range(0, m, 512):
+                    y, x = np.nonzero(r[i : i + 512, None] != r[None, i:])
+                    y, x = y + i, x + i
+                    ok = (x > y) & ((d[y] == 2) | (d[y] != d[x]))
+                    y, x = y[ok], x[ok]
+                    ok = np.bitwise_count(w[y] ^ w[x]).sum(axis=1, dtype=np.int64) <= bits
+                    yield _pairs(image, n, np.zeros(len(image), np.int64), s + y[ok], s + x[ok])
+
+    return run
 
 
 def _distinct(group: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
@@ -381,10 +392,12 @@ def image_copies(images: DataFrame, bits: int = DIFFERENT_BITS, shared: int = SH
         # a bucket within one class has no more to say
         mixed = placed.groupBy("key").agg(F.ceil(F.count("*") / F.lit(bucket)).cast("int").alias("blocks"), F.min("root").alias("one"), F.max("root").alias("other")).where("one < other").select("key", "blocks")
         mine = F.pmod(F.xxhash64("id", "n"), F.col("blocks")).cast("int")
-        dealt = placed.join(mixed, "key").select("*", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
+        whole = found.select("id", "bits")
+        placed = placed.join(mixed, "key").join(whole, "id").withColumn("descriptor", F.substring("bits", F.col("n") * F.lit(BITS // 8) + 1, F.lit(BITS // 8)))
+        dealt = placed.select("key", "id", "n", "root", "blocks", "descriptor", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"))
         side = F.when(F.col("mine") == F.col("at"), 2).otherwise((F.col("mine") > F.col("at")).cast("int")).alias("side")
-        dealt = dealt.select(F.xxhash64("key", F.least("mine", "at"), F.greatest("mine", "at")).alias("key"), "id", "n", "word", "root", side)
-        rest = dealt.repartition(2 * n, "key").sortWithinPartitions("key").mapInArrow(_between, MEETING)
+        dealt = dealt.select(F.xxhash64("key", F.least("mine", "at"), F.greatest("mine", "at")).alias("key"), "id", "n", "root", side, "descriptor")
+        rest = dealt.repartition(2 * n, "key").sortWithinPartitions("key").mapInArrow(_between(bits), MEETING)
         tree = stash(components(links.union(judged(rest))).toDF("id", "root"))
     counts = found.select("id", "n_features")
     info = first.select("same", "least", "id").join(tree, "id", "left").join(counts, "id", "left")
