@@ -23,9 +23,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """term, df, tf over all documents."""
-    each = docs.select("id", F.explode(document_tokens(F.col("text"))).alias("term")).groupBy("id", "term").count()
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("tf"))
+    """term, df, tf over all documents; ids do not repeat."""
+    tokens = docs.select(document_tokens(F.col("text")).alias("t"))
+    # a document's distinct terms beside all of them: only sums by term are shuffled
+    both = tokens.select(F.inline(F.array(F.struct(F.lit(0).alias("df"), F.lit(1).alias("tf"), F.col("t")), F.struct(F.lit(1).alias("df"), F.lit(0).alias("tf"), F.array_distinct("t").alias("t")))))
+    each = both.select("df", "tf", F.explode("t").alias("term"))
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -40,6 +43,9 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     terms = wanted.select("terms").distinct().where(F.size("terms") > 0).select("terms", F.posexplode("terms").alias("nth", "term"))
     # a document's length travels with its tokens, so no second pass has to be joined for it
     tokens = docs.select("id", document_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    # only tokens that a query asks for reach the join: one row of terms, as many as the queries have
+    asked = terms.agg(F.collect_set("term").alias("asked"))
+    tokens = tokens.join(F.broadcast(asked), F.array_contains("asked", F.col("term"))).drop("asked")
     starts = tokens.join(terms, "term").groupBy("terms", "id", "dl", (F.col("pos") - F.col("nth")).alias("at")).count()
     tf = starts.where(F.col("count") == F.size("terms")).groupBy("terms", "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("terms").agg(F.count("*").alias("df"))
