@@ -2,7 +2,8 @@
 
 Two bigram models, of a target corpus and of the whole corpus as background, have the same vocabulary (the words of the background),
 order and smoothing. A document's score is its mean per-token loss under the target model less that under the background
-model: the lower, the more it is like the target.
+model: the lower, the more it is like the target. Neither model counts the document that it scores: a row's own words are taken from the
+counts first, so that a document of the target is not the likelier for being in it.
 
 Counts are exact over all documents. Partitions of documents offer each distinct unigram and bigram hash (64 bits) once with its two
 counts, packed; blocks by hash range sum them and answer each partition in the order it asked, so that answers hold counts
@@ -125,12 +126,18 @@ def _sum(table: pa.Table) -> pa.Table:
     return _table(rows, ANSWER)
 
 
-def _loss(count_pair, count_word, count_context, tokens: int, vocabulary: int) -> np.ndarray:
+def _loss(count_pair, count_word, count_context, tokens, vocabulary: int) -> np.ndarray:
     """Negative log probability of each token given the one before."""
     unigram = (count_word + ALPHA) / (tokens + ALPHA * max(1, vocabulary))
     return -np.log((count_pair + MU * unigram) / (count_context + MU))
 
 
+def _own(text: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+    """How often each token's gram (a number below ``n``) occurs in the token's text."""
+    _, where, count = np.unique(text * n + gram, return_inverse=True, return_counts=True)
+    return count[where]
+
+
 SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
@@ -141,11 +148,19 @@ def _score(totals: tuple[int, int, int]):
         grams = Grams(texts)
         first = np.flatnonzero(grams.context == (mix(np.array([START])) | U(1))[0])
         distinct = np.unique(np.concatenate([grams.word, grams.pair, grams.context[first]]))
-        order = np.argsort(right.column("block").to_numpy())
+        block = right.column("block").to_numpy()
+        order = [i for i in np.argsort(block) if block[i] >= 0]
         counts = [np.concatenate([unpack_ints(right.column(c)[int(i)].as_py()) for i in order]).astype(np.float64) for c in ("n_all", "n_target")]
+        wanted = {x for row in right.column("target_ids").to_pylist() if row for x in row}
+        target = np.array([d in wanted for d in ids], np.int64)
         at = [np.searchsorted(distinct, g) for g in (grams.pair, grams.word, grams.context)]
+        own = [_own(grams.text, g, len(distinct)) for g in at]
         n = grams.tokens
-        losses = [np.bincount(grams.text, _loss(*(c[i] for i in at), tokens, vocabulary), len(texts)) / n for c, tokens in zip(counts, (tokens_all, tokens_target), strict=True)]
+        losses = []
+        for c, tokens, counted in zip(counts, (tokens_all, tokens_target), (np.ones(len(texts), np.int64), target), strict=True):
+            less = counted[grams.text]
+            loss = _loss(*(c[i] - less * o for i, o in zip(at, own, strict=True)), tokens - less * n[grams.text], vocabulary)
+            losses.append(np.bincount(grams.text, loss, len(texts)) / n)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(n), "target_loss": pa.array(losses[1]), "background_loss": pa.array(losses[0]), "score": pa.array(losses[1] - losses[0])})
 
     return run
@@ -157,7 +172,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, partition_bytes
     ``target`` (doc_id) names the documents of the target corpus; ids that are null, repeated or in no document change nothing.
     Words are runs of characters other than white space, A-Z lower-cased; each text ends with an end token, so
     null and empty texts have one token. A null doc_id belongs to the background only. Repeated rows count as often as they
-    occur. Extra columns are ignored; an empty table gives an empty result.
+    occur, and a row leaves out itself only, not its copies; the vocabulary is that of all rows. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")
@@ -167,10 +182,13 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, partition_bytes
     part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))), F.lit(parts)).cast("int")
     held = docs.select("doc_id", "text", part.alias("part")).mapInArrow(_pack(), HELD).repartition(parts, "part").persist(StorageLevel.DISK_ONLY)
     chosen = only(target, "doc_id").where("doc_id is not null").distinct()
-    chosen = chosen.groupBy(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("doc_id").alias("target_ids"))
+    part_of = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts)).cast("int").alias("part")
+    chosen = stash(chosen.groupBy(part_of).agg(F.collect_list("doc_id").alias("target_ids")))
     offers = held.groupBy("part").cogroup(chosen.repartition(parts, "part").groupBy("part")).applyInArrow(_offer(parts), "block int, part int, keys binary, n_all binary, n_target binary")
     answers = stash(offers.repartition(parts, "block").groupBy("block").applyInArrow(_sum, ANSWER))
     row = answers.where("part = -1").agg(F.sum("vocabulary"), F.sum("tokens_all"), F.sum("tokens_target")).first()
     totals = tuple(int(x or 0) for x in row)
-    told = answers.where("part >= 0").select("part", "block", "n_all", "n_target")
+    told = answers.where("part >= 0").select("part", "block", "n_all", "n_target", F.lit(None).cast("array<bigint>").alias("target_ids"))
+    nothing = F.lit(None).cast("binary")
+    told = told.union(chosen.select("part", F.lit(-1), nothing, nothing, "target_ids"))
     return held.groupBy("part").cogroup(told.repartition(parts, "part").groupBy("part")).applyInArrow(_score(totals), SCORES)

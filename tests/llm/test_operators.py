@@ -110,12 +110,12 @@ def brute_losses(rows, target):
                 before = w
         return word, pair, context
 
-    everything, chosen = model([t for _, t in rows]), model([t for d, t in rows if d in target])
-    v = len(everything[0])
+    v = len(model([t for _, t in rows])[0])
     out = []
-    for d, t in rows:
+    for i, (d, t) in enumerate(rows):
+        others = rows[:i] + rows[i + 1 :]
         both = []
-        for word, pair, context in (everything, chosen):
+        for word, pair, context in (model([x for _, x in others]), model([x for k, x in others if k in target])):
             n, total, before = 0, 0.0, b"<s>"
             for w in tokens(t):
                 c = context[before] if before == b"<s>" else word[before]
