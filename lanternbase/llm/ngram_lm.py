@@ -28,7 +28,7 @@ from .repeats import _ranges, _table, word_hashes
 
 #: Add-alpha smoothing of unigrams, and the weight of the unigram estimate in bigrams.
 ALPHA, MU = 0.5, 5.0
-PARTITION_BYTES = 4 << 20
+PARTITION_BYTES = 8 << 20
 START, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 HELD = "part int, ids array<long>, sizes binary, texts binary"
 ROWS = 2500
@@ -36,7 +36,7 @@ ROWS = 2500
 
 def _pack():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=3)
         for rows in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             ids, texts = rows.column(0).to_pylist(), binary_column(rows.column(1))
             where = rows.column(2).to_numpy()
