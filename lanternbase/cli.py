@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
+import sys
+import time
 import uuid
 
 from pyspark.sql import SparkSession, Window
@@ -48,14 +51,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
         shown = prompt.result_lines(found.withColumn("place", F.row_number().over(best)), args.full).orderBy("place")
         lines += [r["line"] for r in shown.collect()] or ["no results"]
     else:
-        chat(memory, hosted)
+        chat(memory, hosted, note=(lambda line: print(f"[debug] {line}", file=sys.stderr)) if config.debug else None)
     for line in lines:
         print(line)
     return lines
 
 
-def chat(memory: Memory, model: HostedModel, ask=input, say=print) -> None:
-    """Questions until the end of input; both turns are stored after each answer."""
+def chat(memory: Memory, model: HostedModel, ask=input, say=print, note=None) -> None:
+    """Questions until the end of input; both turns are stored after each answer.
+
+    ``note`` gets what ``--debug`` shows of a turn: chunks and their scores, the prompt, the request, seconds and the answer's id.
+    """
     session, turn, turns, previous = str(uuid.uuid4()), 0, memory.history(), memory.last_response_id()
     say("Chat ready. Ctrl-D to exit.")
     while True:
@@ -65,7 +71,22 @@ def chat(memory: Memory, model: HostedModel, ask=input, say=print) -> None:
             return
         if not question:
             continue
-        answer, previous = model.respond(conversation.messages(memory.system_prompt(question), turns, question), previous)
+        began = time.monotonic()
+        chosen = memory.search_for_context(question)
+        # a few rows, as many as a prompt takes, so that showing them does not search again
+        rows = chosen.orderBy("place").collect()
+        messages = conversation.messages(memory.prompt_with(memory.spark.createDataFrame(rows, chosen.schema)), turns, question)
+        if note:
+            note(f"retrieval {time.monotonic() - began:.2f} s, {len(rows)} chunks")
+            for r in rows:
+                note(f"  {r['score']:.3f} {r['path']}:{r['start_line']}-{r['end_line']}")
+            for m in messages:
+                note(f"{m['role']}: {m['content'][:300]}")
+            note(f"request: {json.dumps(model.request(messages, previous), indent=1)}")
+        sent = time.monotonic()
+        answer, previous = model.respond(messages, previous)
+        if note:
+            note(f"answer {previous} of {len(answer.split())} words after {time.monotonic() - sent:.2f} s, whole turn {time.monotonic() - began:.2f} s")
         say(answer)
         memory.insert_turn(session, turn, "user", question)
         memory.insert_turn(session, turn + 1, "assistant", answer, previous)

@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import urllib.request
+from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 class Model(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
+    def embed_many(self, texts: list[str]) -> list[list[float]]: ...
+
     def chat(self, messages: list[dict[str, str]]) -> str: ...
 
+    def chat_stream(self, messages: list[dict[str, str]]) -> Iterator[str]: ...
+
 
 class HashModel:
     """Unit vectors from token hashes. No chat."""
@@ -33,9 +38,15 @@ class HashModel:
         norm = math.sqrt(sum(x * x for x in v)) or 1.0
         return [x / norm for x in v]
 
+    def embed_many(self, texts: list[str]) -> list[list[float]]:
+        return [self.embed(t) for t in texts]
+
     def chat(self, messages: list[dict[str, str]]) -> str:
         raise NotImplementedError("local chat is not yet implemented")
 
+    def chat_stream(self, messages: list[dict[str, str]]) -> Iterator[str]:
+        return iter([self.chat(messages)])
+
 
 class HostedModel:
     """A service with the endpoints /embeddings and /responses."""
@@ -52,6 +63,12 @@ class HostedModel:
         data = self._post("/embeddings", {"model": self.embed_model, "input": text}).get("data") or [{}]
         return data[0].get("embedding", [])
 
+    def embed_many(self, texts: list[str]) -> list[list[float]]:
+        """Embeddings of some texts by one request."""
+        data = self._post("/embeddings", {"model": self.embed_model, "input": texts}).get("data") or []
+        found = {d.get("index", i): d.get("embedding", []) for i, d in enumerate(data)}
+        return [found.get(i, []) for i in range(len(texts))]
+
     def request(self, messages: list[dict[str, str]], previous: str | None) -> dict:
         """Body of a response call: a leading system message as instructions; after a previous response, the last user message alone."""
         system = messages[0]["content"] if messages and messages[0]["role"] == "system" else None
@@ -74,9 +91,20 @@ class HostedModel:
     def chat(self, messages: list[dict[str, str]]) -> str:
         return self.respond(messages)[0]
 
+    def chat_stream(self, messages: list[dict[str, str]]) -> Iterator[str]:
+        """The whole answer as one part; the service is not asked to stream."""
+        return iter([self.chat(messages)])
+
+
+#: Texts of one request.
+TOGETHER = 64
+
 
 def embedding_column(model: Model, text: Column) -> Column:
-    """Embeddings of a text column; a text whose embedding fails gets null."""
+    """Embeddings of a text column, some texts a request; a text whose embedding fails gets null.
+
+    The texts of a request that fails are asked for one by one, so that one bad text costs no other's vector.
+    """
 
     def run(texts: pd.Series) -> pd.Series:
         def one(t):
@@ -86,6 +114,14 @@ def embedding_column(model: Model, text: Column) -> Column:
                 print(f"embed warning: {e}")
                 return None
 
-        return texts.map(one)
+        def together(some):
+            try:
+                return [[float(x) for x in v] or None for v in model.embed_many(some)]
+            except Exception as e:
+                print(f"embed warning: {e}")
+                return [one(t) for t in some]
+
+        every = texts.tolist()
+        return pd.Series([v for i in range(0, len(every), TOGETHER) for v in together(every[i : i + TOGETHER])], dtype=object)
 
     return F.pandas_udf(run, "array<float>")(text)

@@ -93,8 +93,12 @@ class Memory:
         return hybrid.context(self.search(text, c.retrieval_candidates, as_of), c.retrieval_limit, c.retrieval_threshold)
 
     def system_prompt(self, text: str, as_of: Column | None = None) -> str:
+        return self.prompt_with(self.search_for_context(text, as_of))
+
+    def prompt_with(self, chosen: DataFrame) -> str:
+        """The system prompt with these chunks of one query."""
         context_md = read_optional(self.spark, f"{self.config.workspace}/context.md")
-        row = prompt.system_prompts(self.search_for_context(text, as_of), context_md).first()
+        row = prompt.system_prompts(chosen, context_md).first()
         return row["prompt"] if row else prompt.opening(context_md)
 
     # conversation

@@ -169,6 +169,53 @@ def test_hosted_requests():
     assert m.request(full, "r1") == {"model": "chat", "store": True, "instructions": "sys", "previous_response_id": "r1", "input": "q"}
     with pytest.raises(NotImplementedError):
         HashModel().chat([])
+    asked = []
+    m._post = lambda path, body: asked.append((path, body)) or {"data": [{"index": 1, "embedding": [2.0]}, {"index": 0, "embedding": [1.0]}]}
+    assert m.embed_many(["a", "b", "c"]) == [[1.0], [2.0], []] and asked == [("/embeddings", {"model": "emb", "input": ["a", "b", "c"]})]
+    m._post = lambda path, body: {"id": "r", "output": [{"type": "message", "content": [{"type": "output_text", "text": "t"}]}]}
+    assert list(m.chat_stream(full)) == ["t"]
+
+
+class Picky(HashModel):
+    def embed_many(self, texts):
+        if "bad" in texts and len(texts) > 1:
+            raise ValueError("one of the texts")
+        return super().embed_many(texts)
+
+    def embed(self, text):
+        if text == "bad":
+            raise ValueError(text)
+        return super().embed(text)
+
+
+def test_a_failed_embedding_costs_no_other(spark):
+    from lanternbase.functions.models import embedding_column
+
+    rows = spark.createDataFrame([(f"t{i}",) for i in range(150)] + [("bad",)], "t string").coalesce(1)
+    got = {r.t: r.v for r in rows.select("t", embedding_column(Picky(8), rows.t).alias("v")).collect()}
+    assert len(got) == 151 and [t for t, v in got.items() if v is None] == ["bad"]
+    assert all(got[f"t{i}"] == pytest.approx(HashModel(8).embed(f"t{i}")) for i in range(150))
+
+
+def test_chat_shows_its_turns_on_request(spark, tmp_path):
+    from lanternbase.cli import chat
+
+    (tmp_path / "memory").mkdir()
+    (tmp_path / "memory" / "a.md").write_text("# Tea\ngreen tea\n")
+    m = Memory(spark, config.Config(workspace=str(tmp_path), retrieval_threshold=0.0), HashModel())
+    m.index()
+    hosted = HostedModel("http://x", "k", "chat", "emb")
+    hosted.respond = lambda messages, previous=None: ("it is " + messages[-1]["content"], "r9")
+    said, noted, asked = [], [], iter(["green tea", " "])
+
+    def ask(_):
+        for line in asked:
+            return line
+        raise EOFError
+
+    chat(m, hosted, ask, said.append, noted.append)
+    assert said[-1] == "it is green tea" and m.history() == [("user", "green tea"), ("assistant", "it is green tea")] and m.last_response_id() == "r9"
+    assert "1 chunks" in noted[0] and "memory/a.md:1-" in noted[1] and "green tea" in noted[2] and noted[-1].startswith("answer r9 of 4 words")
 
 
 def test_result_lines(spark):
