@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment
 from .common import table
 from .hilbert_knn import neighbours
 from .image_copies import image_copies, rendered
+from .mixing import mix
 from .ngram_lm import cross_entropy_difference
 from .packing import pack
 from .quality import held_out, score, teaching, train
 from .rlz_dedup import remove_spans
 from .segment_sampling import sample_segmentations
 from .simhash import hexadecimal, simhash_groups
+from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .wordpiece_counts import piece_counts
 
@@ -68,6 +71,23 @@ def op10_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spelling_variants(table(spark, sf_dir, "documents"), wear=31)
+    return got.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is a member of one source, null among them."""
+    taken, sources, _ = mix(table(spark, sf_dir, "documents"), F.array("source"))
+    own = taken.select("doc_id", "size", F.element_at("sources", 1).alias("source"), "taken")
+    found = own.join(sources.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_image_copies": op1_image_copies,
     "op2_quality": op2_quality,
@@ -79,8 +99,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_knn": op8_hilbert_knn,
     "op9_segment_sampling": op9_segment_sampling,
     "op10_rlz_dedup": op10_rlz_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_source_mixing": op13_source_mixing,
 }
 
+#: The table of the checksum's bytes, from its polynomial (fixed value).
+_CRC = "WITH RECURSIVE crc(b, k, v) AS (SELECT b, 0, b::UBIGINT FROM range(256) r(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM crc WHERE k < 8)"
+
 #: DuckDB SQL of those that SQL can express; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     # a window's hash is put together from those of 2, 4, ... 32 bytes
@@ -104,4 +130,34 @@ f AS (SELECT h, min(doc_id) AS least FROM w WHERE h IS NOT NULL GROUP BY h),
 g AS (SELECT doc_id, i, word, max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS 49 PRECEDING) IS NOT NULL AS gone FROM w LEFT JOIN f USING (h)),
 r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM g GROUP BY doc_id)
 SELECT d.doc_id, len(l)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)""",
+    # the checksum folds a run's bytes over that of the doc_id; near words meet in the patterns they share
+    "op11_spelling_variants": _CRC
+    + r""",
+t AS (SELECT list(v ORDER BY b) AS v FROM crc WHERE k = 8),
+x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+l AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM x WHERE length(run) >= 7 GROUP BY ALL),
+k AS (SELECT *, unhex('00') || encode(doc_id || ':' || run) AS raw FROM l),
+i AS (SELECT *, [('0x' || h)::INT FOR h IN regexp_extract_all(hex(raw), '..')] AS bytes FROM k),
+h AS (SELECT doc_id, run, c, xor(list_reduce([4294967295::UBIGINT] || bytes[2:]::UBIGINT[], lambda a, b: xor(a >> 8, t.v[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) AS h FROM i, t),
+o AS (SELECT c, CASE WHEN doc_id IS NOT NULL AND h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+p AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+d AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS wild, left(word, i) || substr(word, i + 2) AS less FROM p),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b USING (wild) WHERE a.word <> b.word
+ UNION SELECT d.word, w.word, w.n FROM d JOIN w ON w.word = d.less UNION SELECT w.word, d.word, d.n FROM d JOIN w ON w.word = d.less),
+best AS (SELECT word, count(*) AS n_near, arg_min(struct_pack(other := other, n := n), struct_pack(a := -n, b := hex(encode(other)))) AS top FROM near GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.n >= 10 * w.n THEN top.other END AS form, CASE WHEN top.n >= 10 * w.n THEN top.n END AS form_n FROM w LEFT JOIN best USING (word)),
+r AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.next)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL""",
+    # sources that stop are found in the order of size by weight; documents are taken in the order of a digest
+    "op13_source_mixing": r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY hex(encode(source)) NULLS LAST) AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0.0::DOUBLE)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0.0::DOUBLE)) AS level, row_number() OVER (ORDER BY source_size / weight, k) AS turn
+ FROM w WINDOW before AS (ORDER BY source_size / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min(level, turn) AS level FROM o WHERE NOT weight * level > cap),
+t AS (SELECT source, source_size, CASE WHEN weight * l.level < cap THEN weight * l.level ELSE cap END AS target FROM w, l),
+q AS (SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS full_times, round(target)::BIGINT % greatest(source_size, 1) AS rest FROM t),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d)
+SELECT doc_id, p.source, size, source_size, target, (full_times * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p JOIN q ON p.source IS NOT DISTINCT FROM q.source""",
 }

@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lanternbase.llm.alignment import alignment
 from lanternbase.llm.hilbert_knn import neighbours
 from lanternbase.llm.image_copies import image_copies, write_pgm
+from lanternbase.llm.mixing import mix
 from lanternbase.llm.near_copies import deduplicate as near_deduplicate
 from lanternbase.llm.ngram_lm import cross_entropy_difference
 from lanternbase.llm.packing import pack
@@ -14,6 +17,7 @@ from lanternbase.llm.quality import accepted, fit, score, statistics
 from lanternbase.llm.rlz_dedup import cut_spans, remove_spans
 from lanternbase.llm.segment_sampling import decode_segmentations, sample_segmentations
 from lanternbase.llm.simhash import deduplicate, simhash_groups
+from lanternbase.llm.spelling import spelling_variants
 from lanternbase.llm.suffix_dedup import remove_repeats
 from lanternbase.llm.wordpiece_counts import piece_counts
 
@@ -47,6 +51,9 @@ CALLS = {
     "piece_counts": (piece_counts, 1),
     "lm": (lambda df: cross_entropy_difference(df, df.select("doc_id").where("doc_id < 3")), 1),
     "sample_segmentations": (lambda df: decode_segmentations(sample_segmentations(df, ["doc_id"], k=2)), None),
+    "spelling_variants": (lambda df: spelling_variants(df, wear=3), None),
+    "alignment": (alignment, 1),
+    "mix": (lambda df: mix(df, F.array(F.lit(None).cast("string"), F.lit("a")))[0], 1),
 }
 KEEPS = ("accepted", "deduplicate", "near_deduplicate", "cut_spans")
 
