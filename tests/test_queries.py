@@ -3,6 +3,7 @@
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,9 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 
 
 def same(a, b) -> bool:
-    return a == b or (a != a and b != b)
+    if pd.isna(a) or pd.isna(b):
+        return bool(pd.isna(a) and pd.isna(b))
+    return a == b
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
