@@ -11,6 +11,7 @@ chunk's distinct links leave the task; counts over the corpus and the best of ea
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -20,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import binary_column, ragged, slices
+from .bytesops import ragged, release, slices
 from .common import only, stash
 from .tokens import Encoder, default_path, token_bytes
 
 #: Bytes of text whose links are looked up together, and distinct cells that a worker keeps.
-CHUNK, CELLS = 24 << 20, 300_000
+CHUNK, CELLS = 8 << 20, 200_000
+#: Cells that the first side encodes as one text.
+TOGETHER = 64
 TEXTS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary, pairs binary, times binary"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -61,14 +64,40 @@ class Sides:
         entries = {i: t for t, i in token_bytes(spec).items()} | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
         self.bytes_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
         size = self.second.get_piece_size()
+        self.length_a = np.fromiter(map(len, self.bytes_a), np.int64, len(self.bytes_a))
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.second.id_to_piece, range(size)))]
 
     def ids(self, found: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Flat ids and their number for each cell (with its space), of both sides."""
-        flat, n = self.first.ids(pa.array([f" {c}" for c in found], pa.string()))
         lists = self.second.encode(found, num_threads=1)
-        m = np.fromiter(map(len, lists), np.int64, len(lists))
-        return [(flat.astype(np.int64), n), (np.fromiter((i for x in lists for i in x), np.int64, int(m.sum())), m)]
+        second = np.array(list(itertools.chain.from_iterable(lists)), np.int64)
+        return [self._first_ids(found), (second, np.fromiter(map(len, lists), np.int64, len(lists)))]
+
+    def _first_ids(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that end in no white space are encoded in blocks, as their ids stay apart; running byte lengths tell whose each id is."""
+        joined = np.fromiter((c != "" and not c[-1].isspace() for c in found), bool, len(found))
+        parts, counts, places = [], [], []
+        for together in (True, False):
+            at = np.flatnonzero(joined == together)
+            some = [found[i] for i in at.tolist()]
+            step = TOGETHER if together else 1
+            flat, _ = self.first.ids(pa.array([f" {' '.join(some[i : i + step])}" for i in range(0, len(some), step)], pa.string()))
+            bytes_ = np.cumsum(np.fromiter((len(c.encode()) + 1 for c in some), np.int64, len(some)))
+            owner = np.searchsorted(bytes_, np.cumsum(self.length_a[flat]))
+            parts.append(flat.astype(np.int64))
+            counts.append(np.bincount(owner, minlength=len(some))[: len(some)])
+            places.append(at)
+        if not len(places[1]):
+            return parts[0], counts[0]
+        # back to the order of the cells
+        n = np.zeros(len(found), np.int64)
+        for at, k in zip(places, counts, strict=True):
+            n[at] = k
+        flat = np.zeros(int(n.sum()), np.int64)
+        begin = np.cumsum(n) - n
+        for at, k, ids in zip(places, counts, parts, strict=True):
+            flat[ragged(begin[at], k)] = ids[: int(k.sum())]
+        return flat, n
 
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +115,10 @@ class Known:
     def __init__(self, sides: Sides):
         self.sides = sides
         self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (sides.bytes_a, sides.bytes_b))
-        self.names = [str(i) for i in range(max(len(sides.bytes_a), len(sides.bytes_b)))]
+        # each id before each of the three separators
+        self.size = max(len(sides.bytes_a), len(sides.bytes_b))
+        self.names = [f"{i}{sep}" for sep in ",|;" for i in range(self.size)]
+        self.widths = np.fromiter(map(len, self.names), np.int64, len(self.names))
         self.clear()
 
     def clear(self) -> None:
@@ -105,12 +137,7 @@ class Known:
 
     def _add(self, new: list[str]) -> None:
         (a, n_a), (b, n_b) = self.sides.ids(new)
-        right = np.zeros(len(new), bool)
-        i = k = 0
-        for at, (cell, m, n) in enumerate(zip(new, n_a.tolist(), n_b.tolist(), strict=True)):
-            whole = f" {cell}".encode()
-            right[at] = whole == b"".join([self.sides.bytes_a[x] for x in a[i : i + m]]) and whole == b"".join([self.sides.bytes_b[x] for x in b[k : k + n]])
-            i, k = i + m, k + n
+        right = self._right(new, a, n_a, self.sides.bytes_a, self.length_a) & self._right(new, b, n_b, self.sides.bytes_b, self.length_b)
         # cells whose bytes differ make no tokens; the others follow each other, so that one pair of running sums serves all
         a, b, n_a, n_b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)], n_a * right, n_b * right
         group_a, group_b, at_a, at_b = align(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
@@ -120,18 +147,30 @@ class Known:
         group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
         order = np.argsort(group * 2 + side, kind="stable")
         ids, rank = np.concatenate([a, b])[order], (group * 2 + side)[order]
-        step = np.append(rank[1:], rank[-1:] + 1) - rank
-        ending = np.where(step == 0, ",", np.where(rank % 2 == 0, "|", ";"))
-        pieces = [self.names[i] + e for i, e in zip(ids.tolist(), ending.tolist(), strict=True)]
-        last = np.cumsum(n_a + n_b).tolist()
+        last = np.append(rank[1:], -1) != rank
+        named = ids + self.size * np.where(last, 1 + rank % 2, 0)
+        whole = "".join(map(self.names.__getitem__, named.tolist()))
+        ends = np.concatenate([[0], np.cumsum(self.widths[named])])[np.cumsum(n_a + n_b)].tolist()
         begin = len(self.text)
-        self.text += ["".join(pieces[i:j]) for i, j in zip([0, *last[:-1]], last, strict=True)]
+        self.text += [whole[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
         links = np.cumsum(n_groups) - n_groups + len(self.codes)
         self.facts = np.concatenate([self.facts, np.stack([right, n_a, n_b, n_groups, links], axis=1)])
         self.codes = np.concatenate([self.codes, a[at_a] << 32 | b[at_b]])
         self.number.update(zip(new, range(begin, begin + len(new)), strict=True))
 
 
+    @staticmethod
+    def _right(new: list[str], ids: np.ndarray, n: np.ndarray, names: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each cell give back its bytes."""
+        want = [f" {c}".encode() for c in new]
+        got = b"".join(map(names.__getitem__, ids.tolist()))
+        ends = np.concatenate([[0], np.cumsum(lengths[ids])])[np.concatenate([[0], np.cumsum(n)])]
+        if got == b"".join(want) and (np.diff(ends) == np.fromiter(map(len, want), np.int64, len(want))).all():
+            return np.ones(len(new), bool)
+        at = ends.tolist()
+        return np.fromiter((got[i:j] == w for i, j, w in zip(at[:-1], at[1:], want, strict=True)), bool, len(new))
+
+
 _known: dict[int, Known] = {}
 
 
@@ -186,10 +225,12 @@ def _texts(byte_level, pieces, chunk_bytes: int):
             last = [pa.array([name]), *[empty(1, pa.int64())] * 4, empty(1, pa.string()), empty(1, pa.binary()), pa.array([pairs.astype("<i8").tobytes()], pa.binary()), pa.array([times.astype("<i8").tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(last, names=NAMES)
             chunk, held, size = chunk + 1, [], 0
+            del pairs, at, times
+            release()
 
         for batch in batches:
-            sizes = [len(x) for x in binary_column(batch.column(1))]
-            for i, j in slices(sizes, 2 << 20):
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            for i, j in slices(sizes, 1 << 20):
                 docs = [x or "" for x in batch.column(1).slice(i, j - i).to_pylist()]
                 held.append((batch.column(0).slice(i, j - i), *_described(have, docs)))
                 size += sum(sizes[i:j])
