@@ -18,8 +18,8 @@ from .common import only, stash
 from .components import components
 
 WEIGHTS, SHARE, REPEATS, SLICES, SEED = (3.0, 1.0, 2.0), 1.5, 2, 4, 0
-#: Ranges of the order that are counted before the one that holds the bound is looked at row by row (first four hex digits).
-RANGE = 4
+#: Hex digits of the order whose ranges are counted, one after the other, before the range that holds the bound is looked at row by row.
+RANGES = (2, 4, 6)
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -145,21 +145,26 @@ def route(patterns: DataFrame, quotas: DataFrame, repeats: int = REPEATS, slices
 def select(rows: DataFrame, given: DataFrame) -> DataFrame:
     """``rows`` (doc_id, size, pattern, draw) with column taken, so that each pattern's taken words are what it gives (pattern, size, words).
 
-    draw (hex digits) orders the rows of a pattern, ties by doc_id and size. Counts of ranges of the order tell in which the bound falls; only the rows of that range, one in
-    65,536, are ordered one by one, so a pattern with most of all rows is spread like any other.
+    draw (hex digits) orders the rows of a pattern, ties by doc_id and size. Sums of ranges of the order tell in which the bound falls, 256 ranges, then 256 of that one, and so
+    on; only the rows of the last range, one in 16 million, are ordered one by one, so a pattern with most of all rows is spread like any other.
     """
-    ranged = rows.withColumn("range", F.substring("draw", 1, RANGE))
-    given = given.where("size > 0").select("pattern", F.floor(F.col("words") / F.col("size")).alias("full"), F.pmod("words", "size").alias("rest"))
-    before = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranged.groupBy("pattern", "range").agg(F.sum("size").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(before), F.lit(0)))
-    bound = ranges.join(given, "pattern").where("before <= rest and rest < before + held").select("pattern", "range", "before")
-    given = given.join(bound, "pattern", "left").select("pattern", "full", "rest", F.col("range").alias("at"), "before")
-    each = ranged.join(given, "pattern", "left")
+    bound = given.where("size > 0").select("pattern", F.floor(F.col("words") / F.col("size")).alias("full"), F.pmod("words", "size").alias("rest"), F.lit("").alias("at"), F.lit(0).cast("long").alias("before"))
+    # written, so that Spark knows its size and sends it to the rows if it is small, instead of dealing the rows by pattern
+    bound = stash(bound)
+    within = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    for digits in RANGES:
+        inside = rows.join(bound, "pattern").where(F.startswith("draw", "at"))
+        ranges = inside.groupBy("pattern", "full", "rest", "before", F.substring("draw", 1, digits).alias("range")).agg(F.sum("size").alias("held"))
+        ranges = ranges.withColumn("before", F.col("before") + F.coalesce(F.sum("held").over(within), F.lit(0)))
+        # the range that holds the first word that is not taken once more
+        bound = stash(ranges.where("before <= rest and rest < before + held").select("pattern", "full", "rest", F.col("range").alias("at"), "before"))
+    each = rows.join(bound, "pattern", "left")
     own = F.coalesce(F.col("full"), F.lit(0)) * F.col("size")
-    clear = each.where("at is null or range <> at").select("doc_id", "pattern", "size", (own + F.when(F.col("range") < F.col("at"), F.col("size")).otherwise(0)).alias("taken"))
+    prefix = F.substring("draw", 1, RANGES[-1])
+    clear = each.where(F.col("at").isNull() | (prefix != F.col("at"))).select("doc_id", "pattern", "size", (own + F.when(prefix < F.col("at"), F.col("size")).otherwise(0)).alias("taken"))
     one = Window.partitionBy("pattern").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     open_ = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(one), F.lit(0))
-    close = each.where("range = at").select("doc_id", "pattern", "size", (own + F.greatest(F.lit(0), F.least(F.col("size"), open_))).alias("taken"))
+    close = each.where(prefix == F.col("at")).select("doc_id", "pattern", "size", (own + F.greatest(F.lit(0), F.least(F.col("size"), open_))).alias("taken"))
     return clear.unionByName(close)
 
 
