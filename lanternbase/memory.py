@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lanternbase import schema
 from lanternbase.config import Config
 from lanternbase.functions.models import Model, embedding_column
-from lanternbase.operators import conversation, hybrid, index, lexical, prompt
-from lanternbase.sources import snapshot
+from lanternbase.operators import conversation, hybrid, prompt
+from lanternbase.operators.segments import SegmentedIndex
 from lanternbase.sources.markdown import exists, make_folder, read_optional, remove, scan
 
 #: Instruction and mark of the fact extraction (fixed values).
@@ -31,6 +31,7 @@ class Memory:
     def __init__(self, spark: SparkSession, config: Config, model: Model, scorer: Callable | None = None):
         self.spark, self.config, self.model, self.scorer = spark, config, model, scorer
         self.root = f"{config.workspace.rstrip('/')}/index"
+        self.store = SegmentedIndex(spark, self.root)
         self.turns_path = f"{config.workspace.rstrip('/')}/conversations"
 
     # index
@@ -38,6 +39,7 @@ class Memory:
     def index(self, force: bool = False) -> dict[str, int]:
         """Brings the index in step with the files; counts of indexed, skipped and deleted files.
 
+        What is written follows the changes. Texts whose embedding is stored are not embedded again, and those whose embedding failed are tried again.
         ``force`` indexes everything anew. Conversations are kept apart and stay. Without a folder of files
         one is made, and nothing is pruned.
         """
@@ -48,30 +50,16 @@ class Memory:
         held = f"{self.root}/scan-{uuid.uuid4().hex}"
         scan(self.spark, self.config.workspace).write.parquet(held)
         try:
-            return self._index(self.spark.read.parquet(held), force)
+            embed = lambda text: embedding_column(self.model, text)
+            return self.store.update(self.spark.read.parquet(held), self.config.embed_model, embed, force)
         finally:
             remove(self.spark, held)
 
-    def _index(self, files: DataFrame, force: bool) -> dict[str, int]:
-        stored, chunks = self._table("files", schema.FILES), self.chunks()
-        if force:
-            stored, chunks = stored.limit(0), chunks.limit(0)
-        disk = index.catalog(files)
-        changes = index.diff(stored, disk)
-        found = index.counts(changes).first().asDict()
-        embed = embedding_column(self.model, F.col("input"))
-        made = index.rebuild(chunks, files, changes, self.config.embed_model, embed)
-        snapshot.publish(self.spark, self.root, {"files": disk, "chunks": made}, lambda written: index.check_widths(written["chunks"]))
-        return found
-
-    def _table(self, name: str, columns: str) -> DataFrame:
-        return snapshot.read(self.spark, self.root, name, columns)
-
     def files(self) -> DataFrame:
-        return self._table("files", schema.FILES)
+        return self.store.files()
 
     def chunks(self) -> DataFrame:
-        return self._table("chunks", schema.CHUNKS)
+        return self.store.chunks()
 
     # search
 
@@ -80,13 +68,13 @@ class Memory:
 
     def search_keyword(self, text: str, limit: int) -> DataFrame:
         query = self.spark.createDataFrame([(0, text)], "query_id long, query string")
-        found = lexical.keyword_search(query, self.chunks().select("id", "text"), limit)
+        found = self.store.search(query, limit)
         shown = found.join(self.chunks().select("id", "path", "start_line", "end_line", "text"), "id")
         return shown.select("*", F.col("score").alias("raw_score"), F.lit(None).cast("double").alias("vector_score"), F.col("score").alias("text_score"))
 
     def search(self, text: str, limit: int, as_of: Column | None = None) -> DataFrame:
         c = self.config
-        return hybrid.search(self.queries([text]), self.chunks(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer)
+        return hybrid.search(self.queries([text]), self.chunks(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer, self.store.search)
 
     def search_for_context(self, text: str, as_of: Column | None = None) -> DataFrame:
         c = self.config

@@ -27,10 +27,15 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, vector_weight: fl
     return ranked.where(F.col("place") <= limit).select("query_id", "id", "score", F.col("score").alias("raw_score"), "vector_score", "text_score")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int, vector_weight: float = 0.7, text_weight: float = 0.3) -> DataFrame:
-    """Results of ``queries`` (query_id, query, vector) on ``chunks`` (id, path, start_line, end_line, text, embedding)."""
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, limit: int, vector_weight: float = 0.7, text_weight: float = 0.3, keyword: Callable[[DataFrame, int], DataFrame] | None = None
+) -> DataFrame:
+    """Results of ``queries`` (query_id, query, vector) on ``chunks`` (id, path, start_line, end_line, text, embedding).
+
+    ``keyword`` is a keyword search over the same chunks, such as that of a stored index; without it their texts are read.
+    """
     near = vector_search(queries, chunks.select("id", "embedding"), OVERFETCH * limit)
-    words = keyword_search(queries, chunks.select("id", "text"), OVERFETCH * limit)
+    words = keyword(queries, OVERFETCH * limit) if keyword else keyword_search(queries, chunks.select("id", "text"), OVERFETCH * limit)
     found = fuse(near, words, limit, vector_weight, text_weight)
     return found.join(chunks.select("id", "path", "start_line", "end_line", "text"), "id")
 
@@ -57,9 +62,10 @@ def search(
     vector_weight: float = 0.7,
     text_weight: float = 0.3,
     scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
+    keyword: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Hybrid search, then rescoring if there is a scorer, then decay. Decay comes after the cut and brings in no rows."""
-    found = hybrid_search(queries, chunks, limit, vector_weight, text_weight)
+    found = hybrid_search(queries, chunks, limit, vector_weight, text_weight, keyword)
     if scorer is not None:
         found = rescore(found, queries, scorer)
     return decayed(found, F.current_date() if as_of is None else as_of, half_life_days)

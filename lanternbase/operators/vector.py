@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,13 +35,20 @@ def _nearest(queries, k: int):
             if (sizes != q.shape[1]).any():
                 raise ValueError(f"vectors must have {q.shape[1]} components, as the queries have")
             x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            names = batch.column(0).take(pa.array(rows))
+            names, rank = batch.column(0).take(pa.array(rows)), None
             for a in range(0, len(q), 128):
                 d = np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q[a : a + 128]])
                 n = min(k, d.shape[1])
-                # everything up to the k-th distance stays, so ties can be settled by id
                 edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
                 row, col = np.nonzero(d <= edge)
+                if len(row) > n * len(d):
+                    # ties at the k-th distance: the smaller ids stay
+                    if rank is None:
+                        rank = np.argsort(pc.sort_indices(names).to_numpy())
+                    order = np.lexsort((rank[col], d[row, col], row))
+                    row, col = row[order], col[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[place < n], col[place < n]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), names.take(pa.array(col)), pa.array(d[row, col])], names=["query_id", "id", "distance"])
 
     return run

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternbase.functions.scores import distance_to_similarity, rank_to_score, sigmoid
+from lanternbase.functions.scores import decay, distance_to_similarity, rank_to_score, sigmoid
 from lanternbase.functions.text import STOP_WORDS, query_tokens
 from lanternbase.operators import conversation, hybrid, index, lexical, prompt, vector
 from lanternbase.operators.chunk import chunks, embedding_input
+from lanternbase.operators.segments import SegmentedIndex
+from lanternbase.sources.shared import shared_dir
 
 AS_OF = "2024-03-01"
 TEXT_QUERY, ACCENT_QUERY, PHRASE_QUERY = "how do I find eaux ment", "für über", "of_the"
@@ -203,6 +206,103 @@ def score_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", *[F.round(c, 6).alias(n) for n, c in (("from_rank", rank_to_score(-x)), ("from_distance", distance_to_similarity(x / 37)), ("squashed", sigmoid(x / 100)))])
 
 
+#: Stored indexes of this application, by what they hold: built once, then searched.
+_stored_indexes: dict[tuple[str, str, str], SegmentedIndex] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[SegmentedIndex], None]) -> SegmentedIndex:
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _stored_indexes:
+        made = SegmentedIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+        build(made)
+        _stored_indexes[key] = made
+    return _stored_indexes[key]
+
+
+def _documents_index(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """Whole documents as chunks, in one segment; ids are padded, so that their order as text is that of the numbers."""
+
+    def build(made: SegmentedIndex) -> None:
+        docs = _disk(spark, sf_dir).withColumn("id", F.lpad(F.regexp_extract("path", "([0-9]+)", 1), 12, "0"))
+        files = docs.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "mtime", "size", F.lit(False).alias("deleted"))
+        made.apply(files, docs.select("id", "path", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.col("content").alias("text")))
+
+    return _stored_index(spark, sf_dir, "documents", build)
+
+
+def _searched(spark: SparkSession, sf_dir: str, queries: list[str], prune: bool) -> DataFrame:
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    found = _documents_index(spark, sf_dir).search(asked, 20, prune)
+    return found.select("query_id", F.col("id").cast("long").alias("doc_id"), F.round("score", 6).alias("score"), "place")
+
+
+def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch from the stored postings: two terms, folded letters, a phrase, and a query with a phrase of no terms, which finds nothing."""
+    return _searched(spark, sf_dir, [TEXT_QUERY, ACCENT_QUERY, PHRASE_QUERY, f"__ {TEXT_QUERY}"], False)
+
+
+def postings_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows by the scan that skips blocks."""
+    return _searched(spark, sf_dir, [TEXT_QUERY, ACCENT_QUERY], True)
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three snapshots of a folder: labelled documents, toxic ones with another text, beside pages; then all documents; then less the documents of low quality."""
+    labels, docs = _t(spark, sf_dir, "labels").select("doc_id", "toxic", "quality"), _t(spark, sf_dir, "documents")
+    name = F.concat(F.lit("memory/"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+    def snapshot(rows: DataFrame, content) -> DataFrame:
+        return rows.select(name.alias("path"), content.alias("content"), F.lit(0.0).alias("mtime"), F.octet_length(content).cast("long").alias("size"))
+
+    first = snapshot(docs.join(labels, "doc_id"), F.when(F.col("toxic") == 1, F.concat(F.lit("eaux ment "), "text")).otherwise(F.col("text")))
+    pages = _t(spark, sf_dir, "pages").select(F.concat(F.lit("memory/page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.col("html").alias("content"), F.lit(0.0).alias("mtime"), F.octet_length("html").cast("long").alias("size"))
+    low = labels.where("quality = 0").select("doc_id")
+    return [first.unionByName(pages), snapshot(docs, F.col("text")), snapshot(docs.join(low, "doc_id", "left_anti"), F.col("text"))]
+
+
+def _edited_index(spark: SparkSession, sf_dir: str) -> SegmentedIndex:
+    """The index after those three rounds."""
+
+    def build(made: SegmentedIndex) -> None:
+        for files in _rounds(spark, sf_dir):
+            made.update(files, "none")
+
+    return _stored_index(spark, sf_dir, "edited", build)
+
+
+def postings_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword results as they are shown, after two rounds of edits and deletions."""
+    made = _edited_index(spark, sf_dir)
+    found = made.search(_one(spark, TEXT_QUERY), 20)
+    shown = found.join(made.chunks().select("id", "path", "start_line", "end_line", "text"), "id")
+    score = F.round("score", 6)
+    return shown.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), score.alias("score"), score.alias("raw_score"), score.alias("text_score"), "place")
+
+
+def segments_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue after those rounds."""
+    return _edited_index(spark, sf_dir).files().select("path", "hash", "size")
+
+
+def segments_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live chunks after those rounds."""
+    return _edited_index(spark, sf_dir).chunks().select("path", F.col("end_line").cast("long").alias("end_line"), "id", "model")
+
+
+def segments_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and mean length of the live chunks, from the commit alone."""
+    n, avgdl = _edited_index(spark, sf_dir).stats()
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"))
+
+
+def decay_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decay of dated files, of undated ones, and of those with bad or future dates."""
+    day = F.concat(F.lit("-"), F.lpad((F.col("doc_id") % 14 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("doc_id") % 33).cast("string"), 2, "0"), F.lit(".md"))
+    path = F.when(F.col("lang") == "en", F.concat(F.lit("memory/2023"), day)).when(F.col("lang") == "de", F.concat(F.lit("memory/"), "source", F.lit("/notes.md"))).when(F.col("lang") == "fr", F.concat(F.lit("2024"), day)).otherwise(F.concat(F.lit("memory/x2024"), day))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    return rows.select("doc_id", "path", F.round(decay(F.col("path"), F.to_date(F.lit(AS_OF)), 30.0), 6).alias("decay"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "keyword_search_top20": _keyword(TEXT_QUERY),
     "keyword_search_accents": _keyword(ACCENT_QUERY),
@@ -230,6 +330,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "system_prompt": system_prompt,
     "result_lines": result_lines,
     "score_transforms": score_transforms,
+    "postings_lookup": postings_lookup,
+    "postings_skipping": postings_skipping,
+    "postings_after_edits": postings_after_edits,
+    "segments_files": segments_files,
+    "segments_chunks": segments_chunks,
+    "segments_stats": segments_stats,
+    "decay_of_paths": decay_of_paths,
 }
 
 # --- DuckDB SQL ---------------------------------------------------------------------------------------------------
@@ -309,6 +416,14 @@ _TOP5 = f"""WITH {_bm25(["eaux", "ment"])},
 shown AS (SELECT place, round(score, 3) AS score, 'memory/2024-' || lpad((doc_id % 14 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') || '.md' AS path,
  len(string_split(text, chr(10))) AS lines, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body FROM kw JOIN documents USING (doc_id) WHERE place <= 5)"""
 
+_TWO_QUERIES = [f"SELECT {i}::BIGINT AS query_id, * FROM (WITH {_bm25(t)} SELECT doc_id, round(score, 6) AS score, place::INT AS place FROM kw WHERE place <= 20)" for i, t in ((0, ["eaux", "ment"]), (1, ["fur", "uber"]))]
+
+# the folder after three rounds of edits: documents without those of low quality, each one chunk
+_LAST = r"""last AS (SELECT 'memory/' || doc_id || '.md' AS path, text AS content FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)),
+lines AS (SELECT path, content, string_split(content, chr(10)) AS ls FROM last),
+parts AS (SELECT path, len(CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END) AS end_line, regexp_replace(content, '^\s+|\s+$', '', 'g') AS text FROM lines),
+live AS (SELECT path, end_line, text, sha256(path || ':1:' || end_line || ':' || sha256(text)) AS id FROM parts WHERE text <> '')"""
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 ORACLE_SQL: dict[str, str] = {
@@ -346,4 +461,17 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
  || array_to_string(['    ' || x FOR x IN string_split(CASE WHEN strlen(body) > 200 THEN body[1:200] || '…' ELSE body END, chr(10))], chr(10)) || chr(10) AS line FROM shown""",
     "score_transforms": """SELECT event_id, round(CASE WHEN -value < 0 THEN value / (1 + value) ELSE 1 / (1 - value) END, 6) AS from_rank,
  round(greatest(0.0, least(1.0, 1 - (value / 37) * (value / 37) / 2)), 6) AS from_distance, round(1 / (1 + exp(-value / 100)), 6) AS squashed FROM events""",
+    "postings_lookup": " UNION ALL ".join([*_TWO_QUERIES, f"SELECT 2::BIGINT, * FROM ({_PHRASE})"]),
+    "postings_skipping": " UNION ALL ".join(_TWO_QUERIES),
+    "postings_after_edits": f"WITH {_LAST}, "
+    + _bm25(["eaux", "ment"]).replace("SELECT doc_id, [x FOR", "SELECT id AS doc_id, [x FOR").replace("FROM documents", "FROM live")
+    + """ SELECT path, 1::BIGINT AS start_line, end_line::BIGINT AS end_line, md5(text) AS text_md5, round(score, 6) AS score, round(score, 6) AS raw_score, round(score, 6) AS text_score, place::INT AS place
+ FROM kw JOIN live ON live.id = kw.doc_id WHERE place <= 20""",
+    "segments_files": f"WITH {_LAST} SELECT path, sha256(content) AS hash, strlen(content)::BIGINT AS size FROM last",
+    "segments_chunks": f"WITH {_LAST} SELECT path, end_line::BIGINT AS end_line, id, 'none' AS model FROM live",
+    "segments_stats": f"WITH {_LAST} SELECT count(*) AS n, round(avg(len({_TOKENS})), 6) AS avgdl FROM live",
+    "decay_of_paths": f"""WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'memory/2023' || day WHEN 'de' THEN 'memory/' || source || '/notes.md' WHEN 'fr' THEN '2024' || day ELSE 'memory/x2024' || day END AS path
+ FROM (SELECT *, '-' || lpad((doc_id % 14 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 33)::VARCHAR, 2, '0') || '.md' AS day FROM documents)),
+d AS (SELECT doc_id, path, try_strptime(regexp_extract(path, '(^|/)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[.]md$', 2), '%Y-%m-%d')::DATE AS day FROM p)
+SELECT doc_id, path, round(CASE WHEN day IS NULL THEN 1.0 ELSE exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '{AS_OF}'))) END, 6) AS decay FROM d""",
 }
