@@ -23,6 +23,15 @@ BROADCAST_QUERIES = 10_000
 SPREAD = 1e-6
 
 
+def chosen(row: np.ndarray, col: np.ndarray, far: np.ndarray, names: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, candidate, distance) the ``k`` nearest of each query, ties to the smaller name: no more leave a batch, however many are equally near."""
+    rank = np.argsort(pc.sort_indices(names).to_numpy())
+    order = np.lexsort((rank[col], far, row))
+    row, col, far = row[order], col[order], far[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], far[kept]
+
+
 def _nearest(queries, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = queries.value
@@ -35,21 +44,16 @@ def _nearest(queries, k: int):
             if (sizes != q.shape[1]).any():
                 raise ValueError(f"vectors must have {q.shape[1]} components, as the queries have")
             x = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            names, rank = batch.column(0).take(pa.array(rows)), None
+            names = batch.column(0).take(pa.array(rows))
             for a in range(0, len(q), 128):
                 d = np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q[a : a + 128]])
                 n = min(k, d.shape[1])
                 edge = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
                 row, col = np.nonzero(d <= edge)
+                far = d[row, col]
                 if len(row) > n * len(d):
-                    # ties at the k-th distance: the smaller ids stay
-                    if rank is None:
-                        rank = np.argsort(pc.sort_indices(names).to_numpy())
-                    order = np.lexsort((rank[col], d[row, col], row))
-                    row, col = row[order], col[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, col = row[place < n], col[place < n]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), names.take(pa.array(col)), pa.array(d[row, col])], names=["query_id", "id", "distance"])
+                    row, col, far = chosen(row, col, far, names, n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), names.take(pa.array(col)), pa.array(far)], names=["query_id", "id", "distance"])
 
     return run
 

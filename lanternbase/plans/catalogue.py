@@ -12,6 +12,7 @@ from lanternbase.functions.scores import decay, distance_to_similarity, rank_to_
 from lanternbase.functions.text import STOP_WORDS, query_tokens
 from lanternbase.operators import conversation, hybrid, index, lexical, prompt, vector
 from lanternbase.operators.chunk import chunks, embedding_input
+from lanternbase.operators.pivots import PivotIndex
 from lanternbase.operators.segments import SegmentedIndex
 from lanternbase.sources.shared import shared_dir
 
@@ -70,10 +71,36 @@ def vector_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "place")
 
 
-def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
-    queries = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").cast("long").alias("query_id"), "vector")
-    near = vector.nearest(queries, _vectors(spark, sf_dir), 15)
+    return e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector")).select(F.col("label").cast("long").alias("query_id"), "vector")
+
+
+def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = vector.nearest(_label_queries(spark, sf_dir), _vectors(spark, sf_dir), 15)
+    return near.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "place")
+
+
+def _pivots(spark: SparkSession, sf_dir: str) -> PivotIndex:
+    """The vectors in cells around pivots: written once for this application, then searched."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pivot_indexes:
+        made = PivotIndex(spark, f"{shared_dir(spark)}/pivots-{uuid.uuid4().hex}")
+        made.write(_vectors(spark, sf_dir), 64)
+        _pivot_indexes[key] = made
+    return _pivot_indexes[key]
+
+
+_pivot_indexes: dict[tuple[str, str], PivotIndex] = {}
+
+
+def pivots_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _pivots(spark, sf_dir).nearest(_first_vector(spark, sf_dir), 15)
+    return near.select(F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), F.round(distance_to_similarity(F.col("distance")), 6).alias("similarity"), "place")
+
+
+def pivots_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _pivots(spark, sf_dir).nearest(_label_queries(spark, sf_dir), 15)
     return near.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"), "place")
 
 
@@ -330,6 +357,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "system_prompt": system_prompt,
     "result_lines": result_lines,
     "score_transforms": score_transforms,
+    "pivots_topk": pivots_topk,
+    "pivots_batch_topk": pivots_batch_topk,
     "postings_lookup": postings_lookup,
     "postings_skipping": postings_skipping,
     "postings_after_edits": postings_after_edits,
@@ -475,3 +504,4 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
 d AS (SELECT doc_id, path, try_strptime(regexp_extract(path, '(^|/)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[.]md$', 2), '%Y-%m-%d')::DATE AS day FROM p)
 SELECT doc_id, path, round(CASE WHEN day IS NULL THEN 1.0 ELSE exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '{AS_OF}'))) END, 6) AS decay FROM d""",
 }
+ORACLE_SQL |= {"pivots_topk": ORACLE_SQL["vector_topk"], "pivots_batch_topk": ORACLE_SQL["vector_batch_topk"]}
