@@ -14,6 +14,8 @@ from lanternbase.operators import conversation, hybrid, index, lexical, prompt,
 from lanternbase.operators.chunk import chunks, embedding_input
 from lanternbase.operators.pivots import PivotIndex
 from lanternbase.operators.segments import SegmentedIndex
+from lanternbase.sources import tree
+from lanternbase.sources.markdown import qualified, scan
 from lanternbase.sources.shared import shared_dir
 
 AS_OF = "2024-03-01"
@@ -322,6 +324,22 @@ def segments_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"))
 
 
+def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as Markdown files in nested folders, some names hidden, scanned again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _trees:
+        docs = _t(spark, sf_dir, "documents")
+        name = F.concat(F.lit("memory/"), "source", F.lit("/."), "lang", F.when(F.col("n_chars") > 1000, F.lit("/_long ")).otherwise(F.lit("/")), F.col("doc_id").cast("string"), F.lit(".md"))
+        folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+        tree.write_files(docs.repartition(spark.sparkContext.defaultParallelism).select(name.alias("path"), F.col("text").alias("content")), qualified(spark, folder))
+        _trees[key] = folder
+    found = scan(spark, _trees[key])
+    return found.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "size", (F.col("mtime") > 1e9).alias("dated"))
+
+
+_trees: dict[tuple[str, str], str] = {}
+
+
 def decay_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decay of dated files, of undated ones, and of those with bad or future dates."""
     day = F.concat(F.lit("-"), F.lpad((F.col("doc_id") % 14 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("doc_id") % 33).cast("string"), 2, "0"), F.lit(".md"))
@@ -366,6 +384,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segments_chunks": segments_chunks,
     "segments_stats": segments_stats,
     "decay_of_paths": decay_of_paths,
+    "markdown_tree": markdown_tree,
 }
 
 # --- DuckDB SQL ---------------------------------------------------------------------------------------------------
@@ -496,6 +515,7 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
     + _bm25(["eaux", "ment"]).replace("SELECT doc_id, [x FOR", "SELECT id AS doc_id, [x FOR").replace("FROM documents", "FROM live")
     + """ SELECT path, 1::BIGINT AS start_line, end_line::BIGINT AS end_line, md5(text) AS text_md5, round(score, 6) AS score, round(score, 6) AS raw_score, round(score, 6) AS text_score, place::INT AS place
  FROM kw JOIN live ON live.id = kw.doc_id WHERE place <= 20""",
+    "markdown_tree": "SELECT 'memory/' || source || '/.' || lang || CASE WHEN n_chars > 1000 THEN '/_long ' ELSE '/' END || doc_id || '.md' AS path, sha256(text) AS hash, strlen(text)::BIGINT AS size, true AS dated FROM documents",
     "segments_files": f"WITH {_LAST} SELECT path, sha256(content) AS hash, strlen(content)::BIGINT AS size FROM last",
     "segments_chunks": f"WITH {_LAST} SELECT path, end_line::BIGINT AS end_line, id, 'none' AS model FROM live",
     "segments_stats": f"WITH {_LAST} SELECT count(*) AS n, round(avg(len({_TOKENS})), 6) AS avgdl FROM live",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanternbase.sources import tree
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -21,33 +24,47 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system's name, as a URI."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+
+
+def _hidden(spark: SparkSession, folder: str) -> str | None:
+    """Any *.md file that Spark's reader leaves out, as its name or a folder's on the way begins with ``_`` or ``.``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    root, found = fs.makeQualified(where).toUri().getPath().rstrip("/") + "/", fs.listFiles(where, True)
+    while found.hasNext():
+        name = found.next().getPath().toUri().getPath().removeprefix(root)
+        if name.endswith(".md") and any(part[0] in "_." for part in name.split("/")):
+            return name
+    return None
+
+
 def scan(spark: SparkSession, workspace: str, folder: str = "memory") -> DataFrame:
     """path (below ``workspace``), content, mtime (epoch seconds), size of every *.md file in ``folder`` and below.
 
-    Names that begin with ``_`` or ``.`` count like any other; Spark's reader leaves those out, so they are read through its
-    file system, one by one. A file that is not UTF-8 is an error when it is read.
+    Names that begin with ``_`` or ``.`` count like any other. Tasks list and read the files; of stores that Arrow can't open, Spark's own reader reads them, and a name that it would leave out is
+    an error. So is, when it is read, a file that is not UTF-8.
     """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(workspace)
-    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    root = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
-    hidden = []
-    found = fs.listFiles(jvm.org.apache.hadoop.fs.Path(f"{workspace}/{folder}"), True)
-    while found.hasNext():
-        status = found.next()
-        name = status.getPath().toUri().getPath().removeprefix(root)
-        if name.endswith(".md") and any(part[0] in "_." for part in name.removeprefix(f"{folder}/").split("/")):
-            stream = fs.open(status.getPath())
-            hidden.append((name, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)), status.getModificationTime() / 1e3, status.getLen()))
-            stream.close()
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(f"{workspace}/{folder}")
-    # paths come with the file system's name; what stands before the workspace is cut
-    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    rows = files.select(F.substring(plain, len(root) + 1, 1 << 20).alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
-    rows = rows.union(spark.createDataFrame(hidden, "path string, content binary, mtime double, size long"))
+    where = qualified(spark, f"{workspace}/{folder}")
+    try:
+        _, top = tree.opened(where)
+        rows = tree.files(spark, where)
+    except pa.ArrowInvalid:
+        if name := _hidden(spark, where):
+            raise ValueError(f"this store's files are read by Spark, which leaves out names like {name}") from None
+        top = spark._jvm.org.apache.hadoop.fs.Path(where).toUri().getPath().rstrip("/")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(where)
+        # paths come with the file system's name
+        plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+        rows = files.select(plain.alias("path"), "content", (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size"))
+    # what stands before the workspace is cut
+    path = F.substring("path", len(top) - len(folder.strip("/")) + 1, 1 << 20)
     text = F.decode("content", "UTF-8")
-    whole = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string"))
-    return rows.select("path", whole.alias("content"), "mtime", "size")
+    whole = F.when(F.is_valid_utf8(F.col("content").cast("string")), text).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), path)).cast("string"))
+    return rows.select(path.alias("path"), whole.alias("content"), "mtime", "size")
 
 
 def read_optional(spark: SparkSession, path: str) -> str | None:

@@ -143,6 +143,41 @@ def test_workspace_from_end_to_end(spark, tmp_path):
     assert m.files().count() == 3
 
 
+def test_edits_and_deletions_alone_start_a_pass(spark, tmp_path):
+    notes = tmp_path / "memory" / ".hidden"
+    notes.mkdir(parents=True)
+    (notes / "_a.md").write_text("# A\none\n")
+    (notes / "b.md").write_text("# B\ntwo\n")
+    m = Memory(spark, config.Config(workspace=str(tmp_path)), HashModel())
+    passes, index_ = [], m.index
+    m.index = lambda: passes.append(index_()) or passes[-1]
+
+    def look():
+        follow(m, str(tmp_path / "ck"), once=True).awaitTermination()
+        return passes[-1]
+
+    assert look() == {"indexed": 2, "skipped": 0, "deleted": 0}
+    (notes / "_a.md").write_text("# A\nuno\n")
+    assert look() == {"indexed": 1, "skipped": 1, "deleted": 0}
+    (notes / "b.md").unlink()
+    assert look() == {"indexed": 0, "skipped": 1, "deleted": 1}
+    assert [r.text for r in m.chunks().collect()] == ["# A\nuno"]
+    look()
+    assert len(passes) == 3
+
+
+def test_files_that_are_not_text_are_an_error(spark, tmp_path):
+    from lanternbase.sources.markdown import scan
+
+    (tmp_path / "memory").mkdir()
+    (tmp_path / "memory" / "a.md").write_bytes(b"\xff\xfe")
+    (tmp_path / "memory" / "dir.md").mkdir()
+    assert scan(spark, str(tmp_path)).select("path").collect()[0].path == "memory/a.md"
+    with pytest.raises(Exception, match="not UTF-8"):
+        scan(spark, str(tmp_path)).collect()
+    assert scan(spark, str(tmp_path), "absent").count() == 0
+
+
 def test_missing_folder_prunes_nothing(spark, tmp_path):
     m = Memory(spark, config.Config(workspace=str(tmp_path)), HashModel())
     assert m.index() == {"indexed": 0, "skipped": 0, "deleted": 0} and (tmp_path / "memory").exists()
