@@ -10,11 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternbase import schema
 from lanternbase.config import Config
 from lanternbase.functions.models import Model, embedding_column
 from lanternbase.operators import conversation, hybrid, prompt
 from lanternbase.operators.segments import SegmentedIndex
+from lanternbase.sources.turns import ROWS, TurnLog
 from lanternbase.sources.markdown import exists, make_folder, read_optional, remove, scan
 
 #: Instruction and mark of the fact extraction (fixed values).
@@ -32,7 +32,7 @@ class Memory:
         self.spark, self.config, self.model, self.scorer = spark, config, model, scorer
         self.root = f"{config.workspace.rstrip('/')}/index"
         self.store = SegmentedIndex(spark, self.root)
-        self.turns_path = f"{config.workspace.rstrip('/')}/conversations"
+        self.log = TurnLog(spark, f"{config.workspace.rstrip('/')}/conversations")
 
     # index
 
@@ -92,20 +92,17 @@ class Memory:
     # conversation
 
     def insert_turn(self, session_id: str, turn_index: int, role: str, content: str, response_id: str | None = None) -> None:
-        now = time.time()
-        row = (int(now * 1e6), session_id, turn_index, role, content, response_id, now)
-        self.spark.createDataFrame([row], schema.TURNS).coalesce(1).write.mode("append").parquet(self.turns_path)
+        row = (session_id, turn_index, role, content, response_id, time.time())
+        self.log.append(self.spark.createDataFrame([row], ROWS).coalesce(1))
 
     def turns(self) -> DataFrame:
-        if not exists(self.spark, self.turns_path):
-            return self.spark.createDataFrame([], schema.TURNS)
-        return self.spark.read.schema(schema.TURNS).parquet(self.turns_path)
+        return self.log.turns()
 
     def history(self) -> list[tuple[str, str]]:
         return [(r["role"], r["content"]) for r in conversation.history(self.turns()).toLocalIterator()]
 
     def last_response_id(self) -> str | None:
-        row = conversation.last_response(self.turns()).first()
+        row = self.log.last_response().first()
         return row["response_id"] if row else None
 
     def flush(self, messages: list[dict[str, str]], today: datetime.date | None = None) -> str | None:

@@ -223,11 +223,8 @@ class SegmentedIndex:
 
     def _merged(self, segments: list[dict]) -> list[dict]:
         """The segments with the newest ones merged, if ``fanout`` of them are of about one size: none more than twice all newer ones together."""
-        at, total = len(segments), 0
-        while at and (not total or segments[at - 1]["docs"] <= 2 * max(total, 1)):
-            at -= 1
-            total += segments[at]["docs"]
-        return self._merge(segments, at) if len(segments) - at >= self.fanout else segments
+        at = commits.merge_from([s["docs"] for s in segments], self.fanout)
+        return self._merge(segments, at) if at < len(segments) else segments
 
     def _merge(self, segments: list[dict], at: int) -> list[dict]:
         """The segments from place ``at`` on as one."""

@@ -17,6 +17,7 @@ from lanternbase.operators.segments import SegmentedIndex
 from lanternbase.sources import tree
 from lanternbase.sources.markdown import qualified, scan
 from lanternbase.sources.shared import shared_dir
+from lanternbase.sources.turns import TurnLog
 
 AS_OF = "2024-03-01"
 TEXT_QUERY, ACCENT_QUERY, PHRASE_QUERY = "how do I find eaux ment", "für über", "of_the"
@@ -216,6 +217,29 @@ def last_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.last_response(_turns(spark, sf_dir)).select("session_id", "turn_index", "response_id")
 
 
+def _turn_log(spark: SparkSession, sf_dir: str) -> TurnLog:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _turn_logs:
+        made = TurnLog(spark, f"{shared_dir(spark)}/turns-{uuid.uuid4().hex}")
+        made.append(_turns(spark, sf_dir))
+        _turn_logs[key] = made
+    return _turn_logs[key]
+
+
+_turn_logs: dict[tuple[str, str], TurnLog] = {}
+
+
+def log_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of the stored log in their order."""
+    got = _turn_log(spark, sf_dir).ordered()
+    return got.select("place", "session_id", "turn_index", "role", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def log_last_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last response, from one file of the stored log."""
+    return _turn_log(spark, sf_dir).last_response().select("session_id", "turn_index", "response_id")
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical.keyword_search(_one(spark, TEXT_QUERY), _docs(spark, sf_dir), 5)
     return found.join(_chunked(spark, sf_dir).drop("embedding"), "id").withColumn("score", F.round("score", 3)).withColumn("text_score", F.col("score")).withColumn("vector_score", F.lit(None).cast("double"))
@@ -385,6 +409,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segments_stats": segments_stats,
     "decay_of_paths": decay_of_paths,
     "markdown_tree": markdown_tree,
+    "log_order": log_order,
+    "log_last_response": log_last_response,
 }
 
 # --- DuckDB SQL ---------------------------------------------------------------------------------------------------
@@ -524,4 +550,8 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
 d AS (SELECT doc_id, path, try_strptime(regexp_extract(path, '(^|/)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[.]md$', 2), '%Y-%m-%d')::DATE AS day FROM p)
 SELECT doc_id, path, round(CASE WHEN day IS NULL THEN 1.0 ELSE exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '{AS_OF}'))) END, 6) AS decay FROM d""",
 }
+ORACLE_SQL |= {
+    "log_last_response": ORACLE_SQL["last_response"],
+    "log_order": "SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn, turn) AS place, conv_id::VARCHAR AS session_id, turn AS turn_index, role, md5(text) AS content_md5 FROM conversations",
+}
 ORACLE_SQL |= {"pivots_topk": ORACLE_SQL["vector_topk"], "pivots_batch_topk": ORACLE_SQL["vector_batch_topk"]}
