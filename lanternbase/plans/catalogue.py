@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanternbase.functions.scores import decay, distance_to_similarity, rank_to_score, sigmoid
 from lanternbase.functions.text import STOP_WORDS, query_tokens
-from lanternbase.operators import conversation, hybrid, index, lexical, prompt, vector
+from lanternbase.operators import conversation, hybrid, index, lexical, prompt, splits, vector
 from lanternbase.operators.chunk import chunks, embedding_input
 from lanternbase.operators.pivots import PivotIndex
 from lanternbase.operators.segments import SegmentedIndex
@@ -348,20 +348,30 @@ def segments_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"))
 
 
+def _written(spark: SparkSession, sf_dir: str, kind: str, rows: DataFrame) -> str:
+    """A folder of this application that holds rows (path, content) as files, written once by tasks."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _folders:
+        folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+        tree.write_files(rows.repartition(spark.sparkContext.defaultParallelism), qualified(spark, folder))
+        _folders[key] = folder
+    return _folders[key]
+
+
+_folders: dict[tuple[str, str, str], str] = {}
+
+
 def markdown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as Markdown files in nested folders, some names hidden, scanned again."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _trees:
-        docs = _t(spark, sf_dir, "documents")
-        name = F.concat(F.lit("memory/"), "source", F.lit("/."), "lang", F.when(F.col("n_chars") > 1000, F.lit("/_long ")).otherwise(F.lit("/")), F.col("doc_id").cast("string"), F.lit(".md"))
-        folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
-        tree.write_files(docs.repartition(spark.sparkContext.defaultParallelism).select(name.alias("path"), F.col("text").alias("content")), qualified(spark, folder))
-        _trees[key] = folder
-    found = scan(spark, _trees[key])
+    name = F.concat(F.lit("memory/"), "source", F.lit("/."), "lang", F.when(F.col("n_chars") > 1000, F.lit("/_long ")).otherwise(F.lit("/")), F.col("doc_id").cast("string"), F.lit(".md"))
+    found = scan(spark, _written(spark, sf_dir, "tree", _t(spark, sf_dir, "documents").select(name.alias("path"), F.col("text").alias("content"))))
     return found.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"), "size", (F.col("mtime") > 1e9).alias("dated"))
 
 
-_trees: dict[tuple[str, str], str] = {}
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sections as ``markdown_chunks``, from files that are read as lines by splits."""
+    got = splits.file_chunks(spark, _written(spark, sf_dir, "markdown", _markdown(spark, sf_dir)))
+    return got.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "context", "text")
 
 
 def decay_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,6 +419,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segments_stats": segments_stats,
     "decay_of_paths": decay_of_paths,
     "markdown_tree": markdown_tree,
+    "file_chunks": file_chunks,
     "log_order": log_order,
     "log_last_response": log_last_response,
 }
@@ -551,6 +562,7 @@ d AS (SELECT doc_id, path, try_strptime(regexp_extract(path, '(^|/)([0-9]{{4}}-[
 SELECT doc_id, path, round(CASE WHEN day IS NULL THEN 1.0 ELSE exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '{AS_OF}'))) END, 6) AS decay FROM d""",
 }
 ORACLE_SQL |= {
+    "file_chunks": ORACLE_SQL["markdown_chunks"],
     "log_last_response": ORACLE_SQL["last_response"],
     "log_order": "SELECT row_number() OVER (ORDER BY conv_id * 1000 + turn, turn) AS place, conv_id::VARCHAR AS session_id, turn AS turn_index, role, md5(text) AS content_md5 FROM conversations",
 }
