@@ -1,7 +1,7 @@
 """Keyword search: all phrases must occur; BM25 over the whole index.
 
-A batch of queries is one plan. Documents are tokenised once; their tokens meet the terms of all queries in one join,
-on which Spark broadcasts the terms if they are few. Nothing is grouped by document before that filter.
+This is the search over texts that no index holds; ``segments`` has one that is stored. The texts are tokenised once for a batch of queries, and only the tokens that some query asks for become
+rows; beyond LITERALS terms all do, and meet the terms in a join.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from lanternbase.functions.scores import rank_to_score
 from lanternbase.functions.text import document_tokens, query_phrases
+from lanternbase.sources.shared import keep
 
 #: Parameters of BM25 (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Terms that go into the filter on tokens as literals.
+LITERALS = 1000
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -41,15 +44,18 @@ def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = phrases.groupBy("query_id", "terms").agg(F.count("*").alias("times"))
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"), F.min(F.size("terms")).alias("least"))
     terms = wanted.select("terms").distinct().where(F.size("terms") > 0).select("terms", F.posexplode("terms").alias("nth", "term"))
-    # a document's length travels with its tokens, so no second pass has to be joined for it
-    tokens = docs.select("id", document_tokens(F.col("text")).alias("t")).select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
-    # only tokens that a query asks for reach the join: one row of terms, as many as the queries have
-    asked = terms.agg(F.collect_set("term").alias("asked"))
-    tokens = tokens.join(F.broadcast(asked), F.array_contains("asked", F.col("term"))).drop("asked")
+    # one pass over the texts: a document's length, for the mean as well, and its tokens that a query asks for, before any becomes a row
+    tokens = docs.select("id", document_tokens(F.col("text")).alias("t"))
+    asked = {r["term"] for r in terms.select("term").limit(LITERALS + 1).collect()}
+    placed = F.transform("t", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    if len(asked) <= LITERALS:
+        placed = F.filter(placed, lambda x: x["term"].isin(*sorted(asked)) if asked else F.lit(False))
+    held = keep(tokens.select("id", F.size("t").alias("dl"), placed.alias("placed")))
+    tokens = held.select("id", "dl", F.inline("placed"))
     starts = tokens.join(terms, "term").groupBy("terms", "id", "dl", (F.col("pos") - F.col("nth")).alias("at")).count()
     tf = starts.where(F.col("count") == F.size("terms")).groupBy("terms", "id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("terms").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs).select("n", "avgdl")
+    stats = held.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

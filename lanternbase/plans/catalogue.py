@@ -16,7 +16,7 @@ from lanternbase.operators.pivots import PivotIndex
 from lanternbase.operators.segments import SegmentedIndex
 from lanternbase.sources import tree
 from lanternbase.sources.markdown import qualified, scan
-from lanternbase.sources.shared import shared_dir
+from lanternbase.sources.shared import keep, shared_dir
 from lanternbase.sources.turns import TurnLog
 
 AS_OF = "2024-03-01"
@@ -108,7 +108,17 @@ def pivots_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the embedding of the same number and a dated path, as chunks."""
+    """Documents with the embedding of the same number and a dated path, as chunks: a table of this application, written once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _chunk_tables:
+        _chunk_tables[key] = keep(_joined(spark, sf_dir))
+    return _chunk_tables[key]
+
+
+_chunk_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings")
     path = F.concat(F.lit("memory/2024-"), F.lpad((F.col("doc_id") % 14 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((F.col("doc_id") % 31 + 1).cast("string"), 2, "0"), F.lit(".md"))
     both = docs.join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
