@@ -4,7 +4,7 @@ Corners are found on several scales of a gray image, all that stand out in their
 patch's intensity centroid and 256 binary brightness tests turned by it. Descriptors meet by eight Hamming tables of 32 bits: two that are
 equal in one, and differ in ``WORD_BITS`` or fewer of the 64 bits of another part. Image pairs of which
 ``SHARED`` features meet are candidates, and those of which one meets the first of a large bucket. All features of both are then matched (``DIFFERENT_BITS`` or fewer), the matches vote for turn, scale and shift, and
-``CONSENSUS`` distinct features that agree, and ``AGREE`` of those matched, make a link; linked images form a class.
+``CONSENSUS`` distinct features that agree, ``AGREE`` of those matched, and ``WHOLE`` of the smaller image's, make a link; linked images form a class.
 
 Byte-identical images are one before all that. Classes need no pair of images that are connected already: small buckets of a table give all
 pairs, each larger one its pairs with one image first; after these are judged, it gives the pairs between different classes that differ in ``DIFFERENT_BITS`` of the whole descriptors at most. Buckets
@@ -14,9 +14,11 @@ above ``BUCKET`` entries are dealt out as pairs of blocks for that, so that no t
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ TABLES, WORDS = BITS // SEGMENT, BITS // 64
 DIFFERENT_BITS, SHARED, CONSENSUS, SMALL, BUCKET = 40, 2, 8, 16, 4096
 #: Share of the matched features that must agree: with many features, some agree by chance.
 AGREE = 0.2
+#: Share of the features of the smaller image that must agree. Where corners repeat, one motif gives several features, so that unrelated images agree in 8 now and then, but
+#: in less than a sixth of all. Images that overlap in a smaller part must agree in more than ``PART`` features, and in ``COVERED`` of the features in that part.
+WHOLE, PART, COVERED = 0.22, 16, 0.3
 #: Cells of the votes: turn (a twelfth of a circle), logarithm of the scale, and place as a share of the left side's extent.
 CELLS = (np.pi / 6, 0.5, 0.25)
 #: places: x, y, scale, angle of each feature, as 32-bit floats; bits: the descriptors.
@@ -267,11 +272,28 @@ def _distinct(group: np.ndarray, n: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount(both // (int(n.max(initial=0)) + 1), minlength=groups)
 
 
-def consensus(left: np.ndarray, right: np.ndarray, least: int = 1) -> int:
+def _inside(one: np.ndarray, two: np.ndarray, factor: complex, shift: complex) -> int:
+    """How many features (x, y, scale, angle) of one image the similarity lays between the other's, on scales that are looked at there."""
+    scale = one[:, 2] * abs(factor)
+    spot = factor * (one[:, 0] + 1j * one[:, 1]) + shift
+    low, high = two[:, :2].min(axis=0) - 2, two[:, :2].max(axis=0) + 2
+    inside = (spot.real >= low[0]) & (spot.real <= high[0]) & (spot.imag >= low[1]) & (spot.imag <= high[1])
+    return int((inside & (scale > SCALES[0] / 1.2) & (scale < SCALES[-1] * 1.2)).sum())
+
+
+def _covered(found: int, places: tuple[np.ndarray, np.ndarray], factor: complex, shift: complex) -> bool:
+    """Whether ``found`` agreeing features are enough of those that the images should share under the similarity."""
+    one, two = places
+    if found >= WHOLE * min(len(one), len(two)):
+        return True
+    return found > PART and found >= COVERED * min(_inside(one, two, factor, shift), _inside(two, one, 1 / factor, -shift / factor))
+
+
+def consensus(left: np.ndarray, right: np.ndarray, least: int = 1, places: tuple[np.ndarray, np.ndarray] | None = None) -> int:
     """Matched features (m, 5: number, x, y, scale, angle) that agree in one similarity: a count of distinct ones on both sides; 0 if under ``least``.
 
     Each match votes for turn, scale and the place of the left side's middle, in the two nearest cells of each. From every cell
-    with ``least`` votes a similarity is fitted, most votes first, until one has as many matches near it.
+    with ``least`` votes a similarity is fitted, most votes first, until one has as many matches near it, and enough of all features, if ``places`` gives those of both images.
     """
     if len(left) < least:
         return 0
@@ -322,7 +344,8 @@ def consensus(left: np.ndarray, right: np.ndarray, least: int = 1) -> int:
             if abs(factor) < 1e-3:
                 break
         else:
-            return found
+            if places is None or _covered(found, places, factor, shift):
+                return found
     return 0
 
 
@@ -342,7 +365,7 @@ def linked(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray
     i, j = matched(one[1], two[1], bits)
     met = min(len(np.unique(i)), len(np.unique(j)))
     needed = max(least, int(np.ceil(AGREE * met)))
-    return met >= least and consensus(np.hstack([i[:, None], one[0][i]]), np.hstack([j[:, None], two[0][j]]), needed) >= needed
+    return met >= least and consensus(np.hstack([i[:, None], one[0][i]]), np.hstack([j[:, None], two[0][j]]), needed, (one[0], two[0])) >= needed
 
 
 def _judge(bits: int, least: int):
@@ -432,3 +455,30 @@ def rendered(vectors):
         return write_pgm(128 + 45 * image.reshape(72, 72) / (image.std() or 1.0))
 
     return vectors.map(draw)
+
+
+@F.pandas_udf(BinaryType())
+def edited(images, kinds):
+    """PGM images turned by a quarter (kind 0), with noise (1), turned by 20 degrees (2) or cropped to the middle four fifths of each side (3)."""
+
+    def edit(data, kind):
+        image = read_pgm(data)
+        if image is None:
+            return None
+        h, w = image.shape
+        if kind == 0:
+            image = np.rot90(image)
+        elif kind == 1:
+            image = image + np.random.default_rng(zlib.crc32(data)).normal(0, 10, image.shape)
+        elif kind == 2:
+            y, x = np.mgrid[:h, :w] - np.array([h - 1, w - 1])[:, None, None] / 2
+            c, s = np.cos(np.pi / 9), np.sin(np.pi / 9)
+            u, v = (np.clip(t + (n - 1) / 2, 0, max(0.0, n - 1.001)) for t, n in ((c * x - s * y, w), (s * x + c * y, h)))
+            x0, y0 = u.astype(int), v.astype(int)
+            x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+            image = (image[y0, x0] * (1 - u + x0) + image[y0, x1] * (u - x0)) * (1 - v + y0) + (image[y1, x0] * (1 - u + x0) + image[y1, x1] * (u - x0)) * (v - y0)
+        else:
+            image = image[h // 10 : h - h // 10, w // 10 : w - w // 10]
+        return write_pgm(image)
+
+    return pd.Series([edit(data, kind) for data, kind in zip(images, kinds, strict=True)], dtype=object)

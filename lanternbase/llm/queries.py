@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .alignment import alignment
 from .common import table
 from .hilbert_knn import neighbours
-from .image_copies import image_copies, rendered
+from .image_copies import edited, image_copies, rendered
 from .mixing import mix
 from .ngram_lm import cross_entropy_difference
 from .packing import pack
@@ -23,10 +23,23 @@ from .suffix_dedup import remove_repeats
 from .wordpiece_counts import piece_counts
 
 
+#: An edited image has the id of the vector it was drawn from plus this.
+EDITED = 1 << 40
+#: One vector in so many, by hash, also comes as an edited image.
+EDITED_ONE_IN = 16
+
+
 def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images; each embedding is drawn as one."""
-    images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), rendered("embedding").alias("image"))
-    return image_copies(images)
+    """The tables hold no images and no copies: each embedding is drawn as one, and for some, an edited copy comes to the table (edit: its kind; null: as drawn)."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    drawn = vectors.select("id", rendered("embedding").alias("image"))
+    lot = F.pmod(F.xxhash64("id"), F.lit(4 * EDITED_ONE_IN))
+    some = vectors.select("id", "embedding", lot.cast("int").alias("kind")).where("kind < 4")
+    copies = some.select((F.col("id") + EDITED).alias("id"), edited(rendered("embedding"), "kind").alias("image"))
+    got = image_copies(drawn.unionByName(copies))
+    vec_id = F.when(F.col("id") >= EDITED, F.col("id") - EDITED).otherwise(F.col("id"))
+    kind = F.when(F.col("id") >= EDITED, F.pmod(F.xxhash64(vec_id), F.lit(4 * EDITED_ONE_IN))).cast("int")
+    return got.select("id", "n_features", "class_id", vec_id.alias("vec_id"), kind.alias("edit"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

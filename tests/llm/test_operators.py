@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lanternbase.llm.bytesops import PAD, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 from lanternbase.llm.hilbert_knn import hilbert, neighbours
 from lanternbase.llm.components import forest
-from lanternbase.llm.image_copies import features, image_copies, linked, read_pgm, write_pgm
+from lanternbase.llm.image_copies import edited, features, image_copies, linked, read_pgm, rendered, resized, write_pgm
 from lanternbase.llm.ngram_lm import ALPHA, MU, cross_entropy_difference
 from lanternbase.llm.packing import pack
 from lanternbase.llm.quality import accepted, fit, held_out, score, statistics, teaching, train
@@ -327,6 +327,45 @@ def test_image_classes_equal_those_of_all_pairs(spark, limits):
     assert got == classes_of_all_pairs(rows) and {got[i] for i in (400, 401, 402)} == {400} and got[59] == 0
 
 
+def test_unrelated_images_with_repeating_corners_stay_apart():
+    """Block textures have corners at the same places, and motifs of few blocks that look alike."""
+    rng = np.random.default_rng(11)
+    described = [features(read_pgm(write_pgm(textured(rng)))) for _ in range(90)]
+    assert not [pair for pair in itertools.combinations(range(90), 2) if linked(described[pair[0]], described[pair[1]])]
+
+
+def test_a_shared_part_and_a_resized_copy_are_linked():
+    rng = np.random.default_rng(12)
+    image = textured(rng, 20, 12)
+    left, right = (features(read_pgm(write_pgm(part))) for part in (image[:, :150], image[:, 90:]))
+    assert linked(left, right) and linked(left, features(read_pgm(write_pgm(resized(image, 1.3)))))
+
+
+def test_edited_images_of_vectors_are_linked(spark):
+    """Every kind of edit that the registered query makes, of images as it draws them, and no other link."""
+    rng = np.random.default_rng(13)
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), i % 4) for i, v in enumerate(rng.normal(size=(80, 64)))]
+    drawn = spark.createDataFrame(rows, "id long, embedding array<double>, kind int").select("id", "kind", rendered("embedding").alias("image"))
+    copies = drawn.select((F.col("id") + 1000).alias("id"), edited("image", "kind").alias("image"))
+    got = {r.id: r.class_id for r in image_copies(drawn.select("id", "image").unionByName(copies)).collect()}
+    assert len(got) == 160 and all(got[i] == i for i in range(80)) and all(got[i + 1000] in (i, i + 1000) for i in range(80))
+    caught = [sum(got[i + 1000] == i for i in range(k, 80, 4)) for k in range(4)]
+    assert min(caught) >= 16 and sum(caught) >= 74
+
+
+def test_op1_links_its_edited_copies(spark):
+    from lanternbase.llm.queries import EDITED, EDITED_ONE_IN, op1_image_copies
+
+    sf_dir = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = op1_image_copies(spark, sf_dir).collect()
+    plain, copies = [r for r in got if r.edit is None], [r for r in got if r.edit is not None]
+    assert len(plain) == n and all(r.class_id == r.id == r.vec_id for r in plain)
+    assert all(r.id == r.vec_id + EDITED and r.class_id in (r.id, r.vec_id) for r in copies)
+    assert not copies or sum(r.class_id == r.vec_id for r in copies) >= 0.8 * len(copies)
+    assert len(copies) <= 4 * n / EDITED_ONE_IN
+
+
 def test_crop_of_a_large_image(spark):
     rng = np.random.default_rng(5)
     large = textured(rng, 40, 12)
