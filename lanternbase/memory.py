@@ -69,12 +69,15 @@ class Memory:
     def search_keyword(self, text: str, limit: int) -> DataFrame:
         query = self.spark.createDataFrame([(0, text)], "query_id long, query string")
         found = self.store.search(query, limit)
-        shown = found.join(self.chunks().select("id", "path", "start_line", "end_line", "text"), "id")
+        shown = self._shown(found)
         return shown.select("*", F.col("score").alias("raw_score"), F.lit(None).cast("double").alias("vector_score"), F.col("score").alias("text_score"))
 
+    def _shown(self, found: DataFrame) -> DataFrame:
+        return self.store.fetch(found, *hybrid.SHOWN)
+
     def search(self, text: str, limit: int, as_of: Column | None = None) -> DataFrame:
         c = self.config
-        return hybrid.search(self.queries([text]), self.chunks(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer, self.store.search)
+        return hybrid.search(self.queries([text]), self.chunks(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer, self.store.search, self._shown)
 
     def search_for_context(self, text: str, as_of: Column | None = None) -> DataFrame:
         c = self.config

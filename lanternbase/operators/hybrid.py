@@ -14,6 +14,8 @@ from lanternbase.operators.vector import vector_search
 
 #: Candidates that each retriever fetches for every result (fixed value).
 OVERFETCH = 3
+#: What results show of a chunk.
+SHOWN = ("path", "start_line", "end_line", "text")
 
 
 def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, vector_weight: float = 0.7, text_weight: float = 0.3) -> DataFrame:
@@ -28,16 +30,23 @@ def fuse(by_vector: DataFrame, by_text: DataFrame, limit: int, vector_weight: fl
 
 
 def hybrid_search(
-    queries: DataFrame, chunks: DataFrame, limit: int, vector_weight: float = 0.7, text_weight: float = 0.3, keyword: Callable[[DataFrame, int], DataFrame] | None = None
+    queries: DataFrame,
+    chunks: DataFrame,
+    limit: int,
+    vector_weight: float = 0.7,
+    text_weight: float = 0.3,
+    keyword: Callable[[DataFrame, int], DataFrame] | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Results of ``queries`` (query_id, query, vector) on ``chunks`` (id, path, start_line, end_line, text, embedding).
 
-    ``keyword`` is a keyword search over the same chunks, such as that of a stored index; without it their texts are read.
+    ``keyword`` is a keyword search over the same chunks, such as that of a stored index; without it their texts are read. ``fetch`` adds path, lines and text
+    to the results, where there is a shorter way to them than a join with all chunks.
     """
     near = vector_search(queries, chunks.select("id", "embedding"), OVERFETCH * limit)
     words = keyword(queries, OVERFETCH * limit) if keyword else keyword_search(queries, chunks.select("id", "text"), OVERFETCH * limit)
     found = fuse(near, words, limit, vector_weight, text_weight)
-    return found.join(chunks.select("id", "path", "start_line", "end_line", "text"), "id")
+    return fetch(found) if fetch else found.join(chunks.select("id", *SHOWN), "id")
 
 
 def rescore(results: DataFrame, queries: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series]) -> DataFrame:
@@ -63,9 +72,10 @@ def search(
     text_weight: float = 0.3,
     scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None,
     keyword: Callable[[DataFrame, int], DataFrame] | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Hybrid search, then rescoring if there is a scorer, then decay. Decay comes after the cut and brings in no rows."""
-    found = hybrid_search(queries, chunks, limit, vector_weight, text_weight, keyword)
+    found = hybrid_search(queries, chunks, limit, vector_weight, text_weight, keyword, fetch)
     if scorer is not None:
         found = rescore(found, queries, scorer)
     return decayed(found, F.current_date() if as_of is None else as_of, half_life_days)

@@ -9,6 +9,7 @@ from lanternbase.functions.text import trim
 
 #: Opening of a prompt without a context file, and the format around chunks (fixed values).
 OPENING = "You are a helpful assistant with access to the user's memory store.\n"
+#: Characters that are shown of a text.
 SNIPPET = 200
 
 
@@ -27,7 +28,7 @@ def system_prompts(chosen: DataFrame, context_md: str | None = None) -> DataFram
 
 def snippet(text: Column, full: bool = False) -> Column:
     short = trim(text)
-    return short if full else F.when(F.octet_length(short) > SNIPPET, F.concat(F.substring(short, 1, SNIPPET), F.lit("…"))).otherwise(short)
+    return short if full else F.when(F.char_length(short) > SNIPPET, F.concat(F.substring(short, 1, SNIPPET), F.lit("…"))).otherwise(short)
 
 
 def result_lines(results: DataFrame, full: bool = False) -> DataFrame:

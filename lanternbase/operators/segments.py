@@ -133,6 +133,15 @@ class SegmentedIndex:
         placed = found.join(names, ["segment", "doc_no"]).withColumn("place", F.row_number().over(order))
         return placed.where(F.col("place") <= limit).select("query_id", "id", "score", "place"), counted
 
+    def fetch(self, found: DataFrame, *columns: str) -> DataFrame:
+        """``found`` (with id, such as results of a search) with columns of their chunks: by the filter on ids that skips row groups, if the ids are few."""
+        found = postings.small(found, self._keep)
+        ids, segments = postings.few(found, "id"), self.state()
+        rows, dead = self._read(segments, "chunks", CHUNKS), self._dead(segments)
+        rows = rows if ids is None else rows.where(F.col("id").isin(ids))
+        rows = rows if dead is None else rows.join(dead.select("segment", "doc_no"), ["segment", "doc_no"], "left_anti")
+        return found.join(rows.select("id", *columns), "id")
+
     # writing
 
     def update(self, files: DataFrame, model: str, embed: Callable[[Column], Column] | None = None, force: bool = False) -> dict[str, int]:

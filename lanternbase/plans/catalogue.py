@@ -21,6 +21,8 @@ from lanternbase.sources.turns import TurnLog
 
 AS_OF = "2024-03-01"
 TEXT_QUERY, ACCENT_QUERY, PHRASE_QUERY = "how do I find eaux ment", "für über", "of_the"
+#: Letters whose shares are the embedding of a text in the queries of the stored index.
+LETTERS = "etaoinsh"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -337,11 +339,65 @@ def postings_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword results as they are shown, after two rounds of edits and deletions."""
     made = _edited_index(spark, sf_dir)
     found = made.search(_one(spark, TEXT_QUERY), 20)
-    shown = found.join(made.chunks().select("id", "path", "start_line", "end_line", "text"), "id")
+    shown = made.fetch(found, *hybrid.SHOWN)
     score = F.round("score", 6)
     return shown.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), score.alias("score"), score.alias("raw_score"), score.alias("text_score"), "place")
 
 
+def _letters(text):
+    """An embedding that SQL can make, too: the share of each of some letters."""
+    share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
+    return F.array(*[share(c).cast("float") for c in LETTERS])
+
+
+def _passes(spark: SparkSession, sf_dir: str) -> tuple[SegmentedIndex, list[dict[str, int]]]:
+    """An index with embeddings over the three rounds, the last one again, and again by force; the counts of each pass."""
+    told: list[dict[str, int]] = []
+
+    def build(made: SegmentedIndex) -> None:
+        rounds = _rounds(spark, sf_dir)
+        told.extend(made.update(files, "letters", _letters) for files in [*rounds, rounds[-1]])
+        told.append(made.update(rounds[-1], "letters", _letters, force=True))
+        _passes_told[(spark.sparkContext.applicationId, sf_dir)] = told
+
+    made = _stored_index(spark, sf_dir, "embedded", build)
+    return made, _passes_told[(spark.sparkContext.applicationId, sf_dir)]
+
+
+_passes_told: dict[tuple[str, str], list[dict[str, int]]] = {}
+
+
+def index_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pass indexed, skipped and deleted; a pass without a change does nothing, a forced one indexes all."""
+    told = _passes(spark, sf_dir)[1]
+    return spark.createDataFrame([(i, t["indexed"], t["skipped"], t["deleted"]) for i, t in enumerate(told, 1)], "pass long, indexed long, skipped long, deleted long")
+
+
+def segments_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live chunks' embeddings, all of them taken over by content in the forced pass."""
+    e = F.col("embedding")
+    return _passes(spark, sf_dir)[0].chunks().select("path", "id", "model", F.size(e).cast("long").alias("width"), *[F.round(e[i].cast("double"), 6).alias(f"share_{c}") for i, c in enumerate(LETTERS)])
+
+
+def _shown_scores(found: DataFrame) -> DataFrame:
+    scores = [F.round(c, 6).alias(c) for c in ("score", "raw_score", "vector_score", "text_score")]
+    return found.select("id", "path", F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), *scores)
+
+
+def hybrid_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search of the stored index after the passes: vectors of chunks that are gone are orphans, and take no place among the candidates."""
+    made = _passes(spark, sf_dir)[0]
+    asked = _one(spark, TEXT_QUERY).withColumn("vector", _letters(F.col("query")))
+    return _shown_scores(hybrid.search(asked, made.chunks(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
+
+
+def hybrid_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search of an index without embeddings: what words alone find, by their weight."""
+    made = _edited_index(spark, sf_dir)
+    asked = _one(spark, TEXT_QUERY).withColumn("vector", _letters(F.col("query")))
+    return _shown_scores(hybrid.search(asked, made.chunks(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
+
+
 def segments_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue after those rounds."""
     return _edited_index(spark, sf_dir).files().select("path", "hash", "size")
@@ -427,6 +483,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segments_files": segments_files,
     "segments_chunks": segments_chunks,
     "segments_stats": segments_stats,
+    "index_passes": index_passes,
+    "segments_vectors": segments_vectors,
+    "hybrid_after_edits": hybrid_after_edits,
+    "hybrid_without_vectors": hybrid_without_vectors,
     "decay_of_paths": decay_of_paths,
     "markdown_tree": markdown_tree,
     "file_chunks": file_chunks,
@@ -519,6 +579,24 @@ lines AS (SELECT path, content, string_split(content, chr(10)) AS ls FROM last),
 parts AS (SELECT path, len(CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END) AS end_line, regexp_replace(content, '^\s+|\s+$', '', 'g') AS text FROM lines),
 live AS (SELECT path, end_line, text, sha256(path || ':1:' || end_line || ':' || sha256(text)) AS id FROM parts WHERE text <> '')"""
 
+
+
+def _letters_sql(text: str) -> str:
+    return "[" + ", ".join(f"((length({text}) - length(replace({text}, '{c}', ''))) / greatest(length({text}), 1))::FLOAT" for c in LETTERS) + "]"
+
+
+_LIVE_BM25 = _bm25(["eaux", "ment"]).replace("SELECT doc_id, [x FOR", "SELECT id AS doc_id, [x FOR").replace("FROM documents", "FROM live")
+_LIVE_FUSED = f"""WITH {_LAST}, {_LIVE_BM25}, asked AS (SELECT '{TEXT_QUERY}' AS query),
+vec AS (SELECT id, {_letters_sql("text")} AS v FROM live), qv AS (SELECT {_letters_sql("query")} AS w FROM asked),
+near AS (SELECT id, list_distance(v::DOUBLE[], w::DOUBLE[]) AS distance FROM vec, qv),
+sim AS (SELECT id, greatest(0.0, least(1.0, 1 - distance * distance / 2)) AS similarity FROM near ORDER BY distance, id LIMIT 30),
+mm AS (SELECT id, CASE WHEN max(similarity) OVER () - min(similarity) OVER () > 1e-6
+ THEN (similarity - min(similarity) OVER ()) / (max(similarity) OVER () - min(similarity) OVER ()) ELSE similarity END AS vector_score FROM sim),
+words AS (SELECT doc_id AS id, score AS text_score FROM kw WHERE place <= 30),"""
+_LIVE_SHOWN = """top AS (SELECT * FROM ids ORDER BY score DESC, id LIMIT 10)
+SELECT id, path, end_line::BIGINT AS end_line, md5(text) AS text_md5, round(score, 6) AS score, round(score, 6) AS raw_score, round(vector_score, 6) AS vector_score, round(text_score, 6) AS text_score
+FROM top JOIN live USING (id)"""
+
 _STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 ORACLE_SQL: dict[str, str] = {
@@ -553,7 +631,7 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
     "system_prompt": _TOP5 + r""" SELECT 0::BIGINT AS query_id, 'You are a helpful assistant with access to the user''s memory store.' || chr(10) || chr(10) || 'Relevant memory:' || chr(10)
  || string_agg(chr(10) || '---' || chr(10) || 'Source: ' || path || ' (lines 1-' || lines || ')' || chr(10) || body || chr(10), '' ORDER BY place) || '---' || chr(10) AS prompt FROM shown HAVING count(*) > 0""",
     "result_lines": _TOP5 + r""" SELECT place::INT AS place, '[' || place || '] score=' || printf('%.3f', score) || '  lex=' || printf('%.3f', score) || '  ' || path || ':1-' || lines || chr(10)
- || array_to_string(['    ' || x FOR x IN string_split(CASE WHEN strlen(body) > 200 THEN body[1:200] || '…' ELSE body END, chr(10))], chr(10)) || chr(10) AS line FROM shown""",
+ || array_to_string(['    ' || x FOR x IN string_split(CASE WHEN length(body) > 200 THEN body[1:200] || '…' ELSE body END, chr(10))], chr(10)) || chr(10) AS line FROM shown""",
     "score_transforms": """SELECT event_id, round(CASE WHEN -value < 0 THEN value / (1 + value) ELSE 1 / (1 - value) END, 6) AS from_rank,
  round(greatest(0.0, least(1.0, 1 - (value / 37) * (value / 37) / 2)), 6) AS from_distance, round(1 / (1 + exp(-value / 100)), 6) AS squashed FROM events""",
     "postings_lookup": " UNION ALL ".join([*_TWO_QUERIES, f"SELECT 2::BIGINT, * FROM ({_PHRASE})"]),
@@ -566,6 +644,21 @@ SELECT query_id, vec_id, round(d, 6) AS distance, place::INT AS place FROM r WHE
     "segments_files": f"WITH {_LAST} SELECT path, sha256(content) AS hash, strlen(content)::BIGINT AS size FROM last",
     "segments_chunks": f"WITH {_LAST} SELECT path, end_line::BIGINT AS end_line, id, 'none' AS model FROM live",
     "segments_stats": f"WITH {_LAST} SELECT count(*) AS n, round(avg(len({_TOKENS})), 6) AS avgdl FROM live",
+    "index_passes": """WITH l AS (SELECT doc_id, toxic, quality FROM labels JOIN documents USING (doc_id)), n AS (SELECT
+ (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM l) AS labelled,
+ (SELECT count(*) FROM l WHERE toxic = 1) AS toxic, (SELECT count(*) FROM l WHERE quality = 0) AS low)
+SELECT 1::BIGINT AS pass, labelled + pages AS indexed, 0::BIGINT AS skipped, 0::BIGINT AS deleted FROM n
+UNION ALL SELECT 2, docs - labelled + toxic, labelled - toxic, pages FROM n
+UNION ALL SELECT 3, 0, docs - low, low FROM n UNION ALL SELECT 4, 0, docs - low, 0 FROM n UNION ALL SELECT 5, docs - low, 0, 0 FROM n""",
+    "segments_vectors": f"WITH {_LAST} SELECT path, id, 'letters' AS model, {len(LETTERS)}::BIGINT AS width, "
+    + ", ".join(f"round({_letters_sql('text')}[{i}]::DOUBLE, 6) AS share_{c}" for i, c in enumerate(LETTERS, 1))
+    + " FROM live",
+    "hybrid_after_edits": f"""{_LIVE_FUSED}
+ids AS (SELECT coalesce(m.id, k.id) AS id, vector_score, text_score, coalesce(0.7 * vector_score, 0) + coalesce(0.3 * text_score, 0) AS score FROM mm m FULL JOIN words k ON m.id = k.id),
+{_LIVE_SHOWN}""",
+    "hybrid_without_vectors": f"""{_LIVE_FUSED}
+ids AS (SELECT id, NULL::DOUBLE AS vector_score, text_score, 0.3 * text_score AS score FROM words),
+{_LIVE_SHOWN}""",
     "decay_of_paths": f"""WITH p AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'memory/2023' || day WHEN 'de' THEN 'memory/' || source || '/notes.md' WHEN 'fr' THEN '2024' || day ELSE 'memory/x2024' || day END AS path
  FROM (SELECT *, '-' || lpad((doc_id % 14 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 33)::VARCHAR, 2, '0') || '.md' AS day FROM documents)),
 d AS (SELECT doc_id, path, try_strptime(regexp_extract(path, '(^|/)([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[.]md$', 2), '%Y-%m-%d')::DATE AS day FROM p)

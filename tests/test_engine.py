@@ -260,6 +260,12 @@ def test_result_lines(spark):
     assert a == "[1] score=0.500  sem=0.250  p.md:1-2\n    " + "x" * 200 + "…\n" and b == "[2] score=0.400    q.md:3-4\n    a\n    b\n"
 
 
+def test_snippets_are_measured_in_characters(spark):
+    texts = ["ä" * 150, "ä" * 200, "ä" * 201, "  " + "ß" * 200 + "\n", "日本" * 101]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", prompt.snippet(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [texts[0], texts[1], "ä" * 200 + "…", "ß" * 200, "日本" * 100 + "…"]
+
+
 def test_hidden_names_are_scanned_and_paths_are_relative(spark, tmp_path):
     from lanternbase.sources.markdown import scan
 

@@ -210,3 +210,16 @@ def test_tops_give_the_largest_score():
             own = score(tf[block == b], dl[block == b])
             top = score(tfs[offsets[b] : offsets[b + 1]], dls[offsets[b] : offsets[b + 1]])
             assert (len(own) == 0) == (len(top) == 0) and (not len(own) or own.max() == top.max())
+
+
+def test_texts_of_results_are_read_by_id(spark, tmp_path):
+    made = SegmentedIndex(spark, str(tmp_path / "index"), fanout=8)
+    files = lambda texts: spark.createDataFrame([(f"{k}.md", v, 0.0, len(v)) for k, v in texts.items()], "path string, content string, mtime double, size long")
+    made.update(files({"a": "red fox", "b": "red dog", "c": "blue fox"}), "none")
+    made.update(files({"a": "red fox", "b": "red cat", "c": "blue fox"}), "none")
+    found = made.search(spark.createDataFrame([(0, "red")], "query_id long, query string"), 5)
+    shown = made.fetch(found, "path", "text")
+    assert sorted((r.path, r.text) for r in shown.collect()) == [("a.md", "red fox"), ("b.md", "red cat")]
+    assert "PushedFilters: [In(id, [" in shown._jdf.queryExecution().toString()
+    # an id that is gone finds nothing, and no ids give no rows
+    assert made.fetch(spark.createDataFrame([("gone",)], "id string"), "text").count() == 0 and made.fetch(found.limit(0), "text").count() == 0
