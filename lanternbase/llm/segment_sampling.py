@@ -16,6 +16,7 @@ a node's first word, which bars some choices, and words of over ``LONG`` charact
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -72,8 +73,7 @@ class Pieces:
             h = np.zeros(len(starts), U)
             for c in np.array([list(map(ord, t)) for t in starts], U).T:
                 h = _roll(h, c)
-            order = np.argsort(h)
-            self.begins.append((h[order], np.array(list(starts.values()))[order]))
+            self.begins.append(Numbers(h, np.array(list(starts.values()), np.int32)))
         self.price = np.array([self.log_p.get(i, -np.inf) for i in range(n_pieces)])
 
     def normalize(self, text: str) -> str:
@@ -91,6 +91,46 @@ def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return mix(h * U(0x9E3779B97F4A7C15) + c + U(1))
 
 
+class Numbers:
+    """Numbers by hash, in two tables of ``SPARE`` or more slots an entry; the entries that find both their slots taken are searched."""
+
+    SPARE = 8
+
+    def __init__(self, hashes: np.ndarray, number: np.ndarray):
+        self.shift = max(1, (self.SPARE * len(hashes)).bit_length())
+        self.hashes, self.number = np.append(hashes, U(0)), np.append(number, np.int32(-1))
+        # the last entry stands for an empty slot
+        self.slots = np.full((2, 1 << self.shift), len(hashes), np.int32)
+        left = np.arange(len(hashes), dtype=np.int32)
+        for side in range(2):
+            slot = self._slot(hashes[left], side)
+            self.slots[side][slot] = left
+            left = left[self.slots[side][slot] != left]
+        order = np.argsort(hashes[left])
+        self.rest = left[order]
+        self.rest_hashes = hashes[self.rest]
+
+    def _slot(self, h: np.ndarray, side: int) -> np.ndarray:
+        return (h >> U(64 - self.shift if side else 16)) & U((1 << self.shift) - 1)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes have an entry, ascending, and their numbers."""
+        entry = self.slots[0][self._slot(h, 0)]
+        ok = self.hashes[entry] == h
+        miss = np.flatnonzero(~ok)
+        some = h[miss]
+        second = self.slots[1][self._slot(some, 1)]
+        hit = self.hashes[second] == some
+        if len(self.rest):
+            place = np.minimum(np.searchsorted(self.rest_hashes, some), len(self.rest) - 1)
+            searched = self.rest_hashes[place] == some
+            second, hit = np.where(searched, self.rest[place], second), hit | searched
+        entry[miss[hit]] = second[hit]
+        ok[miss[hit]] = True
+        at = np.flatnonzero(ok & (entry < len(self.hashes) - 1))
+        return at, self.number[entry[at]]
+
+
 class Lattices:
     """The lattices of some words, edges by position, the longest first: where they lead, piece (below zero: a list of pieces), and their share of their position's completions.
 
@@ -106,15 +146,14 @@ class Lattices:
         end = np.repeat(self.first[1:].astype(np.int32), self.size)
         found = []
         live, h = np.arange(n, dtype=np.int32), np.zeros(n, U)
-        for length, (hashes, piece) in enumerate(pieces.begins, 1):
+        for length, begins in enumerate(pieces.begins, 1):
             h = _roll(h, symbol[live + (length - 1)])
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            ok = hashes[place] == h
-            ids = piece[place]
-            is_piece = ok & (ids >= 0)
+            at, ids = begins.find(h)
+            live, h = live[at], h[at]
+            is_piece = np.flatnonzero(ids >= 0)
             found.append((live[is_piece], length, ids[is_piece]))
-            ok &= live + length < end[live]
-            live, h = live[ok], h[ok]
+            on = np.flatnonzero(live + length < end[live])
+            live, h = live[on], h[on]
             if not len(live):
                 break
         # a character without a piece takes byte pieces
@@ -124,12 +163,9 @@ class Lattices:
             plain[found[0][0]] = True
         odd = np.flatnonzero(~plain)
         if len(odd):
-            known: dict[str, int] = {}
-            for c in (text[i] for i in odd.tolist()):
-                if c not in known:
-                    known[c] = len(self.spelled)
-                    self.spelled.append([pieces.byte[b] for b in c.encode()])
-            found.insert(0, (odd, 1, -1 - np.array([known[text[i]] for i in odd.tolist()])))
+            codes, which = np.unique(symbol[odd], return_inverse=True)
+            self.spelled = [[pieces.byte[b] for b in chr(c).encode()] for c in codes.tolist()]
+            found.insert(0, (odd, 1, -1 - which))
         many = np.zeros(n, np.int32)
         for at, _, _ in found:
             many[at] += 1
@@ -207,7 +243,8 @@ class Lattices:
             i = self.to[e]
             ok = i < ends
             length[live[~ok]] = step + 1
-            live, i, ends, seeds = live[ok], i[ok], ends[ok], seeds[ok]
+            on = np.flatnonzero(ok)
+            live, i, ends, seeds = live[on], i[on], ends[on], seeds[on]
         more = {}
         for x, at in zip(live.tolist(), i.tolist(), strict=True):
             path, stop = [], int(end[x])
@@ -262,7 +299,27 @@ class Lattices:
             node = below.get(e)
             path.append(e)
             at = int(self.to[e])
-        return path, self._left(int(self.first[word]), end, [*taken, path])[1][0]
+        return path, self._without(children, left, int(self.first[word]), path)
+
+    def _without(self, children: list[dict[int, int]], left: list[float], begin: int, path: list[int]) -> float:
+        """The log share of all paths but ``path`` and those of the tree: nodes beside the path stay as they are."""
+        nodes, at, node = [], begin, 0
+        for e in path:
+            nodes.append((node, at))
+            node = children[node].get(e) if node is not None else None
+            at = int(self.to[e])
+        below = -math.inf
+        for (node, at), e in zip(reversed(nodes), reversed(path), strict=True):
+            a = int(self.edge[at])
+            terms = self.log_share[a : int(self.edge[at + 1])].tolist()
+            for other, child in children[node].items() if node is not None else ():
+                terms[other - a] += left[child]
+            if node is not None and e in children[node]:
+                terms[e - a] = float(self.log_share[e])
+            terms[e - a] += below
+            top = max(terms)
+            below = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else -math.inf
+        return below
 
     def _left(self, begin: int, end: int, taken: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
         """Of the tree of the ``taken`` paths: children of each node by edge, and the log share of the other paths below it."""
@@ -319,9 +376,9 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
     parts = [_words(pieces.normalize(t)) for t in texts]
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     base = np.concatenate([[0], np.cumsum(size)])
-    numbers: dict[str, int] = {}
-    number = np.array([numbers.setdefault(w, len(numbers)) for p in parts for w in p], np.int64)
-    lattices = Lattices(pieces, list(numbers))
+    coded = pa.array(itertools.chain.from_iterable(parts), pa.large_string()).dictionary_encode()
+    number = coded.indices.to_numpy().astype(np.int64)
+    lattices = Lattices(pieces, coded.dictionary.to_pylist())
     n, m = len(texts), len(number)
     # of each round and word, its path: where in ``flat``, length and log probability
     flat, start, length, units = np.zeros(0, np.int64), *(np.zeros((k, m), np.int64) for _ in range(3))
@@ -335,8 +392,10 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
         of = np.repeat(np.arange(len(active)), size[active])
         position = inst - base[active][of]
         here = at[of]
+        same = np.flatnonzero(position < here)
+        words, rounds = inst[same], parent[of[same]]
         for x in (start, length, units):
-            x[r, inst] = x[parent[of], inst]
+            x[r, words] = x[rounds, words]
         rest = np.full(len(inst), -np.inf)
         fresh = np.flatnonzero(position > here)
         path, count, log_p, others = lattices.draw(number[inst[fresh]], _seed(seeds[active][of[fresh]], position[fresh] * (k + 1) + r))
@@ -393,6 +452,9 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
         for t in active.tolist():
             if heaps[t]:
                 threshold[t] = -heaps[t][0][0]
+    spelled = np.array([x for s in lattices.spelled for x in s], np.int32)
+    spelled_size = np.fromiter(map(len, lattices.spelled), np.int64, len(lattices.spelled))
+    spelled_at = np.cumsum(spelled_size) - spelled_size
     for r, (some, perturbed, log_p) in enumerate(found):
         inst = ragged(base[some], size[some])
         piece = lattices.piece[flat[ragged(start[r, inst], length[r, inst])]]
@@ -400,12 +462,12 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
         if len(lattices.spelled) and (piece < 0).any():
             count = np.ones(len(piece), np.int64)
             odd = np.flatnonzero(piece < 0)
-            spelled = [lattices.spelled[-x - 1] for x in piece[odd].tolist()]
-            count[odd] = [len(x) for x in spelled]
+            which = -1 - piece[odd]
+            count[odd] = spelled_size[which]
             upto = np.concatenate([[0], np.cumsum(count)])
             ends = upto[ends]
             wide = np.repeat(piece, count)
-            wide[ragged(upto[odd], count[odd])] = np.concatenate(spelled)
+            wide[ragged(upto[odd], count[odd])] = spelled[ragged(spelled_at[which], spelled_size[which])]
             piece = wide
         kept = np.where(threshold[some] > -np.inf, -np.expm1(-np.exp(np.minimum(700.0, log_p - threshold[some]))), 1.0)
         yield some, piece.astype(np.int32), ends, log_p, perturbed, kept
