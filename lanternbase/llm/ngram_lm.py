@@ -172,7 +172,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, partition_bytes
     ``target`` (doc_id) names the documents of the target corpus; ids that are null, repeated or in no document change nothing.
     Words are runs of characters other than white space, A-Z lower-cased; each text ends with an end token, so
     null and empty texts have one token. A null doc_id belongs to the background only. Repeated rows count as often as they
-    occur, and a row leaves out itself only, not its copies; the vocabulary is that of all rows. Extra columns are ignored; an empty table gives an empty result.
+    occur, and a row leaves out itself only, not its copies; the vocabulary is that of all rows. A text of any
+    length is scored whole; it is not split, so the task that counts it holds some hundred bytes for each of its tokens at once. Extra columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text")

@@ -85,7 +85,7 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, en
 
     A document is its ids and ``end_id``; a null or empty text has the latter alone. Each token is in exactly one piece;
     sequences are numbered from 0 and filled without gaps, all but the last to their full length. A null doc_id is
-    kept; repeated rows are packed as often as they occur. Extra columns are ignored; an empty table gives no
+    kept; repeated rows are packed as often as they occur. A text longer than a sequence is cut into as many pieces as it needs. Extra columns are ignored; an empty table gives no
     rows. The order of documents is that of the input's partitions.
     """
     if length < 1:

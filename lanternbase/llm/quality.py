@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     Rows with a null id or label are left out; of repeated labels of a document the mean counts (0.5 or more: 1), and of repeated documents the least text. At most
     ``sample`` labelled documents are used, chosen by the hash of their ids; that bounds what the driver gathers and what
-    is broadcast (16 bytes each).
+    is broadcast (16 bytes each). Statistics read whole texts of any length. Empty documents or labels give a model that scores every text 0.5.
     """
     known = only(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     one = known.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
@@ -198,7 +198,7 @@ def _score(model):
 def score(docs: DataFrame, model: Trees) -> DataFrame:
     """doc_id, score (0 to 1) of every row of ``docs`` (doc_id, text).
 
-    Null and empty texts get the score of all-zero statistics. Null ids and repeated rows are kept; extra columns are
+    Null and empty texts get the score of all-zero statistics; long ones are read whole. Null ids and repeated rows are kept; extra columns are
     ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -219,7 +219,7 @@ def _keep(model, at: int):
 def accepted(docs: DataFrame, model: Trees) -> DataFrame:
     """The rows of ``docs`` that score 0.5 or more, with all their columns, also ones whose names differ in case only.
 
-    Null and empty texts are judged as in ``score``; repeated rows share their fate; an empty table stays empty.
+    Null, empty and long texts are judged as in ``score``; repeated rows share their fate; an empty table stays empty.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     flat, (text,) = numbered(docs, "text")

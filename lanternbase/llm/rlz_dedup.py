@@ -98,7 +98,8 @@ def remove_spans(docs: DataFrame, window: int = WINDOW, digest: bool = False, ho
     """doc_id, n_words, n_removed, starts, ends (word positions of the maximal removed runs) and kept of every row of ``docs`` (doc_id, text).
 
     Words are the runs of characters other than space and U+0009 to U+000D. Removed is each word covered by a window of ``window``
-    words that also starts in a document with a smaller doc_id; windows are judged on the input. kept: the remaining words joined by one
+    words that also starts in a document with a smaller doc_id; windows are judged on the input. A text of any length counts
+    whole and is not split: a task holds the anchors of one at once. kept: the remaining words joined by one
     space, or their SHA-256 if ``digest``. Null texts have no words. A row without a doc_id neither loses nor
     removes anything; repeated rows of one doc_id don't remove each other. Extra columns are ignored; an
     empty table gives an empty result.
@@ -121,7 +122,7 @@ def cut_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, partition_b
     """The rows of ``docs`` with all their columns, texts less the duplicate spans that ``remove_spans`` finds.
 
     A text that loses words is replaced by its other words joined by one space, and n_chars, where there is such a column, by the
-    new length; all other texts, null ones too, and rows without a doc_id stay as they are.
+    new length; all other texts, null ones too, and rows without a doc_id stay as they are. Long texts are read whole, as there; an empty table stays empty.
     """
 
     def solver(texts, group, ids, second):

@@ -238,6 +238,7 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIST
 
     root is the least fingerprint (as a signed number) of the component, component_id the smallest doc_id.
     Null and empty texts, and those without words, have fingerprint zero and are linked like any other.
+    Texts of any length are hashed whole, in memory in proportion to the longest.
     A null doc_id takes part but is never the smallest; a component of such rows alone has a null id. Repeated
     rows give repeated results. Extra columns are ignored; an empty table gives an empty result.
     """

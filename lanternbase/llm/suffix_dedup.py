@@ -189,7 +189,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, digest: bool = False, ho
     """doc_id, n_bytes, n_removed, starts, ends (of the maximal removed runs) and kept of every row of ``docs`` (doc_id, text).
 
     Removed is each byte of the UTF-8 text covered by a string of ``least`` bytes that also starts in a document with a smaller
-    doc_id; strings are judged on the input. kept: the remaining bytes, or their SHA-256 if ``digest``. Null texts are empty.
+    doc_id; strings are judged on the input. A text of any length counts whole and is not
+    split: a task holds the anchors of one at once. kept: the remaining bytes, or their SHA-256 if ``digest``. Null texts are empty.
     A row without a doc_id neither loses nor removes anything; repeated rows of one doc_id don't remove each other.
     Extra columns are ignored; an empty table gives an empty result.
     """

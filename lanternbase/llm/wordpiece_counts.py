@@ -143,7 +143,8 @@ def piece_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_words, n_pieces of every row of ``docs`` (doc_id, text).
 
     A word (a run of characters other than space and U+0009 to U+000D) has as many pieces as greedy longest match over the byte-level
-    vocabulary's tokens needs; one that can't be spelled counts as one unknown piece. Null and empty texts have none. Null ids and
+    vocabulary's tokens needs; one that can't be spelled counts as one unknown piece. The one trie
+    holds all tokens, those led by a space, too, which no word can match. Texts and words of any length are counted whole. Null and empty texts have none. Null ids and
     repeated rows are kept; extra columns are ignored; an empty table gives an empty result.
     """
     with open(tokenizer or default_path(), encoding="utf-8") as f:
