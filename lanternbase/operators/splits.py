@@ -1,24 +1,30 @@
 """Sections of Markdown files that may be larger than a task: each split is cut by itself, and what it needs from those before it is one row a split.
 
 A task turns the lines of a split into pieces of sections, with the headers that stand above them in the split. For files of several splits, running sums of lines give line numbers, and the last
-headers of the splits before complete the breadcrumbs; only the pieces at the ends of splits are grouped again. Lines are never shuffled.
+headers of the splits before complete the breadcrumbs; only the pieces at the ends of splits are grouped again. Lines are never shuffled, and no row is made of one.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanternbase.functions.text import trim
 from lanternbase.operators.chunk import chunk_id
+from lanternbase.sources import tree
 from lanternbase.sources.markdown import qualified
+from lanternbase.sources.shared import keep
 
 PIECES = "path string, block long, whole boolean, opens boolean, closes boolean, begin long, end long, h1 struct<line: string, pos: long>, h2 struct<line: string, pos: long>, h3 struct<line: string, pos: long>, text string"
 _FIELDS = pa.struct([("line", pa.string()), ("pos", pa.int64())])
+_KINDS = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), _FIELDS, _FIELDS, _FIELDS, pa.string()]
+_HEADER = re.compile("#{1,3} ")
+#: Bytes that a task reads from a file at a time, and characters of pieces that it passes on together.
+READ, TOGETHER = 1 << 20, 4 << 20
 
 
 class _Split:
@@ -53,31 +59,64 @@ class _Split:
                 at = place + 1
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    split: _Split | None = None
+def _lines(file, begin: int, end: int) -> Iterator[list[str]]:
+    """Lines of an open file whose first byte is in [begin, end), some at a time. Bytes that are not UTF-8 are replaced."""
+    # from the byte before on, what stands up to a line's end belongs to the split before
+    at, held, skip = max(begin - 1, 0), [], begin > 0
+    file.seek(at)
+    while at < end:
+        data = file.read(READ)
+        last = data.rfind(b"\n") + 1
+        if data and not last:
+            held.append(data)
+            continue
+        block, held = b"".join([*held, data[:last]]), [data[last:]]
+        if not data and not block:
+            return
+        first = block.find(b"\n") + 1 if skip else 0
+        # an end in this block: lines that begin there or later are not taken
+        stop = block.find(b"\n", end - at - 1) + 1 or len(block)
+        at += len(block)
+        if skip and not first:
+            return
+        skip = False
+        if stop > first:
+            lines = block[first:stop].decode("utf-8", "replace").split("\n")
+            if lines[-1] == "":
+                lines.pop()
+            yield [x[:-1] if x.endswith("\r") else x for x in lines]
+        if not data:
+            return
+
+
+def _pieces(uri: str):
+    """The pieces of splits (path, block, size of the file, bytes of a split)."""
 
     def passed(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True))
-        kinds = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), _FIELDS, _FIELDS, _FIELDS, pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "block", "whole", "opens", "closes", "begin", "end", "h1", "h2", "h3", "text"])
-
-    for batch in batches:
-        lines = pc.replace_substring_regex(batch.column(0), r"\r\z", "")
-        header = pc.match_substring_regex(lines, "^#{1,3} ").to_numpy(zero_copy_only=False)
-        paths, blocks, rows = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-        ends = [i for i in range(1, len(paths)) if (paths[i], blocks[i]) != (paths[i - 1], blocks[i - 1])] + [len(paths)]
-        for a, b in zip([0, *ends[:-1]], ends, strict=True):
-            if a == b:
-                continue
-            if split is None or split.key[:2] != (paths[a], blocks[a]):
-                if split is not None:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=["path", "block", "whole", "opens", "closes", "begin", "end", "h1", "h2", "h3", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = tree.opened(uri)
+        rows, n = [], 0
+        for batch in batches:
+            for path, block, size, per in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                split = _Split(path, block, size <= per)
+                with store.open_input_file(path) as file:
+                    for lines in _lines(file, block, min(block + per, size)):
+                        for row in split.add(lines, [i for i, x in enumerate(lines) if x[:1] == "#" and _HEADER.match(x)]):
+                            rows.append(row)
+                            n += len(row[-1]) + 256
+                if split.lines:
                     rows.append(split.piece(True))
-                split = _Split(paths[a], blocks[a], batch.column(3)[a].as_py())
-            rows += split.add(lines.slice(a, b - a).to_pylist(), header[a:b].nonzero()[0].tolist())
+                    n += len(rows[-1][-1]) + 256
+                if n > TOGETHER:
+                    yield passed(rows)
+                    rows, n = [], 0
         if rows:
             yield passed(rows)
-    if split is not None:
-        yield passed([split.piece(True)])
+
+    return run
 
 
 def _breadcrumb(heads: list[Column]) -> Column:
@@ -92,14 +131,16 @@ def file_chunks(spark: SparkSession, workspace: str, folder: str = "memory") ->
     Files of any size are read by as many tasks as they have splits; a section is a row, however long. Names that begin with ``_`` or ``.`` are left out, as Spark's reader leaves them out, and
     bytes that are not UTF-8 are replaced; ``scan`` has both rules.
     """
-    text = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(f"{workspace}/{folder}")
-    meta = F.col("_metadata")
-    # paths come as URIs, with the file system's name
-    plain_path = F.regexp_replace(F.url_decode(F.replace(meta["file_path"], F.lit("+"), F.lit("%2B"))), "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    top = spark._jvm.org.apache.hadoop.fs.Path(qualified(spark, workspace)).toUri().getPath().rstrip("/")
-    path = F.substring(plain_path, len(top) + 2, 1 << 20)
-    lines = text.select("value", path.alias("path"), meta["file_block_start"].alias("block"), (meta["file_block_length"] >= meta["file_size"]).alias("whole"))
-    pieces = lines.mapInArrow(_pieces, PIECES)
+    uri = qualified(spark, f"{workspace}/{folder}")
+    _, top = tree.opened(uri)
+    below = F.substring("path", len(top) + 2, 1 << 20)
+    shown = ~F.exists(F.split(below, "/"), lambda x: x.startswith(".") | (x.startswith("_") & ~x.contains("=")))
+    per = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    found = tree.names(spark, uri).where(shown & (F.col("size") > 0))
+    splits = found.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(per).cast("long"))).alias("block"), "size", F.lit(per).cast("long").alias("per"))
+    pieces = splits.repartition(4 * spark.sparkContext.defaultParallelism, "path", "block").mapInArrow(_pieces(uri), PIECES)
+    # cut once: what follows takes the pieces several times
+    pieces = keep(pieces.withColumn("path", F.substring("path", len(top) - len(folder.strip("/")) + 1, 1 << 20)))
     heads = ["h1", "h2", "h3"]
     plain = pieces.where("whole").select("path", "begin", "end", "text", *heads)
     parts = pieces.where("not whole")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +15,9 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 #: Bytes of contents that a task passes on together.
 TOGETHER = 16 << 20
 LISTED = "path string, mtime double, size long"
+#: Names that the task which lists a folder passes on together.
+NAMES = 4096
+Found = namedtuple("Found", "path size mtime_ns")
 
 
 def opened(uri: str) -> tuple[stores.FileSystem, str]:
@@ -21,20 +26,53 @@ def opened(uri: str) -> tuple[stores.FileSystem, str]:
     return store, path.rstrip("/")
 
 
-def listed(uri: str) -> Iterator[stores.FileInfo]:
-    """All files named *.md below a folder, whatever their and their folders' names begin with. A missing folder has none."""
+def listed(uri: str) -> Iterator[Found]:
+    """All files named *.md below a folder, whatever their and their folders' names begin with. A missing folder has none.
+
+    One folder is listed after the other; a local one comes entry by entry, of other stores Arrow gives a folder's entries at once.
+    """
     store, path = opened(uri)
-    for info in store.get_file_info(stores.FileSelector(path, allow_not_found=True, recursive=True)):
-        if info.type == stores.FileType.File and info.base_name.endswith(".md"):
-            yield info
+    todo = [path]
+    while todo:
+        folder = todo.pop()
+        for entry in _local(folder) if isinstance(store, stores.LocalFileSystem) else store.get_file_info(stores.FileSelector(folder, allow_not_found=True)):
+            if isinstance(entry, stores.FileInfo):
+                if entry.type == stores.FileType.Directory:
+                    todo.append(entry.path)
+                elif entry.type == stores.FileType.File and entry.base_name.endswith(".md"):
+                    yield Found(entry.path, entry.size, entry.mtime_ns)
+            elif entry.is_dir():
+                todo.append(f"{folder}/{entry.name}")
+            elif entry.name.endswith(".md") and entry.is_file():
+                known = entry.stat()
+                yield Found(f"{folder}/{entry.name}", known.st_size, known.st_mtime_ns)
+
+
+def _local(folder: str) -> Iterator[os.DirEntry]:
+    try:
+        with os.scandir(folder or "/") as entries:
+            yield from entries
+    except FileNotFoundError:
+        return
 
 
 def _list(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Found] = []
+
+        def passed() -> pa.RecordBatch:
+            columns = [pa.array([i.path for i in held], pa.string()), pa.array([i.mtime_ns / 1e9 for i in held], pa.float64()), pa.array([i.size for i in held], pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["path", "mtime", "size"])
+
         for batch in batches:
             for _ in range(batch.num_rows):
-                found = list(listed(uri))
-                yield pa.RecordBatch.from_arrays([pa.array([i.path for i in found], pa.string()), pa.array([i.mtime_ns / 1e9 for i in found], pa.float64()), pa.array([i.size for i in found], pa.int64())], names=["path", "mtime", "size"])
+                for info in listed(uri):
+                    held.append(info)
+                    if len(held) == NAMES:
+                        yield passed()
+        if held:
+            yield passed()
 
     return run
 
@@ -43,6 +81,7 @@ def _read(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = opened(uri)
         held: list[tuple] = []
+        n_bytes = 0
 
         def passed() -> pa.RecordBatch:
             path, content, mtime, size = zip(*held, strict=True)
@@ -54,32 +93,43 @@ def _read(uri: str):
                 with store.open_input_stream(path) as file:
                     content = file.read()
                 held.append((path, content, mtime, len(content)))
-                if sum(h[3] for h in held) >= TOGETHER:
+                n_bytes += len(content)
+                if n_bytes >= TOGETHER or len(held) == NAMES:
                     yield passed()
+                    n_bytes = 0
         if held:
             yield passed()
 
     return run
 
 
+def names(spark: SparkSession, uri: str) -> DataFrame:
+    """path (in the store), mtime (epoch seconds), size of every *.md file below a folder, listed by one task."""
+    return spark.range(0, 1, 1, 1).mapInArrow(_list(uri), LISTED)
+
+
 def files(spark: SparkSession, uri: str, tasks: int | None = None) -> DataFrame:
     """path (in the store), content (binary), mtime (epoch seconds), size of every *.md file below a folder.
 
     One task lists the folder, and the files are dealt over ``tasks`` others (by default four a core), which read them; the driver sees neither names nor contents.
     """
-    names = spark.range(0, 1, 1, 1).mapInArrow(_list(uri), LISTED)
-    dealt = names.repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "path")
+    dealt = names(spark, uri).repartition(tasks or 4 * spark.sparkContext.defaultParallelism, "path")
     return dealt.mapInArrow(_read(uri), "path string, content binary, mtime double, size long")
 
 
 def _write(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = opened(uri)
+        made: set[str] = set()
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store.create_dir(f"{top}/{name}".rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{top}/{name}") as file:
-                    file.write(content)
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                where = f"{top}/{name.as_py()}"
+                folder = where.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made = {*made, folder} if len(made) < NAMES else {folder}
+                with store.open_output_stream(where) as file:
+                    file.write(content.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return run
