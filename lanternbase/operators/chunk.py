@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternbase.functions.text import trim
 
+_HEADER = re.compile("^#{1,3} ", re.MULTILINE)
+#: Characters of sections that a task passes on together.
+TOGETHER = 4 << 20
+_SECTIONS = "path string, begin int, end int, h1 string, h2 string, h3 string, text string"
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
@@ -21,27 +30,51 @@ def embedding_input(context: Column, text: Column) -> Column:
     return F.when(context == "", text).otherwise(F.concat(context, F.lit("\n\n"), text))
 
 
+def sections(content: str) -> Iterator[tuple]:
+    """First and last line (from 1), the header lines of the three levels that hold for it, and text of each section."""
+    starts = [m.start() for m in _HEADER.finditer(content)]
+    bounds = [*([0] if not starts or starts[0] else []), *starts, len(content)]
+    heads: list[str | None] = [None, None, None]
+    line = 1
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if a == b:
+            continue
+        text = content[a:b]
+        if found := _HEADER.match(text):
+            level = found.end() - 1
+            heads = [*heads[: level - 1], text.split("\n", 1)[0], *[None] * (3 - level)]
+        n = text.count("\n") + (not text.endswith("\n"))
+        yield line, line + n - 1, *heads, text.replace("\r\n", "\n")
+        line += n
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+
+    def passed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in _SECTIONS.split(", ")])
+
+    rows, n = [], 0
+    for batch in batches:
+        for path, content in zip(batch.column(0), batch.column(1), strict=True):
+            for row in sections(content.as_py() or ""):
+                rows.append((path.as_py(), *row))
+                n += len(row[-1]) + 128
+            if n >= TOGETHER:
+                yield passed(rows)
+                rows, n = [], 0
+    if rows:
+        yield passed(rows)
+
+
 def chunks(files: DataFrame) -> DataFrame:
     """id, path, start_line, end_line, context, text of each section of ``files`` (path, content).
 
     A line of one to three # and a space begins a section, with its title in the breadcrumb; text before the first is a section of
-    its own. Line numbers start at 1 and count a section's blank lines; its text is trimmed, and blank sections go.
+    its own. Line numbers start at 1 and count a section's blank lines; its text is trimmed, and blank sections go. A file is cut where its row is:
+    nothing is shuffled, and no row is made of a line.
     """
-    lines = F.split("content", "\r?\n")
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rows = files.select("path", F.posexplode(lines).alias("pos", "line"))
-    rows = rows.withColumn("level", F.length(F.regexp_extract("line", "^(#{1,3}) ", 1)))
-    title = trim(F.regexp_replace("line", "^#+", ""))
-    upto = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heads = {f"h{k}": F.last(F.when(F.col("level") == k, F.struct("pos", title.alias("title"))), ignorenulls=True).over(upto) for k in (1, 2, 3)}
-    rows = rows.withColumns({"section": F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(upto)} | heads)
-    at = {k: F.coalesce(F.col(f"h{k}.pos"), F.lit(-1)) for k in (1, 2, 3)}
-    second = F.when(at[2] > at[1], F.col("h2.title"))
-    third = F.when((at[3] > at[1]) & (at[3] > at[2]), F.col("h3.title"))
-    rows = rows.select("path", "section", "pos", "line", F.concat_ws(" > ", "h1.title", second, third).alias("context"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
-    sections = rows.groupBy("path", "section").agg(
-        (F.min("pos") + 1).alias("start_line"), (F.max("pos") + 1).alias("end_line"), F.min("context").alias("context"), trim(joined).alias("text")
-    )
-    kept = sections.where("text <> ''")
+    rows = files.select("path", "content").mapInArrow(_cut, _SECTIONS)
+    context = F.concat_ws(" > ", *[trim(F.regexp_replace(h, "^#+", "")) for h in ("h1", "h2", "h3")])
+    kept = rows.select("path", F.col("begin").alias("start_line"), F.col("end").alias("end_line"), context.alias("context"), trim(F.col("text")).alias("text")).where("text <> ''")
     return kept.select(chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("text")).alias("id"), "path", "start_line", "end_line", "context", "text")

@@ -24,39 +24,101 @@ SPAN_BITS = 6
 BLOCKS = "term string, span long, n int, top_tfs array<int>, top_dls array<int>, docs array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
 #: A file takes a term's blocks of as many neighbouring spans, as a power of two.
 TOGETHER_BITS = 14
+#: What is shuffled: a row for a term's postings in a slice of documents, as the numbers less that of the first span, counts, lengths and positions, 32 bits each.
+_PACKED = "term string, part long, span long, n int, packed binary"
+#: Tokens of a slice of documents, about, and bytes of packed rows that are made blocks together.
+SLICE, UNPACKED = 1 << 18, 8 << 20
+#: Bytes of stored texts, compressed, whose postings a partition sorts: they take some ten times that in memory.
+PARTITION = 8 << 20
 #: Terms or spans that go into a filter as literals; more are joined.
 LITERALS = 1000
 #: Spans with the highest bounds whose scores set the threshold, for each result asked for.
 FIRST = 0.5
 
 
-def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents (number ascending, tokens). Documents of a span that two batches share make a block in each."""
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new))
+
+
+def _runs(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of some lengths, one after the other."""
+    return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _packed(doc: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch | None:
+    lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = tokens.flatten().dictionary_encode()
+    if not len(flat):
+        return None
+    code, row, pos = flat.indices.to_numpy(), np.repeat(np.arange(len(doc), dtype=np.int32), lengths), _runs(lengths).astype(np.int32)
+    # tokens by term; documents and positions keep their order
+    order = np.argsort(code, kind="stable")
+    code, row, pos = code[order], row[order], pos[order]
+    first = _starts(code, row)
+    tf = np.diff(np.append(first, len(code)))
+    code, row = code[first], row[first]
+    begin = _starts(code, doc[row] >> (SPAN_BITS + TOGETHER_BITS))
+    n = np.diff(np.append(begin, len(code)))
+    span, occurrences = doc[row[begin]] >> SPAN_BITS, np.add.reduceat(tf, begin)
+    sizes = 3 * n + occurrences
+    at = np.cumsum(sizes) - sizes
+    data, place = np.empty(int(sizes.sum()), np.int32), np.repeat(at, n) + _runs(n)
+    data[place] = doc[row] - np.repeat(span << SPAN_BITS, n)
+    data[place + np.repeat(n, n)] = tf
+    data[place + 2 * np.repeat(n, n)] = lengths[row]
+    data[np.repeat(at + 3 * n, occurrences) + _runs(occurrences)] = pos
+    ends = np.append(4 * at, 4 * len(data)).astype(np.int32)
+    binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    columns = [flat.dictionary.take(pa.array(code[begin])), pa.array(span >> TOGETHER_BITS), pa.array(span), pa.array(n.astype(np.int32)), binary]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings of documents (number ascending, tokens), by slices of about SLICE tokens."""
     for batch in batches:
-        doc = batch.column(0).to_numpy()
-        tokens = batch.column(1)
-        lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = tokens.flatten().dictionary_encode()
-        if not len(flat):
-            continue
-        code, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(doc)), lengths)
-        pos = (np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        # tokens by term; documents and positions keep their order
-        order = np.argsort(code, kind="stable")
-        code, row, pos = code[order], row[order], pos[order]
-        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])))
-        tf = np.diff(np.append(first, len(code))).astype(np.int32)
-        code, row = code[first], row[first]
-        span = doc[row] >> SPAN_BITS
-        block = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (span[1:] != span[:-1])))
-        n = np.diff(np.append(block, len(code))).astype(np.int32)
-        dl = lengths[row].astype(np.int32)
-        ends = pa.array(np.append(block, len(code)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (doc[row], tf, dl)]
-        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(pos)).astype(np.int32)), pa.array(pos))
-        tops = [pa.ListArray.from_arrays(*map(pa.array, x)) for x in _tops(np.repeat(np.arange(len(n)), n), tf, dl, len(n))]
-        columns = [flat.dictionary.take(pa.array(code[block])), pa.array(span[block]), pa.array(n), *tops, *lists, pa.ListArray.from_arrays(ends, places)]
-        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+        upto = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+            made = _packed(batch.column(0).slice(at, stop - at).to_numpy(), batch.column(1).slice(at, stop - at))
+            if made is not None:
+                yield made
+            at = stop
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed rows. Documents of a span that two slices share make a block in each."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + UNPACKED, "right")))
+            yield _unpacked(batch.slice(at, stop - at))
+            at = stop
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32)
+    first, n = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
+    sizes = pc.binary_length(batch.column(4)).to_numpy().astype(np.int64) // 4
+    at = np.cumsum(sizes) - sizes
+    place = np.repeat(at, n) + _runs(n)
+    doc = data[place] + np.repeat(first << SPAN_BITS, n)
+    tf, dl = data[place + np.repeat(n, n)], data[place + 2 * np.repeat(n, n)]
+    pos = data[np.repeat(at + 3 * n, sizes - 3 * n) + _runs(sizes - 3 * n)]
+    row, span = np.repeat(np.arange(len(n)), n), doc >> SPAN_BITS
+    block = _starts(row, span)
+    count = np.diff(np.append(block, len(doc)))
+    ends = pa.array(np.append(block, len(doc)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (doc, tf, dl)]
+    places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf, dtype=np.int64)).astype(np.int32)), pa.array(pos))
+    tops = [pa.ListArray.from_arrays(*map(pa.array, x)) for x in _tops(np.repeat(np.arange(len(count)), count), tf, dl, len(count))]
+    columns = [batch.column(0).take(pa.array(row[block])), pa.array(span[block]), pa.array(count.astype(np.int32)), *tops, *lists, pa.ListArray.from_arrays(ends, places)]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
 
 
 def _tops(block: np.ndarray, tf: np.ndarray, dl: np.ndarray, n_blocks: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -70,15 +132,17 @@ def _tops(block: np.ndarray, tf: np.ndarray, dl: np.ndarray, n_blocks: int) -> l
     return [(offsets, tf[kept]), (offsets, dl[kept])]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of ``docs`` (doc_no, text), whose numbers ascend within each partition. Nothing is shuffled."""
-    return docs.select("doc_no", document_tokens(F.col("text")).alias("tokens")).mapInArrow(_inner, BLOCKS)
+def blocks(docs: DataFrame, partitions: int) -> DataFrame:
+    """Blocks of ``docs`` (doc_no, text), whose numbers ascend within each partition: sorted by term and span, those of a term and 2 ** TOGETHER_BITS spans in one partition."""
+    rows = docs.select("doc_no", document_tokens(F.col("text")).alias("tokens")).mapInArrow(_pack, _PACKED)
+    return rows.repartition(partitions, "term", "part").sortWithinPartitions("term", "span").mapInArrow(_unpack, BLOCKS)
 
 
-def write(docs: DataFrame, path: str) -> None:
-    """Writes the blocks of ``docs``, each file sorted by term and span, with the terms' Bloom filters. The blocks of a term that many documents have go to several files."""
-    made = blocks(docs)
-    writer = made.repartition("term", F.shiftright("span", TOGETHER_BITS)).sortWithinPartitions("term", "span").write
+def write(docs: DataFrame, path: str, n_bytes: int = 0) -> None:
+    """Writes the blocks of ``docs``, each file sorted by term and span, with the terms' Bloom filters. The blocks of a term that many documents have go to several files, and there are more
+    files where ``n_bytes``, of the stored texts, are many: a task's sort keeps its size."""
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION))
+    writer = blocks(docs, partitions).write
     writer.option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.writer.version", "v2").parquet(path)
 
 

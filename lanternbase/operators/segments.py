@@ -19,7 +19,7 @@ from lanternbase.functions.text import document_tokens
 from lanternbase.operators import index, postings
 from lanternbase.operators.chunk import chunks, embedding_input, sha256
 from lanternbase.sources import commits
-from lanternbase.sources.markdown import exists, remove
+from lanternbase.sources.markdown import exists, n_bytes, remove
 from lanternbase.sources.shared import shared_dir
 
 FILES = f"{schema.FILES}, deleted boolean"
@@ -101,7 +101,7 @@ class SegmentedIndex:
 
     def _keep(self, df: DataFrame) -> DataFrame:
         path = f"{self._drafts}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def search(self, queries: DataFrame, limit: int, prune: bool | None = None) -> DataFrame:
@@ -166,8 +166,10 @@ class SegmentedIndex:
                 return None
             rows = disk.join(again.where("status = 'indexed'").select("path"), "path", "left_semi").withColumn("deleted", F.lit(False))
             gone = again.where("status = 'deleted'").select("path", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("mtime"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("deleted"))
-            made = chunks(files.join(rows.select("path"), "path", "left_semi").select("path", "content"))
-            made = made.withColumn("input", embedding_input(F.col("context"), F.col("text"))).drop("context")
+            # contents meet the paths only where some files change and others stay
+            n = again.where("status = 'indexed'").count()
+            some = files if n == told["indexed"] + told["skipped"] else files.join(rows.select("path"), "path", "left_semi") if n else files.limit(0)
+            made = chunks(some.select("path", "content"))
             return {"segments": self._extended(segments, rows.unionByName(gone), made, model, embed, known)}
 
         commits.transact(self.spark, self.root, change)
@@ -175,7 +177,7 @@ class SegmentedIndex:
 
     def apply(self, files: DataFrame, made: DataFrame, model: str = "") -> None:
         """Adds one segment: ``files`` (path, hash, mtime, size, deleted) replace all chunks of their paths by those of ``made`` (id, path, start_line, end_line, text)."""
-        commits.transact(self.spark, self.root, lambda state: {"segments": self._extended(state.get("segments", []), files, made.withColumn("input", F.col("text")), model, None, [])})
+        commits.transact(self.spark, self.root, lambda state: {"segments": self._extended(state.get("segments", []), files, made.withColumn("context", F.lit("")), model, None, [])})
 
     def _extended(self, segments: list[dict], files: DataFrame, made: DataFrame, model: str, embed: Callable[[Column], Column] | None, known: list[dict]) -> list[dict]:
         """The segments with one more, written now; small ones merged."""
@@ -201,9 +203,9 @@ class SegmentedIndex:
 
     def _write_chunks(self, rows: DataFrame, where: str) -> dict:
         """Writes chunks with their numbers, which ascend with the ids of each file, and their postings. Only the text is read again, for its tokens."""
-        rows.sortWithinPartitions("id").withColumn("doc_no", F.monotonically_increasing_id()).write.option("parquet.block.size", ROW_GROUP).parquet(f"{where}/chunks")
+        rows.sortWithinPartitions("id").withColumn("doc_no", F.monotonically_increasing_id()).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{where}/chunks")
         stored = self.spark.read.schema(CHUNKS).parquet(f"{where}/chunks")
-        postings.write(stored.select("doc_no", "text"), f"{where}/postings")
+        postings.write(stored.select("doc_no", "text"), f"{where}/postings", n_bytes(self.spark, f"{where}/chunks"))
         size = F.size(F.coalesce("embedding", F.array().cast("array<float>")))
         row = stored.agg(F.count("*").alias("docs"), F.min(F.when(size > 0, size)).alias("least"), F.max(size).alias("width")).first()
         if row["least"] and row["least"] != row["width"]:
@@ -220,12 +222,16 @@ class SegmentedIndex:
 
     def _embedded(self, made: DataFrame, model: str, embed: Callable[[Column], Column], known: list[dict], where: str) -> DataFrame:
         """``made`` with embeddings: those the index has, and new ones of the other inputs, each asked for once and written to ``where``."""
-        made = self._keep(made.withColumn("key", sha256(F.concat_ws("\n", F.lit(model), F.col("input")))))
-        stored = self._read(known, "vectors", VECTORS).where("vector is not null").select("key", "vector").dropDuplicates(["key"])
-        asked = made.select("key", "input").dropDuplicates(["key"]).join(stored, "key", "left_anti")
-        asked.select("key", embed(F.col("input")).cast("array<float>").alias("vector")).write.parquet(where)
+        asking = embedding_input(F.col("context"), F.col("text"))
+        made = self._keep(made.withColumn("key", F.unhex(sha256(F.concat_ws("\n", F.lit(model), asking)))))
+        stored = self._read(known, "vectors", VECTORS).where("vector is not null").select(F.unhex("key").alias("key"), "vector").dropDuplicates(["key"])
+        # keys alone tell which inputs are new; inputs are shuffled only if there are any
+        new = self._keep(made.select("key").distinct().join(stored.select("key"), "key", "left_anti"))
+        asked = made.select("key", asking.alias("input"))
+        asked = asked.limit(0) if new.isEmpty() else asked.join(new, "key", "left_semi").dropDuplicates(["key"])
+        asked.select(F.lower(F.hex("key")).alias("key"), embed(F.col("input")).cast("array<float>").alias("vector")).write.parquet(where)
         # failed ones are written as null: a filter on the new column would have the model asked twice
-        vectors = stored.unionByName(self.spark.read.schema(VECTORS).parquet(where).where("vector is not null"))
+        vectors = stored.unionByName(self.spark.read.schema(VECTORS).parquet(where).where("vector is not null").select(F.unhex("key").alias("key"), "vector"))
         return made.join(vectors.withColumnRenamed("vector", "embedding"), "key", "left")
 
     # merging

@@ -24,6 +24,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def n_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of a folder and below."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """A path with its file system's name, as a URI."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
