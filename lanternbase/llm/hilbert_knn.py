@@ -5,8 +5,8 @@ shifts them by a random offset and orders them along a Hilbert curve. The orderi
 by Spark; a prefix sum over the partitions' row counts gives every entry its place, and places are cut into blocks of
 ``WINDOW`` entries. A query is compared with the blocks around its place on every curve by exact inner products, and the curves' best
 are merged. How many blocks each way is measured, not fixed: ``PROBES`` queries are answered exactly by one pass over the table, and
-the reach is the least at which ``TARGET`` of their true neighbours lie near enough on a curve (one block at least). Where that
-reach would compare a query with as many entries as the table has, the table is compared whole instead, and the result is exact. A vector longer than another can have a larger
+the reach is the least at which ``TARGET`` of their true neighbours lie near enough on a curve (one block at least). Up to ``STEP`` blocks make one
+group, so that a far reach copies a query to few of them; every table is searched along the curves, whatever its size. A vector longer than another can have a larger
 inner product at a wider angle; so the orderings use the vectors with one coordinate more that makes them all of the
 greatest length, and the queries with zero there and scaled to that length.
 
@@ -28,8 +28,8 @@ from .common import only, stash, width
 K, CURVES, AXES, BITS, WINDOW, SEED = 20, 16, 6, 8, 2048, 20
 #: Queries whose exact neighbours set the reach, and the share of those that it must cover: above the promised 0.9 by a margin for the sample.
 PROBES, TARGET = 128, 0.95
-#: Vectors and queries of one task where the table is compared whole.
-WHOLE, WHOLE_ASKS = 32768, 8192
+#: Blocks of one group, at most: a group is compared in one task.
+STEP = 16
 #: Classes, at most, from which the centre and the spread of the projections are taken: those of the least hashes.
 SAMPLE = 4096
 NEAR = "query long, cand long, score double"
@@ -205,16 +205,6 @@ def reach_of(spot: DataFrame, data: DataFrame, k: int, window: int, probes: int
     return max(1, -(-int(far[min(len(far) - 1, int(np.ceil(target * len(far))))]) // window)) if len(far) else 1
 
 
-def _whole(data: DataFrame, rows: int, per: int, asks: int) -> DataFrame:
-    """Every query with every vector, dealt out as pairs of blocks: group, id, asks, vector."""
-    blocks, parts = -(-rows // per), max(1, -(-data.where("asks").count() // asks))
-    at = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    mine = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts))
-    vectors = data.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), at.alias("block"), "id", F.lit(False).alias("asks"), "vector")
-    queries = data.where("asks").select(mine.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", F.lit(True).alias("asks"), "vector")
-    return vectors.select(F.col("part").cast("int").alias("curve"), F.col("block").cast("long"), "id", "asks", "vector").union(queries.select(F.col("part").cast("int"), F.col("block").cast("long"), "id", "asks", "vector"))
-
-
 def neighbours(vectors: DataFrame, every: int = 20, k: int = K, curves: int = CURVES, axes: int = AXES, bits: int = BITS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of each row of ``vectors`` (vec_id, embedding) whose id ``every`` divides.
 
@@ -251,15 +241,14 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = K, curves: int = CU
     base = counts.select("curve", "part", (F.coalesce(F.sum("n").over(upto), F.lit(0)) - F.col("from")).alias("base"), F.sum("n").over(Window.partitionBy("curve")).alias("all"))
     spot = ordered.withColumn("part", part).join(F.broadcast(base), ["curve", "part"]).select("curve", "id", "asks", "all", (F.col("base") + row).alias("spot"))
     spot = stash(spot)
-    rows, reach = data.count(), reach_of(spot, data, k, window)
-    if reach > 1 and curves * (2 * reach + 1) * window >= rows:
-        laid = _whole(data, rows, WHOLE, WHOLE_ASKS)
-    else:
-        block = F.floor(F.col("spot") / window)
-        near = F.when(F.col("asks"), F.sequence(block - reach, block + reach)).otherwise(F.array(block))
-        homes = spot.select("id", "asks", "curve", "all", F.explode(near).alias("block")).where((F.col("block") >= 0) & (F.col("block") * window < F.col("all")))
-        packed = homes.groupBy("id", "asks").agg(F.collect_list(F.struct("curve", "block")).alias("homes"))
-        laid = packed.join(data.select("id", "vector"), "id").select("id", "asks", "vector", F.explode("homes").alias("home")).select("home.curve", "home.block", "id", "asks", "vector")
+    reach = reach_of(spot, data, k, window)
+    # groups of ``step`` blocks: those within ``-(-reach // step)`` of a query's own hold all blocks within its reach
+    step = min(reach, STEP)
+    far, block = -(-reach // step), F.floor(F.col("spot") / (window * step))
+    near = F.when(F.col("asks"), F.sequence(block - far, block + far)).otherwise(F.array(block))
+    homes = spot.select("id", "asks", "curve", "all", F.explode(near).alias("block")).where((F.col("block") >= 0) & (F.col("block") * (window * step) < F.col("all")))
+    packed = homes.groupBy("id", "asks").agg(F.collect_list(F.struct("curve", "block")).alias("homes"))
+    laid = packed.join(data.select("id", "vector"), "id").select("id", "asks", "vector", F.explode("homes").alias("home")).select("home.curve", "home.block", "id", "asks", "vector")
     groups = laid.repartition(2 * n, "curve", "block").groupBy("curve", "block")
     found = groups.applyInArrow(_compare(k + 1), NEAR).groupBy("query", "cand").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "cand")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lanternbase.llm.bytesops import PAD, pack_ints, pack_sorted, unpack_ints, unpack_sorted
 from lanternbase.llm.hilbert_knn import hilbert, neighbours
+from lanternbase.llm.hilbert_knn import reach_of as _reach_of
 from lanternbase.llm.components import forest
 from lanternbase.llm.image_copies import edited, features, image_copies, linked, read_pgm, rendered, resized, write_pgm
 from lanternbase.llm.ngram_lm import ALPHA, MU, cross_entropy_difference
@@ -266,6 +267,34 @@ def test_neighbours_recall_does_not_fall_with_rows(spark, n, curves):
     assert len(hits) == n // 100 and np.mean(hits) / 10 >= 0.9
 
 
+def test_neighbours_take_the_curves_at_every_size(spark, monkeypatch):
+    """A reach that covers the table keeps to the blocks of the curves, in groups of a bounded number of them."""
+    from lanternbase.llm import hilbert_knn
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen, compare = [], hilbert_knn._compare
+    monkeypatch.setattr(hilbert_knn, "STEP", 2)
+    monkeypatch.setattr(hilbert_knn, "reach_of", lambda *a, **k: seen.append(_reach_of(*a, **k)) or seen[-1])
+
+    def counting(k):
+        run = compare(k)
+
+        def noted(table):
+            assert len(set(table.column("curve").to_pylist())) == 1 and table.column("asks").to_pylist().count(False) <= 2 * 32
+            return run(table)
+
+        return noted
+
+    monkeypatch.setattr(hilbert_knn, "_compare", counting)
+    got: dict = {}
+    for r in neighbours(df, every=100, k=10, window=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, x @ x[q]))[:10].tolist())) for q in got]
+    assert seen[0] > 2 and len(hits) == 30 and np.mean(hits) / 10 >= 0.9
+
+
 @pytest.fixture(scope="module")
 def pieces():
     with open(piece_path(), "rb") as f:
