@@ -77,7 +77,7 @@ class Memory:
 
     def search(self, text: str, limit: int, as_of: Column | None = None) -> DataFrame:
         c = self.config
-        return hybrid.search(self.queries([text]), self.chunks(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer, self.store.search, self._shown)
+        return hybrid.search(self.queries([text]), self.store.embedded(), limit, as_of, c.decay_half_life_days, c.semantic_weight, c.lexical_weight, self.scorer, self.store.search, self._shown)
 
     def search_for_context(self, text: str, as_of: Column | None = None) -> DataFrame:
         c = self.config

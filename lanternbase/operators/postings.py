@@ -24,10 +24,10 @@ SPAN_BITS = 6
 BLOCKS = "term string, span long, n int, top_tfs array<int>, top_dls array<int>, docs array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
 #: A file takes a term's blocks of as many neighbouring spans, as a power of two.
 TOGETHER_BITS = 14
-#: What is shuffled: a row for a term's postings in a slice of documents, as the numbers less that of the first span, counts, lengths and positions, 32 bits each.
-_PACKED = "term string, part long, span long, n int, packed binary"
+#: What is shuffled: a row for a term's postings in a slice of documents: the gaps between numbers from the first span on, counts, lengths and gaps between positions, seven bits a byte.
+_PACKED = "term string, span long, n int, packed binary"
 #: Tokens of a slice of documents, about, and bytes of packed rows that are made blocks together.
-SLICE, UNPACKED = 1 << 18, 8 << 20
+SLICE, UNPACKED = 1 << 20, 2 << 20
 #: Bytes of stored texts, compressed, whose postings a partition sorts: they take some ten times that in memory.
 PARTITION = 8 << 20
 #: Terms or spans that go into a filter as literals; more are joined.
@@ -49,6 +49,43 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _gaps(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The differences of neighbours; the first of each run, whose places are ``begin``, stays."""
+    gaps = np.diff(x, prepend=0)
+    gaps[begin] = x[begin]
+    return gaps
+
+
+def _sums(gaps: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """What ``_gaps`` was made of."""
+    total = np.cumsum(gaps, dtype=np.int64)
+    return total - np.repeat(total[begin] - gaps[begin], lengths)
+
+
+def _to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 to 2 ** 35 - 1 as bytes of seven bits, the lowest first and the last one below 128; and how many bytes each takes."""
+    many = np.ones(len(values), np.int8)
+    for bits in (7, 14, 21, 28):
+        many += values >= 1 << bits
+    at = np.cumsum(many, dtype=np.int64) - many
+    data = np.empty(int(many.sum(dtype=np.int64)), np.uint8)
+    for k in range(int(many.max(initial=0))):
+        some = np.flatnonzero(many > k)
+        data[at[some] + k] = ((values[some] >> 7 * k) & 127) | ((many[some] > k + 1) << 7)
+    return data, many
+
+
+def _from_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that ``_to_bytes`` made bytes, and where each one's bytes end."""
+    end = np.flatnonzero(data < 128) + 1
+    begin = np.append(0, end[:-1]) if len(end) else end
+    many, values = end - begin, (data[begin] & 127).astype(np.int64)
+    for k in range(1, int(many.max(initial=0))):
+        some = np.flatnonzero(many > k)
+        values[some] |= (data[begin[some] + k] & 127).astype(np.int64) << 7 * k
+    return values, end
+
+
 def _packed(doc: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch | None:
     lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
@@ -66,14 +103,15 @@ def _packed(doc: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch | None:
     span, occurrences = doc[row[begin]] >> SPAN_BITS, np.add.reduceat(tf, begin)
     sizes = 3 * n + occurrences
     at = np.cumsum(sizes) - sizes
-    data, place = np.empty(int(sizes.sum()), np.int32), np.repeat(at, n) + _runs(n)
-    data[place] = doc[row] - np.repeat(span << SPAN_BITS, n)
-    data[place + np.repeat(n, n)] = tf
-    data[place + 2 * np.repeat(n, n)] = lengths[row]
-    data[np.repeat(at + 3 * n, occurrences) + _runs(occurrences)] = pos
-    ends = np.append(4 * at, 4 * len(data)).astype(np.int32)
+    values, place = np.empty(int(sizes.sum()), np.int32), np.repeat(at, n) + _runs(n)
+    values[place] = _gaps(doc[row] - np.repeat(span << SPAN_BITS, n), begin)
+    values[place + np.repeat(n, n)] = tf
+    values[place + 2 * np.repeat(n, n)] = lengths[row]
+    values[np.repeat(at + 3 * n, occurrences) + _runs(occurrences)] = _gaps(pos, first)
+    data, many = _to_bytes(values)
+    ends = np.append(0, np.cumsum(np.add.reduceat(many, at, dtype=np.int64))).astype(np.int32)
     binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    columns = [flat.dictionary.take(pa.array(code[begin])), pa.array(span >> TOGETHER_BITS), pa.array(span), pa.array(n.astype(np.int32)), binary]
+    columns = [flat.dictionary.take(pa.array(code[begin])), pa.array(span), pa.array(n.astype(np.int32)), binary]
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
@@ -93,7 +131,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of packed rows. Documents of a span that two slices share make a block in each."""
     for batch in batches:
-        upto = np.cumsum(pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(batch):
             stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + UNPACKED, "right")))
@@ -102,14 +140,16 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    data = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int32)
-    first, n = batch.column(2).to_numpy(), batch.column(3).to_numpy().astype(np.int64)
-    sizes = pc.binary_length(batch.column(4)).to_numpy().astype(np.int64) // 4
-    at = np.cumsum(sizes) - sizes
+    values, end = _from_bytes(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8))
+    first, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
+    upto = np.searchsorted(end, np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64)), "right")
+    sizes = np.diff(upto, prepend=0)
+    at = upto - sizes
     place = np.repeat(at, n) + _runs(n)
-    doc = data[place] + np.repeat(first << SPAN_BITS, n)
-    tf, dl = data[place + np.repeat(n, n)], data[place + 2 * np.repeat(n, n)]
-    pos = data[np.repeat(at + 3 * n, sizes - 3 * n) + _runs(sizes - 3 * n)]
+    doc = _sums(values[place], np.cumsum(n) - n, n) + np.repeat(first << SPAN_BITS, n)
+    tf, dl = values[place + np.repeat(n, n)], values[place + 2 * np.repeat(n, n)].astype(np.int32)
+    pos = _sums(values[np.repeat(at + 3 * n, sizes - 3 * n) + _runs(sizes - 3 * n)], np.cumsum(tf) - tf, tf).astype(np.int32)
+    tf = tf.astype(np.int32)
     row, span = np.repeat(np.arange(len(n)), n), doc >> SPAN_BITS
     block = _starts(row, span)
     count = np.diff(np.append(block, len(doc)))
@@ -135,7 +175,7 @@ def _tops(block: np.ndarray, tf: np.ndarray, dl: np.ndarray, n_blocks: int) -> l
 def blocks(docs: DataFrame, partitions: int) -> DataFrame:
     """Blocks of ``docs`` (doc_no, text), whose numbers ascend within each partition: sorted by term and span, those of a term and 2 ** TOGETHER_BITS spans in one partition."""
     rows = docs.select("doc_no", document_tokens(F.col("text")).alias("tokens")).mapInArrow(_pack, _PACKED)
-    return rows.repartition(partitions, "term", "part").sortWithinPartitions("term", "span").mapInArrow(_unpack, BLOCKS)
+    return rows.repartition(partitions, "term", F.shiftright("span", TOGETHER_BITS)).sortWithinPartitions("term", "span").mapInArrow(_unpack, BLOCKS)
 
 
 def write(docs: DataFrame, path: str, n_bytes: int = 0) -> None:

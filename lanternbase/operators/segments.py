@@ -1,7 +1,8 @@
 """An index in segments: each update writes what changed, and a commit names the segments that count.
 
 A segment holds the changes of one update: ``files`` (paths that are new, changed or deleted), ``chunks`` (of the new and changed ones, numbered), ``postings`` (their blocks), ``dead`` (the
-numbers of the chunks in older segments that it replaces) and ``vectors`` (embeddings by the hash of model and input). Nothing that is written is changed. The bytes of an update
+numbers of the chunks in older segments that it replaces), ``vectors`` (embeddings by the hash of model and input, of all inputs that no older segment has) and ``embeddings`` (the same, by the
+chunks' numbers). Texts are written once and meet their vectors by number, so that no text is shuffled for them. Nothing that is written is changed. The bytes of an update
 follow the change; small segments are merged into larger ones, so that their number stays small and each chunk is rewritten a logarithmic number of times.
 """
 
@@ -23,17 +24,33 @@ from lanternbase.sources.markdown import exists, n_bytes, remove
 from lanternbase.sources.shared import shared_dir
 
 FILES = f"{schema.FILES}, deleted boolean"
-CHUNKS = f"{schema.CHUNKS}, doc_no long"
+CHUNKS = "id string, path string, start_line int, end_line int, model string, text string, context string, key string, dl int, doc_no long"
 DEAD = "segment string, doc_no long, dl int"
 VECTORS = "key string, vector array<float>"
+EMBEDDINGS = "id string, doc_no long, embedding array<float>"
 #: Segments of about one size that are merged together.
 FANOUT = 4
 #: Bytes of a row group of chunks, small for reads by number.
 ROW_GROUP = 4 << 20
+#: Paths or numbers that go to all tasks, to pick rows with texts or leave them out; where both are more, texts are shuffled.
+FEW = 1 << 18
 #: Chunks from which searches skip blocks, if they are not told.
 PRUNE_FROM = 1_000_000
 
 
+def _picked(rows: DataFrame, every: DataFrame, wanted: DataFrame, n_every: int, n: int, column: str) -> DataFrame:
+    """Those of ``rows``, which may hold texts, whose column is in ``wanted``: ``n`` of the ``n_every`` values of ``every``. No way of it sorts texts."""
+    if n == 0 or n == n_every:
+        return rows if n else rows.limit(0)
+    if n > FEW >= n_every - n:
+        return rows.join(every.select(column).join(wanted, column, "left_anti").hint("broadcast"), column, "left_anti")
+    return rows.join(wanted.select(column).hint("broadcast" if n <= FEW else "shuffle_hash"), column, "left_semi")
+
+
+def _columns(schema_: str) -> list[str]:
+    return [c.split()[0] for c in schema_.split(", ")]
+
+
 class SegmentedIndex:
     def __init__(self, spark: SparkSession, root: str, fanout: int = FANOUT):
         self.spark, self.root, self.fanout = spark, root.rstrip("/"), fanout
@@ -83,12 +100,31 @@ class SegmentedIndex:
         return self._files(self.state()).where("not deleted").drop("deleted")
 
     def _live(self, segments: list[dict]) -> DataFrame:
-        rows, dead = self._read(segments, "chunks", CHUNKS), self._dead(segments)
+        return self._living(self._read(segments, "chunks", CHUNKS), segments)
+
+    def _living(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
+        """Those of ``rows`` (segment, doc_no) whose chunk is not replaced."""
+        dead = self._dead(segments)
         return rows if dead is None else rows.join(dead.select("segment", "doc_no"), ["segment", "doc_no"], "left_anti")
 
+    def _vectors(self, segments: list[dict]) -> DataFrame:
+        """key (binary), vector: one of each key."""
+        return self._read(segments, "vectors", VECTORS).where("vector is not null").select(F.unhex("key").alias("key"), "vector").dropDuplicates(["key"])
+
     def chunks(self) -> DataFrame:
-        """The chunks of those files."""
-        return self._live(self.state()).select(*[c.split()[0] for c in schema.CHUNKS.split(", ")])
+        """The chunks of those files. Whoever reads embeddings beside texts has both shuffled; ``embedded`` shuffles nothing."""
+        segments = self.state()
+        rows = self._live(segments)
+        if any("embeddings" in s["tables"] for s in segments):
+            rows = rows.join(self._read(segments, "embeddings", EMBEDDINGS).select("segment", "doc_no", "embedding"), ["segment", "doc_no"], "left")
+        else:
+            rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+        return rows.select(*_columns(schema.CHUNKS))
+
+    def embedded(self) -> DataFrame:
+        """id, embedding of the chunks of those files that have one, as they are stored."""
+        segments = self.state()
+        return self._living(self._read(segments, "embeddings", EMBEDDINGS).where("embedding is not null"), segments).select("id", "embedding")
 
     def stats(self) -> tuple[int, float]:
         """Number of chunks and their mean length in tokens."""
@@ -137,9 +173,8 @@ class SegmentedIndex:
         """``found`` (with id, such as results of a search) with columns of their chunks: by the filter on ids that skips row groups, if the ids are few."""
         found = postings.small(found, self._keep)
         ids, segments = postings.few(found, "id"), self.state()
-        rows, dead = self._read(segments, "chunks", CHUNKS), self._dead(segments)
-        rows = rows if ids is None else rows.where(F.col("id").isin(ids))
-        rows = rows if dead is None else rows.join(dead.select("segment", "doc_no"), ["segment", "doc_no"], "left_anti")
+        rows = self._read(segments, "chunks", CHUNKS)
+        rows = self._living(rows if ids is None else rows.where(F.col("id").isin(ids)), segments)
         return found.join(rows.select("id", *columns), "id")
 
     # writing
@@ -155,20 +190,21 @@ class SegmentedIndex:
         def change(state: dict) -> dict | None:
             known = state.get("segments", [])
             segments = [] if force else known
-            disk = index.catalog(files)
+            disk = self._keep(index.catalog(files))
             changes = self._keep(index.diff(self._files(segments).where("not deleted"), disk))
             told.update(index.counts(changes).first().asDict())
             again = changes.where("status <> 'skipped'").select("path", "status")
             if embed is not None and segments:
-                failed = self._live(segments).where("embedding is null").select("path").distinct()
+                embedded = self._read(segments, "embeddings", EMBEDDINGS).where("embedding is not null").select("segment", "doc_no")
+                failed = self._live(segments).select("segment", "doc_no", "path").join(embedded, ["segment", "doc_no"], "left_anti").select("path").distinct()
                 again = again.unionByName(changes.where("status = 'skipped'").join(failed, "path", "left_semi").select("path", F.lit("indexed").alias("status")))
             if again.isEmpty() and not force:
                 return None
             rows = disk.join(again.where("status = 'indexed'").select("path"), "path", "left_semi").withColumn("deleted", F.lit(False))
             gone = again.where("status = 'deleted'").select("path", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("mtime"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("deleted"))
             # contents meet the paths only where some files change and others stay
-            n = again.where("status = 'indexed'").count()
-            some = files if n == told["indexed"] + told["skipped"] else files.join(rows.select("path"), "path", "left_semi") if n else files.limit(0)
+            indexed = again.where("status = 'indexed'").select("path")
+            some = _picked(files, disk, indexed, told["indexed"] + told["skipped"], indexed.count(), "path")
             made = chunks(some.select("path", "content"))
             return {"segments": self._extended(segments, rows.unionByName(gone), made, model, embed, known)}
 
@@ -183,17 +219,15 @@ class SegmentedIndex:
         """The segments with one more, written now; small ones merged."""
         name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         where = f"{self.root}/segments/{name}"
-        files.select(*[c.split()[0] for c in FILES.split(", ")]).write.parquet(f"{where}/files")
-        tables = ["files"]
-        if embed is None:
-            made = made.withColumn("embedding", F.lit(None).cast("array<float>"))
-        else:
-            made = self._embedded(made, model, embed, known, f"{where}/vectors")
-            tables.append("vectors")
-        rows = made.select("id", "path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), F.lit(model).alias("model"), "text", "embedding")
-        new = {"name": name, "tables": tables} | self._write_chunks(rows, where)
+        files.select(*_columns(FILES)).write.option("compression", "zstd").parquet(f"{where}/files")
+        key = F.lit(None).cast("string") if embed is None else sha256(F.concat_ws("\n", F.lit(model), embedding_input(F.col("context"), F.col("text"))))
+        lines = [F.col(c).cast("int").alias(c) for c in ("start_line", "end_line")]
+        rows = made.select("id", "path", *lines, F.lit(model).alias("model"), "text", "context", key.alias("key"))
+        new = {"name": name} | self._write_chunks(rows.withColumn("dl", F.size(document_tokens(F.col("text")))), where)
+        new["width"] = 0 if embed is None else self._write_embeddings(self._embedded(where, embed, segments, known), where)
+        tables = ["files", *([] if embed is None else ["vectors", "embeddings"])]
         changed = self.spark.read.schema(FILES).parquet(f"{where}/files").select("path")
-        gone = self._live(segments).join(changed, "path", "left_semi").withColumn("dl", F.size(document_tokens(F.col("text"))))
+        gone = self._live(segments).join(changed, "path", "left_semi")
         new |= self._write_dead(gone, where) if segments else {"dead_docs": 0, "dead_tokens": 0}
         new["tables"] = [*tables, "chunks", "postings", *(["dead"] if new["dead_docs"] else [])]
         widths = {s["width"] for s in [*segments, new] if s["width"]}
@@ -202,37 +236,46 @@ class SegmentedIndex:
         return self._merged([*segments, new])
 
     def _write_chunks(self, rows: DataFrame, where: str) -> dict:
-        """Writes chunks with their numbers, which ascend with the ids of each file, and their postings. Only the text is read again, for its tokens."""
+        """Writes chunks with their numbers, which ascend with the ids of each file, and their postings. Only the text is read again, for its terms."""
         rows.sortWithinPartitions("id").withColumn("doc_no", F.monotonically_increasing_id()).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{where}/chunks")
         stored = self.spark.read.schema(CHUNKS).parquet(f"{where}/chunks")
         postings.write(stored.select("doc_no", "text"), f"{where}/postings", n_bytes(self.spark, f"{where}/chunks"))
-        size = F.size(F.coalesce("embedding", F.array().cast("array<float>")))
-        row = stored.agg(F.count("*").alias("docs"), F.min(F.when(size > 0, size)).alias("least"), F.max(size).alias("width")).first()
+        row = stored.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+        return {"docs": row["docs"], "tokens": row["tokens"], "width": 0}
+
+    def _write_embeddings(self, vectors: DataFrame, where: str) -> int:
+        """Writes the embeddings of a segment's chunks by number, from ``vectors`` (key, vector); their width, 0 if there are none."""
+        mine = self.spark.read.schema(CHUNKS).parquet(f"{where}/chunks").select("id", "doc_no", F.unhex("key").alias("key"))
+        rows = mine.join(vectors.withColumnRenamed("vector", "embedding"), "key", "left").select(*_columns(EMBEDDINGS))
+        rows.write.option("compression", "zstd").parquet(f"{where}/embeddings")
+        size = F.size("embedding")
+        row = self.spark.read.schema(EMBEDDINGS).parquet(f"{where}/embeddings").where("embedding is not null").agg(F.min(F.when(size > 0, size)).alias("least"), F.max(size).alias("width")).first()
         if row["least"] and row["least"] != row["width"]:
             raise ValueError(f"embeddings of different widths: {[row['least'], row['width']]}")
-        counts = F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x))
-        tokens = self.spark.read.schema(postings.BLOCKS).parquet(f"{where}/postings").agg(counts).first()[0]
-        return {"docs": row["docs"], "tokens": tokens or 0, "width": row["width"] or 0}
+        return row["width"] or 0
 
     def _write_dead(self, rows: DataFrame, where: str) -> dict:
         """Writes segment, doc_no and dl (its number of tokens) of chunks that count no longer."""
-        rows.select(*[c.split()[0] for c in DEAD.split(", ")]).write.parquet(f"{where}/dead")
+        rows.select(*_columns(DEAD)).write.option("compression", "zstd").parquet(f"{where}/dead")
         row = self.spark.read.schema(DEAD).parquet(f"{where}/dead").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         return {"dead_docs": row["n"], "dead_tokens": row["tokens"]}
 
-    def _embedded(self, made: DataFrame, model: str, embed: Callable[[Column], Column], known: list[dict], where: str) -> DataFrame:
-        """``made`` with embeddings: those the index has, and new ones of the other inputs, each asked for once and written to ``where``."""
-        asking = embedding_input(F.col("context"), F.col("text"))
-        made = self._keep(made.withColumn("key", F.unhex(sha256(F.concat_ws("\n", F.lit(model), asking)))))
-        stored = self._read(known, "vectors", VECTORS).where("vector is not null").select(F.unhex("key").alias("key"), "vector").dropDuplicates(["key"])
-        # keys alone tell which inputs are new; inputs are shuffled only if there are any
-        new = self._keep(made.select("key").distinct().join(stored.select("key"), "key", "left_anti"))
-        asked = made.select("key", asking.alias("input"))
-        asked = asked.limit(0) if new.isEmpty() else asked.join(new, "key", "left_semi").dropDuplicates(["key"])
-        asked.select(F.lower(F.hex("key")).alias("key"), embed(F.col("input")).cast("array<float>").alias("vector")).write.parquet(where)
+    def _embedded(self, where: str, embed: Callable[[Column], Column], segments: list[dict], known: list[dict]) -> DataFrame:
+        """key, vector of the inputs of a segment's chunks: those the index has, and new ones of the other inputs, each asked for once and written. So are those that ``segments`` don't hold."""
+        stored = self.spark.read.schema(CHUNKS).parquet(f"{where}/chunks")
+        had = self._vectors(known)
+        # keys alone tell which inputs are new, and a number stands for each
+        mine = stored.groupBy(F.unhex("key").alias("key")).agg(F.min("doc_no").alias("doc_no"))
+        new = self._keep(mine.join(had.select("key"), "key", "left_anti").select("doc_no"))
+        asked = stored.select("doc_no", "key", embedding_input(F.col("context"), F.col("text")).alias("input"))
+        asked = _picked(asked, stored, new, stored.count(), new.count(), "doc_no")
         # failed ones are written as null: a filter on the new column would have the model asked twice
-        vectors = stored.unionByName(self.spark.read.schema(VECTORS).parquet(where).where("vector is not null").select(F.unhex("key").alias("key"), "vector"))
-        return made.join(vectors.withColumnRenamed("vector", "embedding"), "key", "left")
+        asked.select("key", embed(F.col("input")).cast("array<float>").alias("vector")).write.option("compression", "zstd").parquet(f"{where}/vectors")
+        if segments != known:
+            taken = had.join(mine.select("key"), "key", "left_semi")
+            taken.select(F.lower(F.hex("key")).alias("key"), "vector").write.mode("append").option("compression", "zstd").parquet(f"{where}/vectors")
+        written = self.spark.read.schema(VECTORS).parquet(f"{where}/vectors").where("vector is not null").select(F.unhex("key").alias("key"), "vector")
+        return had.unionByName(written) if segments == known else written
 
     # merging
 
@@ -248,17 +291,20 @@ class SegmentedIndex:
         where = f"{self.root}/segments/{name}"
         last = self._files(some)
         # a deletion counts as long as an older segment may hold the path
-        (last if older else last.where("not deleted")).write.parquet(f"{where}/files")
+        (last if older else last.where("not deleted")).write.option("compression", "zstd").parquet(f"{where}/files")
         rows = self._live(segments).where(F.col("segment").isin([s["name"] for s in some]))
-        new = {"name": name} | self._write_chunks(rows.select(*[c.split()[0] for c in schema.CHUNKS.split(", ")]), where)
+        new = {"name": name} | self._write_chunks(rows.drop("segment", "place", "doc_no"), where)
         new |= {"dead_docs": 0, "dead_tokens": 0}
         # of the numbers that the merged segments name, those of older segments; the older ones' own stay with them
         dead = self._named_dead(some)
         if older and dead is not None:
             new |= self._write_dead(dead.where(F.col("segment").isin([s["name"] for s in older])), where)
         vectors = self._read(some, "vectors", VECTORS).where("vector is not null").select("key", "vector").dropDuplicates(["key"])
-        vectors.write.parquet(f"{where}/vectors")
-        new["tables"] = ["files", "chunks", "postings", "vectors", *(["dead"] if new["dead_docs"] else [])]
+        vectors.write.option("compression", "zstd").parquet(f"{where}/vectors")
+        embedded = any("embeddings" in s["tables"] for s in some)
+        if embedded:
+            new["width"] = self._write_embeddings(self._vectors(segments), where)
+        new["tables"] = ["files", "chunks", "postings", "vectors", *(["embeddings"] if embedded else []), *(["dead"] if new["dead_docs"] else [])]
         return [*older, new]
 
     def compact(self) -> None:

@@ -388,14 +388,14 @@ def hybrid_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search of the stored index after the passes: vectors of chunks that are gone are orphans, and take no place among the candidates."""
     made = _passes(spark, sf_dir)[0]
     asked = _one(spark, TEXT_QUERY).withColumn("vector", _letters(F.col("query")))
-    return _shown_scores(hybrid.search(asked, made.chunks(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
+    return _shown_scores(hybrid.search(asked, made.embedded(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
 
 
 def hybrid_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search of an index without embeddings: what words alone find, by their weight."""
     made = _edited_index(spark, sf_dir)
     asked = _one(spark, TEXT_QUERY).withColumn("vector", _letters(F.col("query")))
-    return _shown_scores(hybrid.search(asked, made.chunks(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
+    return _shown_scores(hybrid.search(asked, made.embedded(), 10, F.to_date(F.lit(AS_OF)), keyword=made.search, fetch=lambda found: made.fetch(found, *hybrid.SHOWN)))
 
 
 def segments_files(spark: SparkSession, sf_dir: str) -> DataFrame:
