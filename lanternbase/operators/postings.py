@@ -26,8 +26,10 @@ BLOCKS = "term string, span long, n int, top_tfs array<int>, top_dls array<int>,
 TOGETHER_BITS = 14
 #: What is shuffled: a row for a term's postings in a slice of documents: the gaps between numbers from the first span on, counts, lengths and gaps between positions, seven bits a byte.
 _PACKED = "term string, span long, n int, packed binary"
-#: Tokens of a slice of documents, about, and bytes of packed rows that are made blocks together.
-SLICE, UNPACKED = 1 << 20, 2 << 20
+#: Tokens of a slice of documents, about, and bytes of packed rows that are made blocks together: an array of these takes eight times as many, and a few are held at once.
+SLICE, UNPACKED = 1 << 20, 1 << 19
+#: Numbers that are made bytes together.
+WRITTEN = 1 << 17
 #: Bytes of stored texts, compressed, whose postings a partition sorts: they take some ten times that in memory.
 PARTITION = 8 << 20
 #: Terms or spans that go into a filter as literals; more are joined.
@@ -64,6 +66,11 @@ def _sums(gaps: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarra
 
 def _to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 0 to 2 ** 35 - 1 as bytes of seven bits, the lowest first and the last one below 128; and how many bytes each takes."""
+    made = [_few_to_bytes(values[a : a + WRITTEN]) for a in range(0, max(len(values), 1), WRITTEN)]
+    return np.concatenate([d for d, _ in made]), np.concatenate([m for _, m in made])
+
+
+def _few_to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     many = np.ones(len(values), np.int8)
     for bits in (7, 14, 21, 28):
         many += values >= 1 << bits
