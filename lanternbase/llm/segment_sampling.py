@@ -16,14 +16,13 @@ a node's first word, which bars some choices, and words of over ``LONG`` charact
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import random
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,9 +136,10 @@ class Lattices:
     first: each word's first position, and their number; edge: each position's first edge, and their number. other: the share of a position's other edges.
     """
 
-    def __init__(self, pieces: Pieces, words: list[str]):
-        text = "".join(words)
-        self.size = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, pieces: Pieces, words: pa.LargeStringArray):
+        _, offsets, data = words.buffers()
+        text = str(memoryview(data)[: int(np.frombuffer(offsets, np.int64)[len(words)])], "utf-8") if len(words) else ""
+        self.size = pc.utf8_length(words).to_numpy().astype(np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
         n = len(text)
         symbol = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
@@ -286,43 +286,30 @@ class Lattices:
         """A path that is none of ``taken``, and the log share of all paths but it and those."""
         rng = random.Random(seed)
         at, end = int(self.first[word]), int(self.first[word + 1])
-        children, left = self._left(at, end, taken)
-        node, path = 0, []
+        children, terms = self._left(at, end, taken)
+        node, path, met = 0, [], []
         while at < end:
-            below = children[node] if node is not None else {}
-            a, b = int(self.edge[at]), int(self.edge[at + 1])
-            weight = self.log_share[a:b].tolist()
-            for e, child in below.items():
-                weight[e - a] += left[child]
+            a = int(self.edge[at])
+            weight = terms[node] if node is not None else self.log_share[a : int(self.edge[at + 1])].tolist()
             top = max(weight)
-            e = rng.choices(range(a, b), [math.exp(w - top) for w in weight])[0]
-            node = below.get(e)
+            e = rng.choices(range(a, a + len(weight)), [math.exp(w - top) for w in weight])[0]
+            met.append((weight, e - a))
+            node = children[node].get(e) if node is not None else None
             path.append(e)
             at = int(self.to[e])
-        return path, self._without(children, left, int(self.first[word]), path)
+        return path, self._without(met, path)
 
-    def _without(self, children: list[dict[int, int]], left: list[float], begin: int, path: list[int]) -> float:
-        """The log share of all paths but ``path`` and those of the tree: nodes beside the path stay as they are."""
-        nodes, at, node = [], begin, 0
-        for e in path:
-            nodes.append((node, at))
-            node = children[node].get(e) if node is not None else None
-            at = int(self.to[e])
+    def _without(self, met: list[tuple[list[float], int]], path: list[int]) -> float:
+        """The log share of all paths but ``path`` and those of the tree, from the edges' log shares at each position of the path: edges beside it stay as they are."""
         below = -math.inf
-        for (node, at), e in zip(reversed(nodes), reversed(path), strict=True):
-            a = int(self.edge[at])
-            terms = self.log_share[a : int(self.edge[at + 1])].tolist()
-            for other, child in children[node].items() if node is not None else ():
-                terms[other - a] += left[child]
-            if node is not None and e in children[node]:
-                terms[e - a] = float(self.log_share[e])
-            terms[e - a] += below
+        for (terms, i), e in zip(reversed(met), reversed(path), strict=True):
+            terms[i] = float(self.log_share[e]) + below
             top = max(terms)
             below = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else -math.inf
         return below
 
-    def _left(self, begin: int, end: int, taken: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
-        """Of the tree of the ``taken`` paths: children of each node by edge, and the log share of the other paths below it."""
+    def _left(self, begin: int, end: int, taken: list[list[int]]) -> tuple[list[dict[int, int]], list[list[float]]]:
+        """Of the tree of the ``taken`` paths: children of each node by edge, and the log share of the other paths by each of its position's edges."""
         at, children = [begin], [{}]
         for path in taken:
             node = 0
@@ -332,20 +319,34 @@ class Lattices:
                     at.append(int(self.to[e]))
                     children.append({})
                 node = children[node][e]
-        left = [-math.inf] * len(at)
+        left, terms = [-math.inf] * len(at), [[] for _ in at]
         for node in range(len(at) - 1, -1, -1):
             if at[node] < end:
                 a, b = int(self.edge[at[node]]), int(self.edge[at[node] + 1])
-                terms = self.log_share[a:b].tolist()
+                mine = terms[node] = self.log_share[a:b].tolist()
                 for e, child in children[node].items():
-                    terms[e - a] += left[child]
-                top = max(terms)
+                    mine[e - a] += left[child]
+                top = max(mine)
                 if top > -math.inf:
-                    left[node] = top + math.log(sum(math.exp(t - top) for t in terms))
-        return children, left
-
-
-_words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+                    left[node] = top + math.log(sum(math.exp(t - top) for t in mine))
+        return children, terms
+
+
+def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of normalised texts, one after the other, and how many each text has: a word begins with the text or with a run of space signs."""
+    raw = [t.encode() for t in texts]
+    edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))])
+    data = b"".join(raw)
+    octets, (lead, *tail) = np.frombuffer(data, np.uint8), SPACE.encode()
+    sign = np.flatnonzero(octets == lead)
+    for i, octet in enumerate(tail, 1):
+        sign = sign[octets[sign + i] == octet]
+    new = np.zeros(len(data) + 1, bool)
+    new[sign[np.diff(sign, prepend=-len(SPACE.encode()) - 1) != len(SPACE.encode())]] = True
+    new[edge] = True
+    start = np.flatnonzero(new)  # the last one is the end
+    words = pa.Array.from_buffers(pa.large_string(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(data)])
+    return words.dictionary_encode(), np.diff(np.searchsorted(start, edge))
 
 
 def _uniform(seed: np.ndarray, count) -> np.ndarray:
@@ -373,12 +374,10 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
     Log probabilities are relative to all segmentations of the text. The inclusion score is the probability to exceed the perturbed value of the
     (k+1)-th; 1 if there is none. An empty text has one segmentation, without pieces.
     """
-    parts = [_words(pieces.normalize(t)) for t in texts]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    coded, size = _words([pieces.normalize(t) for t in texts])
     base = np.concatenate([[0], np.cumsum(size)])
-    coded = pa.array(itertools.chain.from_iterable(parts), pa.large_string()).dictionary_encode()
     number = coded.indices.to_numpy().astype(np.int64)
-    lattices = Lattices(pieces, coded.dictionary.to_pylist())
+    lattices = Lattices(pieces, coded.dictionary)
     n, m = len(texts), len(number)
     # of each round and word, its path: where in ``flat``, length and log probability
     flat, start, length, units = np.zeros(0, np.int64), *(np.zeros((k, m), np.int64) for _ in range(3))
@@ -416,20 +415,22 @@ def sample_together(pieces: Pieces, texts: list[str], seeds: np.ndarray, k: int)
         u = _uniform(_seed(seeds[active][of[tail]], position[tail] * (k + 1) + r), -1)
         x[tail] = _perturbed(mass[tail] + rest[tail], value[of[tail]], u)
         found.append((active, value, np.diff(edge) / UNIT))
-        # the best nodes of each text; more than are asked for can't be reached
-        full = np.flatnonzero(size[active] > 0)
-        begin = (np.cumsum(size[active]) - size[active])[full]
-        for _ in range(k - r if len(full) else 0):
-            best = np.maximum.reduceat(x, begin)
-            spots = np.flatnonzero((x == np.repeat(best, size[active[full]])) & (x > -np.inf))
-            if not len(spots):
-                break
-            owner, one = np.unique(of[spots], return_index=True)
-            spots = spots[one]
-            for t, y, p in zip(owner.tolist(), x[spots].tolist(), position[spots].tolist(), strict=True):
-                heap = heaps[active[t]]
-                heap.append((-y, len(heap), r, p, (*barred[t], r) if p == at[t] else (r,)))
-            x[spots] = -np.inf
+        # the best nodes of each text; more than are asked for can't be reached: those below as many others, found before or each the best of a part of the text
+        least = np.array([-heaps[t][-1][0] if len(heaps[t]) == k - r else -np.inf for t in active.tolist()])
+        many = np.flatnonzero(np.isinf(least) & (size[active] >= k - r))
+        if len(many):
+            parts = size[active[many], None] * np.arange(k - r) // (k - r) + (np.cumsum(size[active]) - size[active])[many, None]
+            # a part that ends before the next text's first one has a neighbour to stop at
+            stops = np.concatenate([parts, parts[:, :1] + size[active[many], None]], axis=1).ravel()
+            least[many] = np.maximum.reduceat(np.append(x, -np.inf), stops).reshape(len(many), -1)[:, :-1].min(axis=1)
+        spots = np.flatnonzero((x >= least[of]) & (x > -np.inf))
+        spots = spots[np.lexsort((-x[spots], of[spots]))]
+        owner = of[spots]
+        kept = np.arange(len(spots)) - np.searchsorted(owner, owner) < k - r
+        spots, owner = spots[kept], owner[kept]
+        for t, y, p in zip(owner.tolist(), x[spots].tolist(), position[spots].tolist(), strict=True):
+            heap = heaps[active[t]]
+            heap.append((-y, len(heap), r, p, (*barred[t], r) if p == at[t] else (r,)))
         nxt, state = [], []
         for t in active.tolist():
             heap = heaps[t]

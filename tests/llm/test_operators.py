@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -341,6 +342,25 @@ def test_samples_follow_the_distribution(pieces, long, monkeypatch):
         assert abs(inclusion[ids] / n - 1) < 0.1  # inverse inclusion weights are unbiased
 
 
+def test_words_are_cut_from_octets_as_from_characters(pieces):
+    texts = ["", "a", " a  b ", "  ", "é▁ß ☁🙂 ", "\u2580\u2582 x", "ends ", " begins", "", "日本 語"]
+    texts = [pieces.normalize(t) for t in texts]
+    words, size = segment_sampling._words(texts)
+    want = [re.findall("▁*[^▁]+|▁+", t) for t in texts]
+    assert words.to_pylist() == [w for x in want for w in x] and size.tolist() == list(map(len, want))
+    assert segment_sampling._words([])[1].tolist() == []
+
+
+@pytest.mark.parametrize("texts", [[""], ["", ""], ["a", "", "one two three four five six seven eight nine ten"]])
+def test_samples_beside_texts_without_words(pieces, texts):
+    seeds = np.arange(len(texts), dtype=np.uint64)
+    got = [[] for _ in texts]
+    for some, ids, ends, *scores in segment_sampling.sample_together(pieces, texts, seeds, 4):
+        for i, t in enumerate(some.tolist()):
+            got[t].append((ids[ends[i - 1] if i else 0 : ends[i]].tolist(), *(float(x[i]) for x in scores)))
+    assert got == [sample(pieces, t, 4, i) for i, t in enumerate(texts)]
+
+
 def test_the_query_segments_documents(spark, tmp_path):
     from lanternbase.llm.queries import QUERIES
 
