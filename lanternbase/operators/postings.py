@@ -1,8 +1,8 @@
 """A stored inverted index: blocks of postings, phrase matching within rows, and BM25 top-k that skips blocks.
 
 Documents have numbers; those with the same number / SPAN form a span. A block holds the postings of a term in a span: the documents' numbers, how often the term
-occurs, the documents' lengths and the positions, and beside them the pairs of count and length that no other document of the block beats in both, from which the block's largest score
-follows whatever the mean length is by then. Tables of blocks are sorted by term and span, so a filter on
+occurs, the documents' lengths and the positions, packed into bytes, and beside them the pairs of count and length that no other document of the block beats in both, from which the block's
+largest score follows whatever the mean length is by then. Lists are made of the blocks that a search reads, none when they are written. Tables of blocks are sorted by term and span, so a filter on
 terms reaches the scan and reads their row groups only, and the text of documents is not read at all.
 """
 
@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 
 from lanternbase.functions.scores import rank_to_score
 from lanternbase.functions.text import document_tokens, query_phrases
+from lanternbase.functions.words import plain, split_plain
 from lanternbase.operators.lexical import K1, LEAST_IDF, B
 
 SPAN_BITS = 6
-BLOCKS = "term string, span long, n int, top_tfs array<int>, top_dls array<int>, docs array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
+BLOCKS = "term string, span long, n int, tops binary, packed binary"
+#: A block's lists, as ``_unpack`` makes them.
+LISTS = "term string, span long, n int, docs array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
 #: A file takes a term's blocks of as many neighbouring spans, as a power of two.
 TOGETHER_BITS = 14
 #: What is shuffled: a row for a term's postings in a slice of documents: the gaps between numbers from the first span on, counts, lengths and gaps between positions, seven bits a byte.
 _PACKED = "term string, span long, n int, packed binary"
 #: Tokens of a slice of documents, about, and bytes of packed rows that are made blocks together: an array of these takes eight times as many, and a few are held at once.
 SLICE, UNPACKED = 1 << 20, 1 << 19
+#: Bytes of texts that become tokens together: about a slice.
+TEXTS = 6 << 20
 #: Numbers that are made bytes together.
 WRITTEN = 1 << 17
 #: Bytes of stored texts, compressed, whose postings a partition sorts: they take some ten times that in memory.
@@ -122,6 +127,22 @@ def _packed(doc: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _PACKED.split(", ")])
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers and tokens of documents (number ascending, text if it is plain, else tokens), some texts at a time."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < len(batch):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TEXTS, "right")))
+            doc, text, other = (c.slice(at, stop - at) for c in batch.columns)
+            tokens = split_plain(text)
+            if text.null_count:
+                place = np.arange(len(doc)) + np.where(text.is_valid().to_numpy(zero_copy_only=False), 0, len(doc))
+                tokens = pa.concat_arrays([tokens, other.cast(tokens.type)]).take(pa.array(place))
+            yield pa.RecordBatch.from_arrays([doc, tokens], names=["doc_no", "tokens"])
+            at = stop
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed postings of documents (number ascending, tokens), by slices of about SLICE tokens."""
     for batch in batches:
@@ -135,43 +156,105 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = stop
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of packed rows. Documents of a span that two slices share make a block in each."""
+def _few_rows(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, by the bytes of a column."""
     for batch in batches:
-        upto = np.cumsum(pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(batch):
             stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + UNPACKED, "right")))
-            yield _unpacked(batch.slice(at, stop - at))
+            yield batch.slice(at, stop - at)
             at = stop
 
 
-def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    values, end = _from_bytes(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8))
-    first, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-    upto = np.searchsorted(end, np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64)), "right")
-    sizes = np.diff(upto, prepend=0)
-    at = upto - sizes
-    place = np.repeat(at, n) + _runs(n)
+def _numbers(packed: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some packed rows, and how many each row has."""
+    offsets = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    values, end = _from_bytes(np.frombuffer(packed.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+    return values, np.diff(np.searchsorted(end, offsets - offsets[0], "right"))
+
+
+def _postings(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the postings of some packed rows: row, document, count and length, and the gaps between the positions of all."""
+    values, sizes = _numbers(batch.column("packed"))
+    first, n = batch.column("span").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    place, many = np.repeat(at, n) + _runs(n), np.repeat(n, n)
     doc = _sums(values[place], np.cumsum(n) - n, n) + np.repeat(first << SPAN_BITS, n)
-    tf, dl = values[place + np.repeat(n, n)], values[place + 2 * np.repeat(n, n)].astype(np.int32)
-    pos = _sums(values[np.repeat(at + 3 * n, sizes - 3 * n) + _runs(sizes - 3 * n)], np.cumsum(tf) - tf, tf).astype(np.int32)
-    tf = tf.astype(np.int32)
-    row, span = np.repeat(np.arange(len(n)), n), doc >> SPAN_BITS
-    block = _starts(row, span)
-    count = np.diff(np.append(block, len(doc)))
-    ends = pa.array(np.append(block, len(doc)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (doc, tf, dl)]
-    places = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf, dtype=np.int64)).astype(np.int32)), pa.array(pos))
-    tops = [pa.ListArray.from_arrays(*map(pa.array, x)) for x in _tops(np.repeat(np.arange(len(count)), count), tf, dl, len(count))]
-    columns = [batch.column(0).take(pa.array(row[block])), pa.array(span[block]), pa.array(count.astype(np.int32)), *tops, *lists, pa.ListArray.from_arrays(ends, places)]
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+    gaps = values[np.repeat(at + 3 * n, sizes - 3 * n) + _runs(sizes - 3 * n)]
+    return np.repeat(np.arange(len(n)), n), doc, values[place + many], values[place + 2 * many], gaps
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of packed rows. Documents of a span that two slices share make a block in each."""
+    for batch in _few_rows(batches, "packed"):
+        row, doc, tf, dl, gaps = _postings(batch)
+        span = doc >> SPAN_BITS
+        block = _starts(row, span)
+        n, occurrences = np.diff(np.append(block, len(doc))), np.add.reduceat(tf, block)
+        sizes = 3 * n + occurrences
+        at = np.cumsum(sizes) - sizes
+        values, place, many = np.empty(int(sizes.sum()), np.int64), np.repeat(at, n) + _runs(n), np.repeat(n, n)
+        values[place] = _gaps(doc - (span << SPAN_BITS), block)
+        values[place + many], values[place + 2 * many] = tf, dl
+        values[np.repeat(at + 3 * n, occurrences) + _runs(occurrences)] = gaps
+        (offsets, tfs), (_, dls) = _tops(np.repeat(np.arange(len(n)), n), tf, dl, len(n))
+        pairs = np.stack([tfs, dls], axis=1).ravel()
+        columns = [batch.column("term").take(pa.array(row[block])), pa.array(span[block]), pa.array(n.astype(np.int32)), _binary(pairs, 2 * offsets[:-1]), _binary(values, at)]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def _binary(values: np.ndarray, at: np.ndarray) -> pa.BinaryArray:
+    """The bytes of runs of numbers, whose places are ``at``; none is empty."""
+    data, many = _to_bytes(values)
+    ends = np.append(0, np.cumsum(np.add.reduceat(many, at, dtype=np.int64))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of packed rows or blocks, a row for each span of each."""
+    for batch in _few_rows(batches, "packed"):
+        row, doc, tf, dl, gaps = _postings(batch)
+        block = _starts(row, doc >> SPAN_BITS)
+        ends = pa.array(np.append(block, len(doc)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(doc), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32)), _positions(tf, gaps))]
+        columns = [batch.column("term").take(pa.array(row[block])), pa.array(doc[block] >> SPAN_BITS), pa.array(np.diff(np.append(block, len(doc))).astype(np.int32)), *lists]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in LISTS.split(", ")])
+
+
+def _positions(tf: np.ndarray, gaps: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)).astype(np.int32)), pa.array(_sums(gaps, np.cumsum(tf) - tf, tf).astype(np.int32)))
+
+
+def _each(batches: Iterator[pa.RecordBatch], positions: bool) -> Iterator[pa.RecordBatch]:
+    """segment, term, doc_no, tf, dl (and positions) of each posting of blocks (segment, term, span, n, packed)."""
+    for batch in _few_rows(batches, "packed"):
+        row, doc, tf, dl, gaps = _postings(batch)
+        named = [batch.column(c).take(pa.array(row)) for c in ("segment", "term")]
+        columns = [*named, pa.array(doc), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32)), *([_positions(tf, gaps)] if positions else [])]
+        yield pa.RecordBatch.from_arrays(columns, names=["segment", "term", "doc_no", "tf", "dl", "positions"][: len(columns)])
+
+
+def _highest(batches: Iterator[pa.RecordBatch], avgdl: float) -> Iterator[pa.RecordBatch]:
+    """segment, term, span, n, top (the largest of a block, for BM25) of blocks (segment, term, span, n, tops)."""
+    for batch in _few_rows(batches, "tops"):
+        values, sizes = _numbers(batch.column("tops"))
+        tf, dl = values[::2], values[1::2]
+        top = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl)), (np.cumsum(sizes) - sizes) // 2)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(top)], names=["segment", "term", "span", "n", "top"])
 
 
 def _tops(block: np.ndarray, tf: np.ndarray, dl: np.ndarray, n_blocks: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Offsets and values of the counts, and of the lengths, of the postings of each block that no shorter document has as often."""
-    order = np.lexsort((-tf, dl, block))
-    block, tf, dl = block[order], tf[order], dl[order]
+    tf, dl = tf.astype(np.int64), dl.astype(np.int64)
+    many, far = int(tf.max(initial=0)) + 1, int(dl.max(initial=0)) + 1
+    if n_blocks * many * far < 1 << 62:
+        # one number for the three is sorted faster
+        rest, tf = np.divmod(np.sort((block * far + dl) * many + (many - 1 - tf)), many)
+        (block, dl), tf = np.divmod(rest, far), many - 1 - tf
+    else:
+        order = np.lexsort((-tf, dl, block))
+        block, tf, dl = block[order], tf[order], dl[order]
     high = block * (int(tf.max(initial=0)) + 1) + tf
     above = np.append(-1, np.maximum.accumulate(high)[:-1])
     kept = high > np.maximum(above, block * (int(tf.max(initial=0)) + 1))
@@ -181,8 +264,10 @@ def _tops(block: np.ndarray, tf: np.ndarray, dl: np.ndarray, n_blocks: int) -> l
 
 def blocks(docs: DataFrame, partitions: int) -> DataFrame:
     """Blocks of ``docs`` (doc_no, text), whose numbers ascend within each partition: sorted by term and span, those of a term and 2 ** TOGETHER_BITS spans in one partition."""
-    rows = docs.select("doc_no", document_tokens(F.col("text")).alias("tokens")).mapInArrow(_pack, _PACKED)
-    return rows.repartition(partitions, "term", F.shiftright("span", TOGETHER_BITS)).sortWithinPartitions("term", "span").mapInArrow(_unpack, BLOCKS)
+    text = F.coalesce("text", F.lit(""))
+    mine = docs.select("doc_no", F.when(plain(text), text).alias("text"), F.when(~plain(text), document_tokens(text)).alias("tokens"))
+    rows = mine.mapInArrow(lambda batches: _pack(_split(batches)), _PACKED)
+    return rows.repartition(partitions, "term", F.shiftright("span", TOGETHER_BITS)).sortWithinPartitions("term", "span").mapInArrow(_cut, BLOCKS)
 
 
 def write(docs: DataFrame, path: str, n_bytes: int = 0) -> None:
@@ -235,8 +320,8 @@ def saturated(tf: Column, dl: Column, avgdl: float) -> Column:
 
 def _hits(found: DataFrame, dead: DataFrame | None, positions: bool) -> DataFrame:
     """segment, term, doc_no, tf, dl (and positions) of each posting of some blocks, without documents that are dead (segment, doc_no)."""
-    columns = ["docs", "tfs", "dls", *(["positions"] if positions else [])]
-    each = found.select("segment", "term", F.inline(F.arrays_zip(*columns)).alias("doc_no", "tf", "dl", *columns[3:]))
+    schema = "segment string, term string, doc_no long, tf int, dl int" + ", positions array<int>" * positions
+    each = found.select("segment", "term", "span", "n", "packed").mapInArrow(lambda batches: _each(batches, positions), schema)
     return each if dead is None else each.join(dead, ["segment", "doc_no"], "left_anti")
 
 
@@ -265,7 +350,7 @@ def frequencies(found: DataFrame, dead: DataFrame | None) -> DataFrame:
     if dead is None:
         return df
     spans = dead.select("segment", F.shiftright("doc_no", SPAN_BITS).alias("span")).distinct()
-    hit = found.join(spans, ["segment", "span"], "left_semi").select("segment", "term", F.explode("docs").alias("doc_no")).join(dead, ["segment", "doc_no"], "left_semi")
+    hit = _hits(found.join(spans, ["segment", "span"], "left_semi"), None, False).select("segment", "term", "doc_no").join(dead, ["segment", "doc_no"], "left_semi")
     gone = hit.groupBy("term").agg(F.count("*").alias("gone"))
     return df.join(gone, "term", "left").select("term", (F.col("df") - F.coalesce("gone", F.lit(0))).alias("df")).where("df > 0")
 
@@ -300,8 +385,8 @@ def pruned_scores(postings: DataFrame, dead: DataFrame | None, wanted: DataFrame
     """
     found = with_terms(postings, wanted)
     # several blocks of a span come from batches that met at its middle
-    top = F.array_max(F.zip_with("top_tfs", "top_dls", lambda tf, dl: saturated(tf, dl, avgdl)))
-    meta = keep(found.groupBy("segment", "term", "span").agg(F.sum("n").alias("n"), F.max(top).alias("top")))
+    tops = found.select("segment", "term", "span", "n", "tops").mapInArrow(lambda batches: _highest(batches, avgdl), "segment string, term string, span long, n int, top double")
+    meta = keep(tops.groupBy("segment", "term", "span").agg(F.sum("n").alias("n"), F.max("top").alias("top")))
     counts = (frequencies(meta, None) if dead is None else frequencies(found, dead)).select(F.array("term").alias("terms"), "df")
     wanted = small(wanted.join(counts, "terms"), keep)
     part = idf(F.lit(float(n)), F.col("df")) * F.col("top") * F.col("times")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lanternbase import schema
 from lanternbase.functions.text import document_tokens
 from lanternbase.operators import index, postings
-from lanternbase.operators.chunk import chunks, embedding_input, sha256
+from lanternbase.operators.chunk import counted_chunks, embedding_input, sha256
 from lanternbase.sources import commits
 from lanternbase.sources.markdown import exists, n_bytes, remove
 from lanternbase.sources.shared import shared_dir
@@ -205,7 +205,7 @@ class SegmentedIndex:
             # contents meet the paths only where some files change and others stay
             indexed = again.where("status = 'indexed'").select("path")
             some = _picked(files, disk, indexed, told["indexed"] + told["skipped"], indexed.count(), "path")
-            made = chunks(some.select("path", "content"))
+            made = counted_chunks(some.select("path", "content"))
             return {"segments": self._extended(segments, rows.unionByName(gone), made, model, embed, known)}
 
         commits.transact(self.spark, self.root, change)
@@ -213,7 +213,8 @@ class SegmentedIndex:
 
     def apply(self, files: DataFrame, made: DataFrame, model: str = "") -> None:
         """Adds one segment: ``files`` (path, hash, mtime, size, deleted) replace all chunks of their paths by those of ``made`` (id, path, start_line, end_line, text)."""
-        commits.transact(self.spark, self.root, lambda state: {"segments": self._extended(state.get("segments", []), files, made.withColumn("context", F.lit("")), model, None, [])})
+        counted = made.withColumn("context", F.lit("")).withColumn("dl", F.size(document_tokens(F.col("text"))))
+        commits.transact(self.spark, self.root, lambda state: {"segments": self._extended(state.get("segments", []), files, counted, model, None, [])})
 
     def _extended(self, segments: list[dict], files: DataFrame, made: DataFrame, model: str, embed: Callable[[Column], Column] | None, known: list[dict]) -> list[dict]:
         """The segments with one more, written now; small ones merged."""
@@ -222,8 +223,8 @@ class SegmentedIndex:
         files.select(*_columns(FILES)).write.option("compression", "zstd").parquet(f"{where}/files")
         key = F.lit(None).cast("string") if embed is None else sha256(F.concat_ws("\n", F.lit(model), embedding_input(F.col("context"), F.col("text"))))
         lines = [F.col(c).cast("int").alias(c) for c in ("start_line", "end_line")]
-        rows = made.select("id", "path", *lines, F.lit(model).alias("model"), "text", "context", key.alias("key"))
-        new = {"name": name} | self._write_chunks(rows.withColumn("dl", F.size(document_tokens(F.col("text")))), where)
+        rows = made.select("id", "path", *lines, F.lit(model).alias("model"), "text", "context", key.alias("key"), "dl")
+        new = {"name": name} | self._write_chunks(rows, where)
         new["width"] = 0 if embed is None else self._write_embeddings(self._embedded(where, embed, segments, known), where)
         tables = ["files", *([] if embed is None else ["vectors", "embeddings"])]
         changed = self.spark.read.schema(FILES).parquet(f"{where}/files").select("path")
