@@ -105,7 +105,7 @@ def _packed(doc: np.ndarray, tokens: pa.ListArray) -> pa.RecordBatch | None:
         return None
     code, row, pos = flat.indices.to_numpy(), np.repeat(np.arange(len(doc), dtype=np.int32), lengths), _runs(lengths).astype(np.int32)
     # tokens by term; documents and positions keep their order
-    order = np.argsort(code, kind="stable")
+    order = np.sort((code.astype(np.int64) << 32) + np.arange(len(code))) & 0xFFFFFFFF
     code, row, pos = code[order], row[order], pos[order]
     first = _starts(code, row)
     tf = np.diff(np.append(first, len(code)))
@@ -275,7 +275,9 @@ def write(docs: DataFrame, path: str, n_bytes: int = 0) -> None:
     files where ``n_bytes``, of the stored texts, are many: a task's sort keeps its size."""
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PARTITION))
     writer = blocks(docs, partitions).write
-    writer.option("compression", "zstd").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.writer.version", "v2").parquet(path)
+    # packed bytes hardly shrink by a higher level
+    writer = writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1")
+    writer.option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.writer.version", "v2").parquet(path)
 
 
 def small(df: DataFrame, keep) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -344,10 +347,19 @@ def postings_after_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("text").cast("binary")).alias("text_md5"), score.alias("score"), score.alias("raw_score"), score.alias("text_score"), "place")
 
 
+def _letter_shares(texts: pa.Array) -> pa.Array:
+    lengths, counts = np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), 1), np.empty((len(texts), len(LETTERS)))
+    numbers = np.zeros(256, np.uint8)
+    numbers[list(LETTERS.encode())] = np.arange(1, len(LETTERS) + 1)
+    for i, text in enumerate(texts):
+        counts[i] = np.bincount(numbers[np.frombuffer(text.as_buffer(), np.uint8)], minlength=len(LETTERS) + 1)[1:]
+    shares = (counts / lengths[:, None]).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(LETTERS)), pa.array(shares.ravel()))
+
+
 def _letters(text):
-    """An embedding that SQL can make, too: the share of each of some letters."""
-    share = lambda c: (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / F.greatest(F.length(text), F.lit(1))
-    return F.array(*[share(c).cast("float") for c in LETTERS])
+    """An embedding that SQL can make, too: the share of each of some letters. One pass over the bytes counts them all."""
+    return F.arrow_udf(_letter_shares, "array<float>")(F.coalesce(text, F.lit("")))
 
 
 def _passes(spark: SparkSession, sf_dir: str) -> tuple[SegmentedIndex, list[dict[str, int]]]:

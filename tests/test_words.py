@@ -9,6 +9,7 @@ from lanternbase.functions.words import SPACE, are_plain, count_plain, plain, sp
 from lanternbase.operators import postings
 from lanternbase.operators.chunk import counted_chunks
 from lanternbase.operators.segments import SegmentedIndex
+from lanternbase.plans.catalogue import LETTERS, _letters
 
 
 def test_every_plain_letter_folds_as_in_columns(spark):
@@ -57,3 +58,10 @@ def test_blocks_are_stored_packed_and_hold_all_postings(spark, tmp_path, monkeyp
     assert {(r.term, r.doc_no): r.positions for r in hits} == want and len(hits) == len(want)
     assert all(r.tf == len(r.positions) and r.dl == lengths[r.doc_no] for r in hits)
     assert {(r.term, r.span): r.n for r in stored.groupBy("term", "span").agg(F.sum("n").alias("n")).collect()} == {k: sum((t, d >> 6) == k for t, d in want) for k in {(t, d >> 6) for t, d in want}}
+
+
+def test_letters_are_counted_as_sql_counts_them(spark):
+    texts = ["", "eaten", "Éta e\U0001f600", "x" * 1000 + "t", "eeee\n"]
+    share = lambda c: (F.length("t") - F.length(F.replace(F.col("t"), F.lit(c), F.lit("")))) / F.greatest(F.length("t"), F.lit(1))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(_letters(F.col("t")).alias("got"), F.array(*[share(c).cast("float") for c in LETTERS]).alias("want")).collect()
+    assert all(r.got == r.want for r in rows) and len(rows) == 5
